@@ -85,6 +85,25 @@ def blocks(docs: DataFrame, own: DataFrame, text: str = "text") -> tuple[DataFra
     return spark.table(name), total
 
 
+def shrunk(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as the bytes of their steps, lowest bytes first: the higher ones hardly differ, and the
+    shuffle's own compression takes them away."""
+    return np.diff(keys.astype("<u4"), prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def grown(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
+def coded(keys: np.ndarray) -> bytes:
+    return shrunk(keys) if keys.dtype.itemsize == 4 else keys.tobytes()
+
+
+def decoded(data: bytes, dtype: str) -> np.ndarray:
+    return grown(data) if dtype == "<u4" else np.frombuffer(data, dtype=dtype)
+
+
 def sent(keys: np.ndarray, bucket: np.ndarray, block: int, extra: np.ndarray | None = None) -> list[tuple]:
     """Rows (bucket, block, keys and more) of one block: each key once, or twice if the block has it more often."""
     order = np.lexsort((keys, bucket))
@@ -94,7 +113,7 @@ def sent(keys: np.ndarray, bucket: np.ndarray, block: int, extra: np.ndarray | N
         third[2:] = (keys[2:] == keys[:-2]) & (bucket[2:] == bucket[:-2])
         keys, bucket = keys[~third], bucket[~third]
     cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, dtype=int)
-    return [(int(bucket[a]), block, keys[a:b].tobytes()) for a, b in zip(cut, [*cut[1:], len(keys)])]
+    return [(int(bucket[a]), block, coded(keys[a:b])) for a, b in zip(cut, [*cut[1:], len(keys)])]
 
 
 def tied(rows: DataFrame, dtype: str) -> DataFrame:
@@ -102,14 +121,14 @@ def tied(rows: DataFrame, dtype: str) -> DataFrame:
     time; a key that a third of all texts have is in a bucket at most twice for each block."""
 
     def run(pdf):
-        arrays = [np.frombuffer(x, dtype=dtype) for x in pdf["keys"]]
+        arrays = [decoded(x, dtype) for x in pdf["keys"]]
         every = np.sort(np.concatenate(arrays))
         twice = np.unique(every[1:][every[1:] == every[:-1]])
         out = []
         for block, own in zip(pdf["block"], arrays):
             hit = np.unique(own[member(own, twice)])
             if len(hit):
-                out.append((block, pdf["bucket"].iloc[0], hit.tobytes()))
+                out.append((block, pdf["bucket"].iloc[0], coded(hit)))
         return pd.DataFrame(out, columns=["block", "bucket", "keys"])
 
     return rows.groupBy("bucket").applyInPandas(run, "block int, bucket int, keys binary")

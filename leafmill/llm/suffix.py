@@ -110,7 +110,7 @@ def _texts(pdf: pd.DataFrame, length: int):
 
 def _sets(rows: pd.DataFrame, dtype: str) -> np.ndarray:
     """(bucket, key) of a block's tied keys, sorted, as one number each (or two columns for long keys)."""
-    keys = [np.frombuffer(x, dtype=dtype).astype(U64) for x in rows["keys"]]
+    keys = [common.decoded(x, dtype).astype(U64) for x in rows["keys"]]
     if dtype == "<u4":
         return np.sort(np.concatenate([k | U64(int(b)) << U64(32) for k, b in zip(keys, rows["bucket"])])) if keys else np.zeros(0, dtype=U64)
     return np.sort(np.concatenate([folded(k, np.full(len(k), b)) for k, b in zip(keys, rows["bucket"])])) if keys else np.zeros(0, dtype=U64)
