@@ -150,15 +150,18 @@ class Bpe:
             self._clear()
         known = self.known
         cut = [self.pieces(t) for t in texts]
-        new = set().union(*(words for parts in cut for _, words in parts)) - known.keys()
+        used = set().union(*(words for parts in cut for _, words in parts))
+        new = [w for w in used if w not in known]
         if new:
-            self.learn(list(new))
+            self.learn(new)
+        # a small table of this batch's words stays in the processor's cache
+        local = dict(zip(used, map(known.__getitem__, used)))
         out = []
         for parts in cut:
             if len(parts) == 1:
-                idx = np.fromiter(map(known.__getitem__, parts[0][1]), dtype=np.int64, count=len(parts[0][1]))
+                idx = np.fromiter(map(local.__getitem__, parts[0][1]), dtype=np.int64, count=len(parts[0][1]))
             else:
-                idx = np.array([i for s, words in parts for i in ([self._special(self.special[s])] if s else map(known.__getitem__, words))], dtype=np.int64)
+                idx = np.array([i for s, words in parts for i in ([self._special(self.special[s])] if s else map(local.__getitem__, words))], dtype=np.int64)
             counts = self.count[idx]
             ends = np.cumsum(counts)
             total = int(ends[-1]) if len(ends) else 0

@@ -9,7 +9,9 @@ pieces and a last one; rows that repeat a doc_id are documents of their own; an
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import re
 import zlib
 
@@ -46,6 +48,9 @@ class WordTokenizer:
         #: Else every text goes to the library as a whole.
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and rules == [RULE]
         self.words, self.odd = re.compile(WORDS), re.compile(ODD)
+        # for words that are normalised and cut already
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
+        self.single = Tokenizer.from_str(json.dumps(spec))
         self._clear()
 
     def _clear(self) -> None:
@@ -55,7 +60,7 @@ class WordTokenizer:
 
     def _learn(self, words: list[str]) -> None:
         n, at = len(words), len(self.known)
-        found = [e.ids for e in self.whole.encode_batch(words, add_special_tokens=False)]
+        found = [e.ids for e in self.single.encode_batch(words, add_special_tokens=False)]
         counts = np.array([len(x) for x in found], dtype=np.int64)
         flat = np.array([i for x in found for i in x], dtype=np.uint32)
         while self.used + len(flat) > len(self.flat):
@@ -72,22 +77,21 @@ class WordTokenizer:
         if len(self.known) > KEEP:
             self._clear()
         quick = [self.by_word and self.odd.search(t) is None and not any(s in t for s in self.added) for t in texts]
-        cut = [self.words.findall(t.lower()) if q else None for t, q in zip(texts, quick)]
-        known = self.known
-        new = set().union(*filter(None, cut)) - known.keys()
+        cut = [self.words.findall(t.lower()) if q else [] for t, q in zip(texts, quick)]
+        used = set().union(*cut)
+        new = [w for w in used if w not in self.known]
         if new:
-            self._learn(list(new))
-        out = []
-        for t, words in zip(texts, cut):
-            if words is None:
-                out.append(np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32))
-                continue
-            idx = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-            counts = self.count[idx]
-            ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.begin[idx] - ends + counts, counts) + np.arange(total)])
-        return out
+            self._learn(new)
+        # a small table of this batch's words stays in the processor's cache
+        local = dict(zip(used, map(self.known.__getitem__, used)))
+        sizes = [len(words) for words in cut]
+        idx = np.fromiter(map(local.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.int64, count=sum(sizes))
+        counts = self.count[idx]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        flat = self.flat[np.repeat(self.begin[idx] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        return [flat[a:b] if q else np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+                for t, q, a, b in zip(texts, quick, bounds[:-1], bounds[1:])]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -95,6 +99,7 @@ _LOADED: dict[str, WordTokenizer] = {}
 
 def tokenizer(path: str) -> WordTokenizer:
     if path not in _LOADED:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
 
