@@ -22,13 +22,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: How the lower-case word vocabulary splits a text, and the same for texts of these characters only, for
-#: which Python's own lower() and composition are the library's; any other text goes to the library as a whole.
+#: Fixed value: how the lower-case word vocabulary splits a text.
 RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t\n\r a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+#: Characters for which Python's own lower() and composition are the library's; a text with any other goes to the
+#: library as a whole.
 ODD = r"[^\t\n\r\x20-\x7e\xa1-\xff]"
+GAP, LETTER, NUMBER, SIGN = 0, 1, 2, 3
+KIND = np.full(256, SIGN, dtype=np.uint8)
+for _c in map(chr, range(256)):
+    KIND[ord(_c)] = LETTER if _c.isalpha() else NUMBER if _c.isnumeric() else GAP if _c in "\t\n\r " else SIGN
 #: Words that a worker keeps; beyond that it starts anew, which only costs time.
-KEEP = 700_000
+KEEP = 1_500_000
 END_ID = 1
 
 
@@ -47,49 +51,66 @@ class WordTokenizer:
         rules = [x["pattern"]["Regex"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         #: Else every text goes to the library as a whole.
         self.by_word = steps == ["NFC", "Replace", "Lowercase"] and rules == [RULE]
-        self.words, self.odd = re.compile(WORDS), re.compile(ODD)
+        self.odd = re.compile(ODD)
         # for words that are normalised and cut already
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.single = Tokenizer.from_str(json.dumps(spec))
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.begin, self.count = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.names, self.index = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.flat, self.begin, self.count = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        n, at = len(words), len(self.known)
+    def _learn(self, names: np.ndarray, words: list[str]) -> None:
         found = [e.ids for e in self.single.encode_batch(words, add_special_tokens=False)]
         counts = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.array([i for x in found for i in x], dtype=np.uint32)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + n > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        self.flat[self.used:self.used + len(flat)] = flat
-        self.count[at:at + n] = counts
-        self.begin[at:at + n] = self.used + np.cumsum(counts) - counts
-        self.used += len(flat)
-        self.known.update(zip(words, range(at, at + n)))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=counts.sum())])
+        self.count = np.concatenate([self.count, counts])
+        at = np.searchsorted(self.names, names)
+        self.names = np.insert(self.names, at, names)
+        self.index = np.insert(self.index, at, np.arange(len(self.count) - len(words), len(self.count)))
+
+    @staticmethod
+    def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of a text of Latin-1 bytes, in lower case and with a gap at its end, start and end."""
+        kind = KIND[data]
+        before = np.concatenate([[GAP], kind[:-1]]).astype(np.uint8)
+        start = (kind != GAP) & ((kind != before) | (kind == NUMBER))
+        mark = np.flatnonzero((data == 39) & (before != SIGN))
+        mark = mark[mark + 2 < len(data)]
+        one, two = data[mark + 1], data[mark + 2]
+        short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+        long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+        start[mark[short | long] + 1] = False
+        after = np.concatenate([mark[short] + 2, mark[long] + 3])
+        after = after[after < len(data)]
+        start[after] |= kind[after] == LETTER
+        events = np.flatnonzero(start | (kind == GAP))
+        first = np.flatnonzero(start[events])
+        return events[first], events[first + 1]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEEP:
+        """Ids of each text. Words of a batch are told apart by a 64-bit hash of their characters and length."""
+        if len(self.count) > KEEP:
             self._clear()
         quick = [self.by_word and self.odd.search(t) is None and not any(s in t for s in self.added) for t in texts]
-        cut = [self.words.findall(t.lower()) if q else [] for t, q in zip(texts, quick)]
-        used = set().union(*cut)
-        new = [w for w in used if w not in self.known]
-        if new:
-            self._learn(new)
-        # a small table of this batch's words stays in the processor's cache
-        local = dict(zip(used, map(self.known.__getitem__, used)))
-        sizes = [len(words) for words in cut]
-        idx = np.fromiter(map(local.__getitem__, itertools.chain.from_iterable(cut)), dtype=np.int64, count=sum(sizes))
-        counts = self.count[idx]
+        raw = [t.lower().encode("latin-1") if q else b"" for t, q in zip(texts, quick)]
+        whole = b"\n".join(raw) + b"\n"
+        data = np.frombuffer(whole, dtype=np.uint8)
+        start, end = self.cut(data)
+        names = common.mixed(common.Prefixes(data).of(start, end) + (end - start).astype(np.uint64))
+        used, first, which = np.unique(names, return_index=True, return_inverse=True)
+        new = ~common.member(used, self.names)
+        if new.any():
+            at = first[new]
+            self._learn(used[new], [whole[a:b].decode("latin-1") for a, b in zip(start[at].tolist(), end[at].tolist())])
+        idx = self.index[np.searchsorted(self.names, used)]
+        counts = self.count[idx][which]
         ends = np.concatenate([[0], np.cumsum(counts)])
-        flat = self.flat[np.repeat(self.begin[idx] - ends[:-1], counts) + np.arange(ends[-1])]
-        bounds = ends[np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)]
+        flat = self.flat[np.repeat(self.begin[idx][which] - ends[:-1], counts) + np.arange(ends[-1])]
+        lens = np.array([len(r) + 1 for r in raw], dtype=np.int64)
+        bounds = ends[np.searchsorted(start, np.concatenate([[0], np.cumsum(lens)]))]
         return [flat[a:b] if q else np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
                 for t, q, a, b in zip(texts, quick, bounds[:-1], bounds[1:])]
 
