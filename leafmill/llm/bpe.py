@@ -187,7 +187,7 @@ def tokenizer(path: str) -> Bpe:
     return _LOADED[path]
 
 
-def _batches(pdf: pd.DataFrame, text: str, limit: int = 4 << 20) -> Iterator[pd.DataFrame]:
+def _batches(pdf: pd.DataFrame, text: str, limit: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Parts of a batch of about `limit` characters."""
     size = pdf[text].str.len().to_numpy().cumsum()
     part = size // limit

@@ -215,7 +215,7 @@ class Prefixes:
         return mixed((self.sums[length:length + count] - self.sums[:count]) * self.back[:count])
 
 
-def chunked(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunked(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most `limit` bytes, or of one longer text."""
     start, size = 0, 0
     for i, x in enumerate(texts):

@@ -9,6 +9,7 @@ pieces and a last one; rows that repeat a doc_id are documents of their own; an
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
@@ -32,7 +33,7 @@ KIND = np.full(256, SIGN, dtype=np.uint8)
 for _c in map(chr, range(256)):
     KIND[ord(_c)] = LETTER if _c.isalpha() else NUMBER if _c.isnumeric() else GAP if _c in "\t\n\r " else SIGN
 #: Words that a worker keeps; beyond that it starts anew, which only costs time.
-KEEP = 1_500_000
+KEEP = 1_000_000
 END_ID = 1
 
 
@@ -42,11 +43,11 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        spec = json.loads(self.whole.to_str())
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec |= {"truncation": None, "padding": None}
+        self.added = [t["content"] for t in spec["added_tokens"]]
         steps = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
         rules = [x["pattern"]["Regex"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         #: Else every text goes to the library as a whole.
@@ -57,19 +58,29 @@ class WordTokenizer:
         self.single = Tokenizer.from_str(json.dumps(spec))
         self._clear()
 
+    @functools.cached_property
+    def whole(self):
+        """For texts that aren't cut here; most workers never meet one."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def _clear(self) -> None:
-        self.names, self.index = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        self.flat, self.begin, self.count = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.names, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+        self.index, self.begin, self.count = (np.zeros(0, dtype=np.int32) for _ in range(3))
 
     def _learn(self, names: np.ndarray, words: list[str]) -> None:
         found = [e.ids for e in self.single.encode_batch(words, add_special_tokens=False)]
-        counts = np.array([len(x) for x in found], dtype=np.int64)
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(counts) - counts])
+        counts = np.array([len(x) for x in found], dtype=np.int32)
+        self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(counts) - counts).astype(np.int32)])
         self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=counts.sum())])
         self.count = np.concatenate([self.count, counts])
         at = np.searchsorted(self.names, names)
         self.names = np.insert(self.names, at, names)
-        self.index = np.insert(self.index, at, np.arange(len(self.count) - len(words), len(self.count)))
+        self.index = np.insert(self.index, at, np.arange(len(self.count) - len(words), len(self.count), dtype=np.int32))
 
     @staticmethod
     def cut(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +143,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, text: str = "text", wit
     def run(batches):
         tok = tokenizer(path)
         for pdf in batches:
-            lens = pdf["_t"].str.len().to_numpy().cumsum() // (2 << 20)
+            lens = pdf["_t"].str.len().to_numpy().cumsum() // (1 << 19)
             for part in np.unique(lens):
                 own = pdf[lens == part]
                 rows = []
