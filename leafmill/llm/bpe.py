@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Fixed value: how this kind of vocabulary splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts of the first 256 characters, for Python's faster engine.
@@ -228,6 +230,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     Rows that repeat a doc_id each give a row of their own.
     """
 
+    common.lean(docs.sparkSession)
+
     def run(batches):
         bpe = tokenizer(path)
         for whole in batches:

@@ -6,6 +6,8 @@ Tables that more than one step reads are written as Parquet below the folder tha
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,6 +37,28 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession) -> None:
+    """Batches of texts that go to Python hold a few megabytes, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= 1000:
+        spark.conf.set(key, 1000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
+def given_back() -> None:
+    """A Python worker lives on after its task; what it no longer uses goes back to the machine."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def swept(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go once the driver has collected its garbage; large ones shouldn't wait."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
@@ -63,6 +87,7 @@ def blocks(docs: DataFrame, own: DataFrame, text: str = "text") -> tuple[DataFra
     Both sides of the semi-join are dealt by block, which is part of its key, so the join itself moves nothing.
     """
     spark = docs.sparkSession
+    lean(spark)
     total = own.agg(F.sum("n_bytes")).head()[0] or 0
     n_blocks = max(2 * cores(spark), -(-total // BLOCK))
     parts = max(2 * cores(spark), -(-total // PART))
@@ -82,6 +107,8 @@ def blocks(docs: DataFrame, own: DataFrame, text: str = "text") -> tuple[DataFra
              .bucketBy(parts, "block").format("parquet").saveAsTable(name))
     finally:
         spark.conf.set(key, before)
+    del left, right, kept
+    swept(spark)
     return spark.table(name), total
 
 
@@ -129,6 +156,8 @@ def tied(rows: DataFrame, dtype: str) -> DataFrame:
             hit = np.unique(own[member(own, twice)])
             if len(hit):
                 out.append((block, pdf["bucket"].iloc[0], coded(hit)))
+        del arrays, every, twice
+        given_back()
         return pd.DataFrame(out, columns=["block", "bucket", "keys"])
 
     return rows.groupBy("bucket").applyInPandas(run, "block int, bucket int, keys binary")

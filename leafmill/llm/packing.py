@@ -138,6 +138,7 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def pieces(docs: DataFrame, path: str, size: int = 4096, text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, on wish) of every piece, cut where the documents lie."""
+    common.lean(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches):
@@ -154,6 +155,7 @@ def pieces(docs: DataFrame, path: str, size: int = 4096, text: str = "text", wit
                         rows.append((d, p, s, len(x), zlib.crc32(x.tobytes()), *([x.astype(np.int32)] if with_ids else [])))
                 out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            common.given_back()
 
     return docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInPandas(run, schema)
 

@@ -226,6 +226,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = 3000, text: str =
 
 def scored(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", least: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every row, where it lies."""
+    common.lean(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -237,10 +238,13 @@ def scored(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", le
 
 def kept(docs: DataFrame, model: dict[str, np.ndarray], text: str = "text", least: float = 0.7) -> DataFrame:
     """The rows of docs that the model accepts, unchanged."""
+    common.lean(docs.sparkSession)
 
     @F.pandas_udf("double")
     def of(data: pd.Series) -> pd.Series:
-        return pd.Series(score(model, data.tolist()))
+        out = pd.Series(score(model, data.tolist()))
+        common.given_back()
+        return out
 
     return docs.filter(of(F.coalesce(F.col(text), F.lit("")).cast("binary")) >= least)
 

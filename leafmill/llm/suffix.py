@@ -143,6 +143,7 @@ def spans(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[DataF
             k, b = _first(part.samples(q)[1], n_first)
             rows.append(k)
             buckets.append(b)
+        common.given_back()
         if not rows:
             return pd.DataFrame(columns=["bucket", "block", "keys"])
         return pd.DataFrame(common.sent(np.concatenate(rows), np.concatenate(buckets), int(pdf["block"].iloc[0])), columns=["bucket", "block", "keys"])
@@ -163,12 +164,14 @@ def spans(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[DataF
             _, k, b = candidates(Part(data, length), ties)
             keys.append(k)
             buckets.append(b)
+        common.given_back()
         if not keys:
             return pd.DataFrame(columns=["bucket", "block", "keys"])
         return pd.DataFrame(common.sent(np.concatenate(keys), np.concatenate(buckets), int(key[0])), columns=["bucket", "block", "keys"])
 
     sorted_ = common.tied(table.groupBy("block").cogroup(first.groupBy("block")).applyInPandas(suffixes, schema), "<u8")
     second = common.stored(sorted_, "suffixes")
+    common.swept(docs.sparkSession)
     both = first.withColumn("step", F.lit(1)).union(second.withColumn("step", F.lit(2)))
 
     def removed(key, pdf, keys):
@@ -194,6 +197,7 @@ def spans(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[DataF
                 s, e = starts[a:z] - part.start[i], ends[a:z] - part.start[i]
                 kept = b"".join(x[p:n] for p, n in zip([0, *e], [*s, len(x)])) if z > a else x
                 out.append((d, s, e, kept))
+        common.given_back()
         return pd.DataFrame(out, columns=["digest", "starts", "ends", "kept"])
 
     done = table.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
