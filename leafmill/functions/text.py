@@ -15,7 +15,7 @@ def trimmed(text: Column) -> Column:
 
 def lines_normalised(text: Column) -> Column:
     """One kind of line end, no blanks at line ends, at most one empty line in a row."""
-    one = F.regexp_replace(text, r"\r\n?", "\n")
+    one = F.regexp_replace(text, r"\r", "\n")
     ends = F.regexp_replace(one, r"[ \t]+\n", "\n")
     return trimmed(F.regexp_replace(ends, r"\n{3,}", "\n\n"))
 

@@ -1,11 +1,13 @@
-"""Queries on documents."""
+"""Queries on documents: quality, cleaning, tags, categories, metadata, markup."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import quality
+from ..functions import cleaning, identity, markup, quality
+from ..functions import lexicon as lx
+from ..operators import tags
 from .registry import query
 
 
@@ -13,7 +15,130 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("T01_text_quality")
+WORDS_SQL = r"""w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}._+#/-]*') AS t FROM documents),
+n AS (SELECT doc_id, lang, t, len(list_filter(t, lambda x: (length(x) = 1 AND NOT regexp_matches(x, '^[0-9]$')) OR length(x) > 48
+  OR (length(x) >= 5 AND replace(x, x[1], '') = '')
+  OR (length(x) >= 8 AND length(regexp_replace(x, '[\p{L}\p{N}]', '', 'g')) / length(x) > 0.45))) AS noise FROM w),
+r AS (SELECT doc_id, lang, len(t) AS c, CASE WHEN len(t) = 0 THEN 1.0 ELSE noise / len(t) END AS ratio FROM n)"""
+QUALITY_SQL = "CASE WHEN c = 0 THEN 0 ELSE CAST(greatest(0, least(100, floor((1 - ratio) * 100 + 0.5))) AS INT) END"
+
+
+@query("T01_text_quality", f"""WITH {WORDS_SQL} SELECT doc_id, CAST(c AS BIGINT) AS word_count,
+floor(ratio * 1000 + 0.5) / 1000 AS noise_ratio, {QUALITY_SQL} AS quality FROM r""")
 def text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", quality.words(F.col("text")).alias("_w"))
     return docs.select("doc_id", *quality.analysed(F.col("_w")))
+
+
+@query("A14_quality_by_lang", f"""WITH {WORDS_SQL}, q AS (SELECT lang, c, {QUALITY_SQL} AS quality FROM r)
+SELECT lang, count(*) AS n_docs, CAST(sum(c) AS BIGINT) AS n_words, floor(avg(quality) * 1000 + 0.5) / 1000 AS mean_quality FROM q GROUP BY lang""")
+def quality_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", quality.words(F.col("text")).alias("_w"))
+    each = docs.select("lang", *quality.analysed(F.col("_w")))
+    return each.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("word_count").alias("n_words"), quality.rounded(F.avg("quality"), 3).alias("mean_quality"))
+
+
+@query("T02_clean_text")
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cleaning.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.sha2(F.array_join("clean_lines", "\n"), 256).alias("clean_sha256"))
+
+
+@query("T02_clean_lines_ascii", r"""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+\n', E'\n', 'g'), '[ \t]{2,}', ' ', 'g'), '\n{3,}', E'\n\n', 'g'), E' \t\n') AS t
+  FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+l AS (SELECT doc_id, unnest(string_split(t, E'\n')) AS line FROM a),
+m AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\s+([,.;:!?])', '\1', 'g'), '([(\[{])\s+', '\1', 'g'), '\s+([)\]}])', '\1', 'g'), '[ \t]{2,}', ' ', 'g')) AS line FROM l),
+k AS (SELECT DISTINCT doc_id, lower(line) AS line FROM m WHERE line <> '' AND NOT (length(regexp_replace(line, '\s+', '', 'g')) >= 3 AND NOT regexp_matches(line, '[a-zA-Z0-9]')))
+SELECT a.doc_id, CAST(count(k.line) AS BIGINT) AS n_lines, CAST(coalesce(sum(length(k.line)), 0) AS BIGINT) AS n_chars FROM a LEFT JOIN k ON a.doc_id = k.doc_id GROUP BY a.doc_id""")
+def clean_lines_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    each = cleaning.cleaned(docs.select("doc_id", "text"), to="_l")
+    return each.select("doc_id", F.size("_l").cast("long").alias("n_lines"), F.aggregate("_l", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_chars"))
+
+
+#: Words that occur in the tables, for queries that shouldn't be empty.
+DOMAIN, COMMON = ["the", "than", "entre", "oren", "reth"], ["thing", "eran", "ered", "edan", "that", "with"]
+SQL_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+NOISE_SQL = f"""NOT regexp_matches(w, '{lx.IDENTIFIERS[0]}') AND (length(w) < 3 OR length(w) > 22 OR w IN ('for', 'was', {SQL_LIST(lx.OCR_NOISE)}) OR regexp_matches(w, '[0-9]')
+  OR replace(w, w[1], '') = '' OR NOT (w IN ({SQL_LIST(DOMAIN + COMMON)}) OR (length(w) BETWEEN 4 AND 18 AND regexp_matches(w, '[aeiou]')
+  AND NOT regexp_matches(w, '[bcdfghjklmnpqrstvwxyz]{{5,}}') AND NOT regexp_matches(w, '[aeiou]{{4,}}'))))"""
+CORRECTED_SQL = "CASE " + " ".join(f"WHEN regexp_matches(w, '{p}') THEN '{r}'" for p, r in lx.CORRECTIONS) + " ELSE w END"
+
+
+@query("T04_keyword_tags", f"""WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '') AS t FROM documents WHERE lang = 'en'),
+b AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS p FROM a),
+c AS (SELECT doc_id, {CORRECTED_SQL} AS w, p FROM b),
+d AS (SELECT doc_id, w, count(*) AS n, min(p) AS first FROM c WHERE NOT ({NOISE_SQL}) GROUP BY doc_id, w),
+e AS (SELECT doc_id, w AS tag, first, CASE WHEN length(w) BETWEEN 4 AND 12 AND regexp_matches(w, '[0-9]') AND regexp_matches(w, '{lx.IDENTIFIERS[0]}') THEN 100
+  WHEN w IN ({SQL_LIST(DOMAIN)}) THEN 4 * n + 12 WHEN w IN ({SQL_LIST(COMMON)}) THEN 2 * n + 6
+  WHEN n >= 3 AND length(w) BETWEEN 4 AND 18 AND regexp_matches(w, '[aeiou]') AND NOT regexp_matches(w, '[bcdfghjklmnpqrstvwxyz]{{5,}}') AND NOT regexp_matches(w, '[aeiou]{{4,}}') THEN 2 * n END AS s FROM d),
+f AS (SELECT doc_id, tag, first, s, row_number() OVER (PARTITION BY doc_id ORDER BY s - 0.001 * first DESC, first, tag) AS rank FROM e WHERE s IS NOT NULL)
+SELECT doc_id, tag, CAST(floor((s - 0.001 * first) * 1000 + 0.5) AS BIGINT) AS score_milli, CAST(rank AS INT) AS rank FROM f WHERE rank <= 20""")
+def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    rows = tags.keyword_tags(docs, stop=["for", "was"], domain=DOMAIN, common=COMMON)
+    return rows.select("doc_id", "tag", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), "rank")
+
+
+@query("T07_title_lines")
+def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tags.title_lines(table(spark, sf_dir, "documents"), stop=["for", "was"], domain=DOMAIN, common=COMMON)
+    return rows.select("doc_id", "line_no", quality.rounded(F.col("score"), 3).alias("score"), "title")
+
+
+CATEGORY_RULES = {"Red": {"red": 3, "tion": 1}, "Latin": {"que": 2, "des": 2}, "German": {"und": 3, "keit": 2}, "Rare": {"token": 9}}
+
+
+@query("T10_category", "WITH s AS (SELECT doc_id, " + ", ".join(
+    "(" + " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN {w} ELSE 0 END" for t, w in v.items()) + f") AS {k}" for k, v in CATEGORY_RULES.items())
+    + " FROM documents) SELECT doc_id, CASE WHEN greatest(Red, Latin, German, Rare) = 0 THEN 'Unknown' "
+    + " ".join(f"WHEN {k} = greatest(Red, Latin, German, Rare) THEN '{k}'" for k in CATEGORY_RULES) + " END AS category FROM s")
+def category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tags.category(F.col("text"), CATEGORY_RULES).alias("category"))
+
+
+@query("T11_metadata_next_line", r"""WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x)), lambda x: x <> '')) AS line,
+  unnest(range(len(list_filter(list_transform(string_split(text, E'\n'), lambda x: trim(x)), lambda x: x <> '')))) AS p FROM documents),
+m AS (SELECT doc_id, max(p) AS p FROM l WHERE contains(lower(line), 'than') GROUP BY doc_id)
+SELECT d.doc_id, l.line AS value FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id LEFT JOIN l ON l.doc_id = m.doc_id AND l.p = m.p + 1""")
+def metadata_next_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.next_line_value(table(spark, sf_dir, "documents"), "than").select("doc_id", "value")
+
+
+@query("S06_identity", """SELECT doc_id, 'doc_' || substr(sha256(text), 1, 24) AS document_id,
+'doc_' || substr(sha256(text), 1, 24) || '_page_' || lpad(CAST(doc_id % 7 AS VARCHAR), 5, '0') AS page_id FROM documents""")
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = identity.document_id(identity.file_hash(F.col("text").cast("binary")))
+    return table(spark, sf_dir, "documents").select("doc_id", doc.alias("document_id"), identity.page_id(doc, F.col("doc_id") % 7).alias("page_id"))
+
+
+@query("S11_markup_text", r"""SELECT page_id, CAST(length(trim(regexp_replace(regexp_replace(
+  replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''),
+  '[ \t]+\n', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'), E' \t\n')) AS BIGINT) AS n_chars FROM pages WHERE NOT regexp_matches(html, '&#')""")
+def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").filter(~F.col("html").contains("&#"))
+    return pages.select("page_id", F.length(markup.markup_text(F.col("html"))).cast("long").alias("n_chars"))
+
+
+@query("K26_dictionary_signals")
+def dictionary_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("w"))
+    return words.groupBy("w").count().groupBy(lx.signal(F.col("w")).alias("signal")).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("n_words"))
+
+
+@query("W08_containment", r"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS t FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(1, len(t) - 6)), lambda i: list_aggregate(t[i:i+7], 'string_agg', ' '))) AS g FROM d WHERE len(t) >= 8),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS t FROM benchmark),
+h AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(1, len(t) - 6)), lambda i: list_aggregate(t[i:i+7], 'string_agg', ' '))) AS g FROM b WHERE len(t) >= 8)
+SELECT doc_id, item_id, count(*) AS shared FROM g JOIN h ON g.g = h.g GROUP BY doc_id, item_id""")
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared runs of 8 words between documents and reference passages; the passages' side is grouped first, and a
+    document's grams are different ones, so a frequent gram meets one row for each passage."""
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        t = df.select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "").alias("_t")).filter(F.size("_t") >= 8)
+        runs = F.transform(F.sequence(F.lit(1), F.size("_t") - 7), lambda i: F.array_join(F.slice("_t", i, 8), " "))
+        return t.select(key, F.explode(F.array_distinct(runs)).alias("g"))
+
+    left, right = grams(table(spark, sf_dir, "documents"), "doc_id"), grams(table(spark, sf_dir, "benchmark"), "item_id")
+    return left.join(right, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
