@@ -20,6 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -199,7 +200,7 @@ def _batches(pdf: pd.DataFrame, text: str, limit: int = 1 << 20) -> Iterator[pd.
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with a column of ids (array<int>); one row for each row, nothing moves between machines."""
-    schema = docs.drop(ids).schema.add(ids, "array<int>")
+    schema = docs.drop(ids).schema.add(ids, T.ArrayType(T.IntegerType()))
 
     def run(batches):
         bpe = tokenizer(path)

@@ -102,7 +102,7 @@ def _first(names: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(pdf: pd.DataFrame, length: int):
     """Parts of the block's texts that are long enough, in a fixed order."""
-    own = pdf[pdf["data"].str.len() >= length].sort_values("doc_id", kind="stable")
+    own = pdf[pdf["data"].str.len() >= length].drop_duplicates("digest").sort_values("doc_id", kind="stable")
     data = own["data"].tolist()
     for a, b in common.chunked(data):
         yield own["digest"].tolist()[a:b], data[a:b]
@@ -177,7 +177,7 @@ def spans(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[DataF
     def removed(key, pdf, keys):
         ties, equal = _sets(keys[keys["step"] == 1], "<u4"), _sets(keys[keys["step"] == 2], "<u8")
         out = []
-        short = pdf[pdf["data"].str.len() < length]
+        short = pdf[pdf["data"].str.len() < length].drop_duplicates("digest")
         out += [(d, [], [], x) for d, x in zip(short["digest"], short["data"])]
         for digests, data in _texts(pdf, length):
             hit = np.zeros(0, dtype=np.int64)
@@ -231,7 +231,7 @@ def deduplicated(docs: DataFrame, length: int = 400, text: str = "text") -> Data
     cut = done.filter("size(starts) > 0").select(F.col("digest").alias("_g"), F.col("kept").alias("_kept"))
     gone = own.filter(_whole(length)).select(F.col("digest").alias("_g"), F.lit(b"").alias("_kept")).distinct()
     key = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    rows = docs.withColumn("_d", key).join(cut.union(gone), F.col("_d") == F.col("_g"), "left")
+    rows = docs.withColumn("_d", key).join(cut.join(gone, "_g", "left_anti").union(gone), F.col("_d") == F.col("_g"), "left")
     return rows.withColumn(text, F.when(F.col("_kept").isNull(), F.col(text)).otherwise(whole_characters(F.col("_kept")))).select(*docs.columns)
 
 
