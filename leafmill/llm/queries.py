@@ -86,5 +86,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_url_filters, op7_bit_sliced_top_k, op8_quality_classifier, op9_secret_scans, op10_bpe_round_trip)}
 
 
+OP4_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+w AS (SELECT *, lag(role) OVER o AS before, lead(role) OVER o AS after FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+x AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\\\')) + len(regexp_extract_all(text, '<\||</?s>|\[/?INST\]'))
+  + CASE WHEN before = role THEN 8 ELSE 16 + length(role) END + CASE WHEN after = role THEN 0 ELSE 8 END AS chars FROM w)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || E'\n' || text || E'\n', '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars FROM x GROUP BY conv_id"""
+
+OP6_SQL = rf"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(verdict, rule, host, path) AS (VALUES {", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in SITE_RULES)}),
+m AS (SELECT page_id, rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS k FROM p JOIN r
+  ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, CASE WHEN regexp_matches(p.host, '(^|\.)({"|".join(urls.SPAM_LABELS)})\.') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN (SELECT * FROM m WHERE k = 1) m ON p.page_id = m.page_id"""
+
+OP7_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM k WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it gives the same rows; the other queries are tested against brute force."""
+    return {"op4_chat_formatting": OP4_SQL, "op6_url_filters": OP6_SQL, "op7_bit_sliced_top_k": OP7_SQL}
