@@ -33,7 +33,7 @@ KIND = np.full(256, SIGN, dtype=np.uint8)
 for _c in map(chr, range(256)):
     KIND[ord(_c)] = LETTER if _c.isalpha() else NUMBER if _c.isnumeric() else GAP if _c in "\t\n\r " else SIGN
 #: Words that a worker keeps; beyond that it starts anew, which only costs time.
-KEEP = 1_000_000
+KEEP = 500_000
 END_ID = 1
 
 
@@ -73,7 +73,8 @@ class WordTokenizer:
         self.index, self.begin, self.count = (np.zeros(0, dtype=np.int32) for _ in range(3))
 
     def _learn(self, names: np.ndarray, words: list[str]) -> None:
-        found = [e.ids for e in self.single.encode_batch(words, add_special_tokens=False)]
+        # the library's results are large; a few thousand at a time
+        found = [e.ids for i in range(0, len(words), 4096) for e in self.single.encode_batch(words[i:i + 4096], add_special_tokens=False)]
         counts = np.array([len(x) for x in found], dtype=np.int32)
         self.begin = np.concatenate([self.begin, (len(self.flat) + np.cumsum(counts) - counts).astype(np.int32)])
         self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), dtype=np.uint32, count=counts.sum())])

@@ -124,7 +124,8 @@ def folded(keys: np.ndarray, bucket: np.ndarray) -> np.ndarray:
 def spans(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(copies() of docs, one row for each different text: digest, starts, ends, kept).
 
-    starts and ends are the maximal runs of removed bytes; kept has the bytes that remain.
+    starts and ends are the maximal runs of removed bytes; kept has the bytes that remain; text, where bytes went, their
+    whole characters.
     """
     own = common.copies(docs, text)
     own = common.stored(own, "copies")
@@ -178,7 +179,7 @@ def spans(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[DataF
         ties, equal = _sets(keys[keys["step"] == 1], "<u4"), _sets(keys[keys["step"] == 2], "<u8")
         out = []
         short = pdf[pdf["data"].str.len() < length].drop_duplicates("digest")
-        out += [(d, [], [], x) for d, x in zip(short["digest"], short["data"])]
+        out += [(d, [], [], x, None) for d, x in zip(short["digest"], short["data"])]
         for digests, data in _texts(pdf, length):
             hit = np.zeros(0, dtype=np.int64)
             if len(equal):
@@ -186,7 +187,7 @@ def spans(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[DataF
                 at, k, b = candidates(part, ties)
                 hit = at[common.member(folded(k, b), equal)]
             if not len(hit):
-                out += [(d, [], [], x) for d, x in zip(digests, data)]
+                out += [(d, [], [], x, None) for d, x in zip(digests, data)]
                 continue
             # the union of the runs [hit, hit + length)
             fresh = np.concatenate([[True], hit[1:] > hit[:-1] + length])
@@ -196,12 +197,12 @@ def spans(docs: DataFrame, length: int = 400, text: str = "text") -> tuple[DataF
                 a, z = first_of[i], first_of[i + 1] if i + 1 < len(data) else len(starts)
                 s, e = starts[a:z] - part.start[i], ends[a:z] - part.start[i]
                 kept = b"".join(x[p:n] for p, n in zip([0, *e], [*s, len(x)])) if z > a else x
-                out.append((d, s, e, kept))
+                out.append((d, s, e, kept, kept.decode("utf-8", "ignore") if z > a else None))
         common.given_back()
-        return pd.DataFrame(out, columns=["digest", "starts", "ends", "kept"])
+        return pd.DataFrame(out, columns=["digest", "starts", "ends", "kept", "text"])
 
     done = table.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(
-        removed, "digest binary, starts array<long>, ends array<long>, kept binary")
+        removed, "digest binary, starts array<long>, ends array<long>, kept binary, text string")
     return own, done
 
 
@@ -228,18 +229,9 @@ def deduplicated(docs: DataFrame, length: int = 400, text: str = "text") -> Data
     Only rows that lose something meet the results; the rest of the corpus keeps its text where it is.
     """
     own, done = spans(docs, length, text)
-    cut = done.filter("size(starts) > 0").select(F.col("digest").alias("_g"), F.col("kept").alias("_kept"))
-    gone = own.filter(_whole(length)).select(F.col("digest").alias("_g"), F.lit(b"").alias("_kept")).distinct()
+    cut = done.filter("size(starts) > 0").select(F.col("digest").alias("_g"), F.col("text").alias("_kept"))
+    gone = own.filter(_whole(length)).select(F.col("digest").alias("_g"), F.lit("").alias("_kept")).distinct()
     key = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     rows = docs.withColumn("_d", key).join(cut.join(gone, "_g", "left_anti").union(gone), F.col("_d") == F.col("_g"), "left")
-    return rows.withColumn(text, F.when(F.col("_kept").isNull(), F.col(text)).otherwise(whole_characters(F.col("_kept")))).select(*docs.columns)
+    return rows.withColumn(text, F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.col("_kept"))).select(*docs.columns)
 
-
-def whole_characters(data):
-    """The text of bytes, of which some characters may be cut."""
-
-    @F.pandas_udf("string")
-    def text(x: pd.Series) -> pd.Series:
-        return x.map(lambda b: b.decode("utf-8", "ignore"), na_action="ignore")
-
-    return text(data)
