@@ -87,3 +87,22 @@ def after_attempt(jobs: DataFrame, results: DataFrame, attempts: int = 3) -> Dat
     tried = F.col("attempts") + F.when(F.col("ok").isNotNull(), 1).otherwise(0)
     state = F.when(F.col("ok").isNull(), F.col("status")).when(tried >= attempts, "failed").otherwise("pending")
     return rows.filter("ok is null or not ok").withColumns({"status": state, "error": F.coalesce("_error", "error"), "attempts": tried}).drop("ok", "_error")
+
+
+def upserted_jobs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Jobs by document and page: new ones replace old ones but for their creation time; one that is done stays done,
+    and a new one that is done isn't taken."""
+    keys = ["document_id", "page_number"]
+    fresh = new.filter("status is null or status <> 'done'").select(*keys, *(F.col(c).alias(f"_{c}") for c in ("job_id", "status", "attempts", "error", "created_at")), F.lit(True).alias("_new"))
+    both = old.join(fresh, keys, "full_outer")
+    pick = lambda c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    state = F.when(F.col("status") == "done", "done").when(F.col("_new"), F.coalesce("_status", F.lit("pending"))).otherwise(F.col("status"))
+    return both.select(pick("job_id"), *keys, state.alias("status"), F.coalesce(pick("attempts"), F.lit(0)).alias("attempts"), pick("error"),
+                       F.coalesce("created_at", "_created_at").alias("created_at"))
+
+
+def known_by(docs: DataFrame, paths: DataFrame, found: DataFrame) -> DataFrame:
+    """found (file_hash, file_path) with document_id: of the document of that content, or else of that path, or else null."""
+    by_hash = docs.groupBy("file_hash").agg(F.min("document_id").alias("_h"))
+    by_path = paths.groupBy("file_path").agg(F.min("document_id").alias("_p"))
+    return found.join(by_hash, "file_hash", "left").join(by_path, "file_path", "left").select("file_hash", "file_path", F.coalesce("_h", "_p").alias("document_id"))
