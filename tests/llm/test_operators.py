@@ -359,3 +359,26 @@ def test_components(spark):
         a, b = sorted((top(a), top(b)))
         root[b] = a
     assert all(got[x] == top(x) for e in edges if e[0] != e[1] for x in e)
+
+
+@pytest.mark.parametrize("num,den", [(4, 5), (1, 2), (9, 10), (1, 1)])
+def test_bands_of_similar_sizes_meet(spark, num, den):
+    pairs = spark.range(1, 20001).select(F.col("id").alias("a"), F.floor(F.col("id") * den / num).alias("b"))
+    apart = jaccard.band(F.col("b"), num, den) - jaccard.band(F.col("a"), num, den)
+    assert pairs.filter(apart > 1).count() == 0
+
+
+@pytest.mark.parametrize("tile", [4096, 2, 1])
+def test_chains_across_bands(spark, tile, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    lengths = [9, 10, 11, 12, 16, 20, 24, 28, 40, 52, 64, 100, 101, 140, 170]
+    docs = spark.createDataFrame([(100 - i, " ".join(f"w{k}" for k in range(n)), None, "s", None) for i, n in enumerate(lengths)], DOCS)
+    sets = {100 - i: n - 4 for i, n in enumerate(lengths)}
+    label = {d: d for d in sets}
+    for a in sets:
+        for b in sets:
+            if 100 * min(sets[a], sets[b]) >= 80 * max(sets[a], sets[b]):
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = {d: new if x == old else x for d, x in label.items()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(docs).collect()}
+    assert got == {d: (sets[d], label[d]) for d in sets}
