@@ -63,17 +63,33 @@ def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)
 
 
+#: A text with more than one row in HOT is a hot one. At most HOT texts can be.
+HOT = 1000
+
+
 def copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, digest, n_bytes, rep, n_copies) for every row: rows of equal text share digest and rep, the smallest doc_id.
 
-    Only digests move; the sums are made before the shuffle, so one text in a third of all rows is no hot spot.
+    Only digests move; the sums are made before the shuffle, and rows of texts with many copies don't move for the join,
+    so one text in a third of all rows is no hot spot.
     A row without doc_id counts as one with the smallest id there is.
     """
     own = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("_t")).select(
         "doc_id", F.unhex(F.sha2(F.col("_t"), 256)).alias("digest"), F.octet_length("_t").cast("long").alias("n_bytes"))
     own = stored(own, "digests")
     each = own.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"))
-    return own.join(each, "digest")
+    hot = stored(each.filter(F.col("n_copies") * HOT > own.count()), "frequent")
+    # texts of many copies: fewer than HOT rows, which travel to every task; so none of their copies moves
+    rest = own.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(each, "digest")
+    return own.join(F.broadcast(hot), "digest").unionByName(rest)
+
+
+def with_facts(own: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of copies() with the facts (digest and more, one row for each text) of their text. Texts of more than one
+    row in HOT are fewer than HOT; their facts travel, and their rows stay."""
+    many = F.col("n_copies") * HOT > own.count()
+    few = facts.join(F.broadcast(own.filter(many).select("digest").distinct()), "digest", "left_semi")
+    return own.filter(many).join(F.broadcast(few), "digest").unionByName(own.filter(~many).join(facts, "digest"))
 
 
 #: Bytes of text that a block, the unit of work in Python, and a part, the unit on disk, should have.

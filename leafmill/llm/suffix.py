@@ -216,10 +216,13 @@ def report(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
     own, done = spans(docs, length, text)
     n = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
     found = done.filter("size(starts) > 0").select("digest", n.alias("_n"), F.size("starts").cast("long").alias("_s"), F.sha2("kept", 256).alias("_k"))
-    alone = own.filter(~_whole(length)).join(found, "digest", "left").select(
+    long_ = F.col("n_bytes") >= length
+    alone = own.filter(long_ & (F.col("n_copies") == 1)).join(found, "digest", "left").select(
         "doc_id", "n_bytes", F.coalesce("_n", F.lit(0)).alias("n_removed"), F.coalesce("_s", F.lit(0)).alias("n_spans"),
         F.coalesce("_k", F.lower(F.hex("digest"))).alias("kept_sha256"))
-    return alone.union(own.filter(_whole(length)).select(
+    none = F.lit(0).cast("long")
+    short = own.filter(~long_).select("doc_id", "n_bytes", none, none, F.lower(F.hex("digest")))
+    return alone.union(short).union(own.filter(_whole(length)).select(
         "doc_id", "n_bytes", F.col("n_bytes"), F.lit(1).cast("long"), F.sha2(F.lit("").cast("binary"), 256)))
 
 
