@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, labels
@@ -116,6 +116,27 @@ def enriched_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", md5_of(titles).alias("titles_md5"), md5_of(keywords).alias("keywords_md5"))
 
 
+def _whole() -> Column:
+    """All different words of a text in their order; without repeats, phrases come out the same."""
+    return F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""))
+
+
+@query("U06_phrases_apart_whole")
+def phrases_apart_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the whole text of every document: DuckDB's fold and lower() don't follow there."""
+    return table(spark, sf_dir, "documents").select("doc_id", md5_of(enrich.apart(_whole(), 20)).alias("phrases_md5"))
+
+
+@query("T19_enriched_tags_whole")
+def enriched_tags_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As T19_enriched_tags, of the whole text of every document; the words from the 20th on stand for noun phrases."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", words.alias("_w"))
+    later = F.array_distinct(F.slice("_w", 20, F.greatest(F.size("_w"), F.lit(1))))
+    titles, keywords = enrich.with_enrichment(F.array("source", "lang", "source"), F.array("lang", F.lit("x")), F.array_distinct("_w"), later)
+    return docs.select("doc_id", md5_of(titles).alias("titles_md5"), md5_of(keywords).alias("keywords_md5"))
+
+
 @query("U05_tag_edits", r"""WITH a AS (SELECT p_partkey, string_split(p_name, ' ') AS t, lower(p_type) AS n FROM part),
 b AS (SELECT p_partkey, CASE WHEN list_contains(t, n) THEN t ELSE t || [n] END AS t FROM a)
 SELECT p_partkey, array_to_string(t, ',') AS added, array_to_string(list_filter(t, lambda x: x <> 'small'), ',') AS removed FROM b""")
