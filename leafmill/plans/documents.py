@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, identity, markup, quality
 from ..functions import lexicon as lx
 from ..operators import tags
-from .registry import query
+from .registry import ORACLES, query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,11 +75,20 @@ e AS (SELECT doc_id, w AS tag, first, CASE WHEN length(w) BETWEEN 4 AND 12 AND r
 f AS (SELECT doc_id, tag, first, s, row_number() OVER (PARTITION BY doc_id ORDER BY s - 0.001 * first DESC, first, tag) AS rank FROM e WHERE s IS NOT NULL)
 SELECT doc_id, tag, CAST(floor((s - 0.001 * first) * 1000 + 0.5) AS BIGINT) AS score_milli, CAST(rank AS INT) AS rank FROM f WHERE rank <= 20""")
 def keyword_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    return _tagged(table(spark, sf_dir, "documents").filter("lang = 'en'"))
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
     rows = tags.keyword_tags(docs, stop=["for", "was"], domain=DOMAIN, common=COMMON)
     return rows.select("doc_id", "tag", F.floor(F.col("score") * 1000 + 0.5).cast("long").alias("score_milli"), "rank")
 
 
+@query("T04_keyword_tags_all", ORACLES["T04_keyword_tags"].replace(" WHERE lang = 'en'", ""))
+def keyword_tags_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, whatever its language."""
+    return _tagged(table(spark, sf_dir, "documents"))
+
+
 @query("T07_title_lines")
 def title_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tags.title_lines(table(spark, sf_dir, "documents"), stop=["for", "was"], domain=DOMAIN, common=COMMON)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search, vectors
 from .documents import table
-from .registry import query
+from .registry import ORACLES, query
 
 NORM_SQL = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 ASKED = "thing eran"
@@ -43,6 +43,12 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(table(spark, sf_dir, "documents").filter("lang = 'de'"))
 
 
+@query("X07_postings_all", ORACLES["X07_postings"].replace(" WHERE lang = 'de'", ""))
+def postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of every document, whatever its language."""
+    return search.postings(table(spark, sf_dir, "documents"))
+
+
 @query("X03_field_search", f"""WITH f AS (SELECT doc_id, {NORM_SQL} AS t, trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents),
 g AS (SELECT doc_id, t, s, s || ' ' || t AS a, string_split(t, ' ') AS w FROM f),
 n AS (SELECT count(*) AS n, sum(CASE WHEN contains(a, 'red') THEN 1 ELSE 0 END) AS df FROM g),

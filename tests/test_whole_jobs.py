@@ -60,3 +60,22 @@ def test_tags_of_whole_texts(spark, tmp_path, long_texts):
         keys, nouns = first(forms(w), 20), first(forms(w[19:]), 16)
         want[r["doc_id"]] = md5(first(forms([r["source"], lang]) + keys[:4], 14)), md5(first(keys + forms([lang, "x"]) + nouns[:6], 32))
     assert got == want
+
+
+# --- tags and postings of every language ---
+
+
+@pytest.fixture(scope="module")
+def languages(spark):
+    rows = [(1, "the than the", "en"), (2, "entre oren Größe", "de"), (3, "reth reth", None), (4, "oren", "fr"), (5, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_tags_of_every_language(spark, tmp_path, languages):
+    got = {(r["doc_id"], r["tag"], r["score_milli"], r["rank"]) for r in run(spark, tmp_path, "T04_keyword_tags_all", documents=languages)}
+    assert got == {(1, "the", 20000, 1), (1, "than", 15999, 2), (2, "entre", 16000, 1), (2, "oren", 15999, 2), (3, "reth", 20000, 1), (4, "oren", 16000, 1)}
+
+
+def test_postings_of_every_language(spark, tmp_path, languages):
+    got = {(r["token"], r["doc_id"], r["doc_len"], r["tf"]) for r in run(spark, tmp_path, "X07_postings_all", documents=languages)}
+    assert got == {("the", 1, 3, 2), ("than", 1, 3, 1), ("entre", 2, 4, 1), ("oren", 2, 4, 1), ("gr", 2, 4, 1), ("e", 2, 4, 1), ("reth", 3, 2, 2), ("oren", 4, 1, 1)}
