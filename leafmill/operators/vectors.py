@@ -1,7 +1,9 @@
-"""Exact vector search with built-in array functions."""
+"""Exact vector search: with built-in array functions, and for many queries in blocks with numpy."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +45,58 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding")
         "query_id", "vec_id", (F.floor(cosine(F.col("_q"), F.col(vec)) * 1e4 + 0.5) / 1e4).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    """One row for each vector; NaN for missing components and for lengths other than the most frequent one."""
+    size = column.map(len, na_action="ignore").mode()
+    size = int(size.iloc[0]) if len(size) else 0
+    none = np.full(size, np.nan)
+    return np.array([none if x is None or len(x) != size else np.asarray(x, dtype=np.float64) for x in column]).reshape(len(column), size)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As dot(), component by component, so that sums round alike."""
+    out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    for i in range(a.shape[-1]):
+        out += a[..., i] * b[..., i]
+    return out
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    n = np.sqrt(_dots(a, a))
+    return np.where(n == 0, 1.0, n)
+
+
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", block: int = 4096, chunk: int = 64) -> DataFrame:
+    """As knn(), for queries that grow with the table: blocks of queries meet blocks of vectors, and only the best k of
+    each pair of blocks go on. Vectors are to have one length."""
+    # the sizes alone reach the driver
+    n_rows, n_asked = -(-vectors.count() // block) or 1, -(-queries.count() // block) or 1
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.select("vec_id", F.col(vec).alias("_v"), dealt(n_rows).alias("_i"), every(n_asked).alias("_j"))
+    asked = queries.select(F.col("vec_id"), F.col(vec).alias("_v"), dealt(n_asked).alias("_j"), every(n_rows).alias("_i"))
+
+    def run(own, given):
+        out = []
+        if len(own) and len(given):
+            own = own.sort_values("vec_id", kind="stable")
+            both = _matrix(pd.concat([own["_v"], given["_v"]]))
+            x, q = both[:len(own)], both[len(own):]
+            ids, names, xn, qn = own["vec_id"].to_numpy(), given["vec_id"].to_numpy(), _norms(x), _norms(q)
+            for a in range(0, len(q), chunk):
+                scores = np.floor(_dots(q[a:a + chunk, None, :], x[None, :, :]) / (qn[a:a + chunk, None] * xn) * 1e4 + 0.5) / 1e4
+                for name, s in zip(names[a:a + chunk], scores):
+                    other = np.flatnonzero(ids != name)
+                    key = np.where(np.isnan(s[other]), -np.inf, s[other])
+                    if len(other) > k:
+                        near = key >= np.partition(key, len(key) - k)[len(key) - k]
+                        other, key = other[near], key[near]
+                    best = other[np.argsort(-key, kind="stable")[:k]]
+                    out.append(pd.DataFrame({"query_id": name, "vec_id": ids[best], "score": s[best]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "vec_id", "score"])
+
+    found = rows.groupBy("_i", "_j").cogroup(asked.groupBy("_i", "_j")).applyInPandas(run, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -91,39 +91,83 @@ def _knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return found.join(label, "vec_id").join(F.broadcast(want), "query_id")
 
 
+def _knn_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """As _knn(), with every row whose id is divisible by 50 as a query."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 50 = 0")
+    label = rows.select(F.col("vec_id"), F.col("label").alias("got"))
+    want = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"))
+    return vectors.knn_blocks(rows, asked, k).join(label, "vec_id").join(want, "query_id")
+
+
+def all_sql(name: str) -> str:
+    return ORACLES[name].replace("a.vec_id < 10", "a.vec_id % 50 = 0")
+
+
 @query("V02_knn", f"WITH {KNN_SQL} SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 30")
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir, 30).select("query_id", "vec_id", "score", "rank")
 
 
+@query("V02_knn_all", all_sql("V02_knn"))
+def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _knn_all(spark, sf_dir, 30).select("query_id", "vec_id", "score", "rank")
+
+
 @query("W06_precision_recall_at_k", f"""WITH {KNN_SQL}, r AS (SELECT want, count(*) - 1 AS total FROM (SELECT label AS want FROM embeddings) GROUP BY want),
 t AS (SELECT query_id, k.want, rank, sum(CASE WHEN want = got THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS good FROM k WHERE rank <= 50)
 SELECT query_id, CAST(rank AS INT) AS k, floor(good / rank * 1e4 + 0.5) / 1e4 AS precision, floor(good / total * 1e4 + 0.5) / 1e4 AS recall FROM t JOIN r ON t.want = r.want WHERE rank IN (5, 10, 20, 30, 50)""")
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _precision_recall(spark, sf_dir, _knn(spark, sf_dir, 50))
+
+
+def _precision_recall(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     good = F.sum((F.col("want") == F.col("got")).cast("int")).over(w)
     total = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("want")).agg((F.count(F.lit(1)) - 1).alias("total"))
-    rows = _knn(spark, sf_dir, 50).withColumn("good", good).filter(F.col("rank").isin(5, 10, 20, 30, 50)).join(total, "want")
+    rows = found.withColumn("good", good).filter(F.col("rank").isin(5, 10, 20, 30, 50)).join(total, "want")
     fine = lambda x: F.floor(x * 1e4 + 0.5) / 1e4
     return rows.select("query_id", F.col("rank").alias("k"), fine(F.col("good") / F.col("rank")).alias("precision"), fine(F.col("good") / F.col("total")).alias("recall"))
 
 
+@query("W06_precision_recall_at_k_all", all_sql("W06_precision_recall_at_k"))
+def precision_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _precision_recall(spark, sf_dir, _knn_all(spark, sf_dir, 50))
+
+
 @query("W05_first_irrelevant", f"WITH {KNN_SQL} SELECT query_id, CAST(min(rank) AS INT) AS first_irrelevant FROM k WHERE rank <= 50 AND want <> got GROUP BY query_id")
 def first_irrelevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _knn(spark, sf_dir, 50).filter("want <> got").groupBy("query_id").agg(F.min("rank").alias("first_irrelevant"))
+    return _first_irrelevant(_knn(spark, sf_dir, 50))
+
+
+def _first_irrelevant(found: DataFrame) -> DataFrame:
+    return found.filter("want <> got").groupBy("query_id").agg(F.min("rank").alias("first_irrelevant"))
+
+
+@query("W05_first_irrelevant_all", all_sql("W05_first_irrelevant"))
+def first_irrelevant_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _first_irrelevant(_knn_all(spark, sf_dir, 50))
 
 
 @query("F13_threshold_sweep", f"""WITH {KNN_SQL}, t AS (SELECT unnest([0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5]) AS threshold)
 SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS found, CAST(sum(CASE WHEN score >= threshold AND want = got THEN 1 ELSE 0 END) AS BIGINT) AS good FROM k CROSS JOIN t WHERE rank <= 50 GROUP BY threshold""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _swept(_knn(spark, sf_dir, 50))
+
+
+def _swept(rows: DataFrame) -> DataFrame:
     """One pass: each threshold is a conditional sum."""
     levels = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
-    rows = _knn(spark, sf_dir, 50)
     sums = rows.agg(*(F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("score") >= t).alias("found"),
                                F.count_if((F.col("score") >= t) & (F.col("want") == F.col("got"))).alias("good")).alias(f"_{i}") for i, t in enumerate(levels)))
     return sums.select(F.explode(F.array(*(f"_{i}" for i in range(len(levels))))).alias("r")).select("r.*")
 
 
+@query("F13_threshold_sweep_all", all_sql("F13_threshold_sweep"))
+def threshold_sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _swept(_knn_all(spark, sf_dir, 50))
+
+
 @query("X09_hybrid_merge", f"""WITH {BM25_SQL}, l AS (SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT 100),
 sem AS (SELECT b.vec_id AS doc_id, floor({COSINE_SQL} * 1e4 + 0.5) / 1e4 AS sim FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id = 0 ORDER BY sim DESC, doc_id LIMIT 30)
 SELECT coalesce(l.doc_id, sem.doc_id) AS doc_id, CASE WHEN sim IS NULL THEN floor(score * 1e4 + 0.5) / 1e4 WHEN score IS NULL THEN floor(sim * 10000 + 0.5) / 100 ELSE floor((score + 100 * sim) * 100 + 0.5) / 100 END AS score

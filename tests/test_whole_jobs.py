@@ -1,11 +1,13 @@
 """Queries that cover whole tables and whole texts, against brute force on small tables."""
 
 import hashlib
+import random
 import re
 
 import pytest
 
 import __spark_entry__ as entry
+from leafmill.operators import vectors
 
 
 def run(spark, tmp_path, name, **tables):
@@ -79,3 +81,21 @@ def test_tags_of_every_language(spark, tmp_path, languages):
 def test_postings_of_every_language(spark, tmp_path, languages):
     got = {(r["token"], r["doc_id"], r["doc_len"], r["tf"]) for r in run(spark, tmp_path, "X07_postings_all", documents=languages)}
     assert got == {("the", 1, 3, 2), ("than", 1, 3, 1), ("entre", 2, 4, 1), ("oren", 2, 4, 1), ("gr", 2, 4, 1), ("e", 2, 4, 1), ("reth", 3, 2, 2), ("oren", 4, 1, 1)}
+
+
+# --- search with every fiftieth row ---
+
+
+def test_every_fiftieth_row_is_a_query(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.randint(-3, 3)) for _ in range(4)], i % 3) for i in range(260)]
+    rows[100] = (100, [0.0] * 4, 1)
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = run(spark, tmp_path, "V02_knn_all", embeddings=given)
+    found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got)
+    assert {r[0] for r in found} == {0, 50, 100, 150, 200, 250} and len(found) == 6 * 30
+    old = vectors.knn(given, given.filter("vec_id % 50 = 0"), 30).collect()
+    assert found == sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in old)
+    cut = vectors.knn_blocks(given, given.filter("vec_id % 50 = 0"), 30, block=4, chunk=2).collect()
+    assert found == sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in cut)
+    assert {r["query_id"] for r in run(spark, tmp_path, "W06_precision_recall_at_k_all", embeddings=given)} == {0, 50, 100, 150, 200, 250}
