@@ -178,6 +178,13 @@ def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("doc_id").alias("item_id"), F.array_join("keyphrases", "|").alias("keyphrases"))
 
 
+@query("T21_keyphrases_documents")
+def keyphrases_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document; the SQL above has no bound on what it makes of long texts."""
+    found = enrich.keyphrases(table(spark, sf_dir, "documents").select("doc_id", "text"), stop=["was"], noise=[], domain=KNOWN, common=[])
+    return found.select("doc_id", F.array_join("keyphrases", "|").alias("keyphrases"))
+
+
 @query("F11_due_for_enrichment", """WITH e AS (SELECT doc_id, doc_id % 3 <> 0 AS same_words, doc_id % 5 <> 0 AS same_vector, doc_id % 7 <> 0 AS has_vector FROM documents WHERE doc_id % 11 <> 0)
 SELECT d.doc_id FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id WHERE trim(coalesce(d.text, '')) <> '' AND NOT coalesce(same_words AND same_vector AND has_vector, FALSE)""")
 def due_for_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:

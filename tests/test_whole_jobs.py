@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -99,3 +100,31 @@ def test_every_fiftieth_row_is_a_query(spark, tmp_path):
     cut = vectors.knn_blocks(given, given.filter("vec_id % 50 = 0"), 30, block=4, chunk=2).collect()
     assert found == sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in cut)
     assert {r["query_id"] for r in run(spark, tmp_path, "W06_precision_recall_at_k_all", embeddings=given)} == {0, 50, 100, 150, 200, 250}
+
+
+# --- key phrases of documents ---
+
+
+def keyphrases(text, known=("reth", "thing", "oren", "eran")):
+    def plausible(w):
+        w = w.replace("-", "")
+        return 4 <= len(w) <= 18 and re.search("[aeiou]", w) and not re.search("[bcdfghjklmnpqrstvwxyz]{5,}|[aeiou]{4,}", w)
+
+    words = [w for w in re.split(r"\s+", re.sub(r"[^a-z0-9\s-]", " ", (text or "").lower()))
+             if 3 <= len(w) <= 24 and w != "was" and not re.search("[0-9]", w) and (w in known or plausible(w))]
+    runs = [tuple(words[i:i + n]) for n in (3, 2, 1) for i in range(len(words) - n + 1)]
+    runs = [r for r in runs if len(r) == 1 or set(r) & set(known)]
+    number, at = Counter(runs), {}
+    for i, r in enumerate(runs):
+        at.setdefault(r, i)
+    score = lambda r: number[r] * (len(r) * 3 if len(r) > 1 else 1) + 2 / (1 + at[r] / 80) + 2 * sum(w in known for w in r)
+    return apart([p for p in (" ".join(r) for r in sorted(number, key=lambda r: (-score(r), at[r]))) if len(p) <= 60])
+
+
+def test_keyphrases_of_documents(spark, tmp_path):
+    rnd = random.Random(4)
+    pool = "reth thing oren eran barok selim tavon größe was quomedan ritual-oven zzz ab 12".split()
+    texts = [" ".join(rnd.choice(pool) for _ in range(n)) for n in (0, 1, 2, 30, 400, 5000)] + [None, "Thing, Oren! thing oren; ünder"]
+    given = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["keyphrases"] for r in run(spark, tmp_path, "T21_keyphrases_documents", documents=given)}
+    assert got == {i: "|".join(keyphrases(t)) for i, t in enumerate(texts)}
