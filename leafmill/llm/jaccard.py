@@ -7,7 +7,8 @@ alone and stay where they are. Documents that share such a member form candidate
 sorted by size, each set against those at most 1/s times as large, first by hashed bitmaps (a bit that one has and the
 other lacks is a member it lacks, which bounds the overlap from above), then by exact intersection of sorted arrays.
 Within a tile, pairs that are linked already are left out: classes come out the same, and a group of copies costs about
-one comparison a document. Groups of over TILE documents are cut into bands of sizes, such that only sets of one band or
+one comparison a document. Where links are to be counted, no pair is left out: every pair of different texts is verified
+once, which in a group of m near copies takes m squared comparisons. Groups of over TILE documents are cut into bands of sizes, such that only sets of one band or
 of two next to each other can be similar, and bands of over TILE into chunks; each pair of chunks that may have links is
 a tile of its own, so no task ever holds more than two chunks.
 
@@ -197,6 +198,39 @@ def tile_links(nodes: np.ndarray, chunk: np.ndarray, arrays: list[np.ndarray], n
     return links
 
 
+def tile_counts(nodes: np.ndarray, side: np.ndarray, arrays: list[np.ndarray], weights: np.ndarray, across: bool, num: int, den: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """As tile_links(), and the sum of the weights of all that each member is linked with: every pair is compared."""
+    size = np.array([len(x) for x in arrays], dtype=np.int64)
+    order = np.lexsort((nodes, size))
+    nodes, side, size, weights, arrays = nodes[order], side[order], size[order], weights[order].astype(np.int64), [arrays[i] for i in order]
+    maps = bitmaps(arrays)
+    label, total, links = np.arange(len(nodes)), np.zeros(len(nodes), dtype=np.int64), []
+    for a in range(len(nodes) - 1):
+        near = np.arange(a + 1, np.searchsorted(size, size[a] * den // num, "right"))
+        if across:
+            near = near[side[near] != side[a]]
+        if not len(near):
+            continue
+        mine, theirs = maps[a], maps[near]
+        most = np.minimum(size[a] - np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64),
+                          size[near] - np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64))
+        near = near[most >= -(-num * (size[a] + size[near]) // (num + den))]
+        step = int(max(1, (1 << 19) // size[a]))  # a few megabytes at a time
+        for some in (near[i:i + step] for i in range(0, len(near), step)):
+            flat = np.concatenate([arrays[b] for b in some])
+            shared = np.add.reduceat(common.member(flat, arrays[a]).astype(np.int64), np.cumsum(size[some]) - size[some])
+            hit = some[shared * (num + den) >= num * (size[a] + size[some])]
+            total[a] += weights[hit].sum()
+            total[hit] += weights[a]
+            for b in hit[label[hit] != label[a]]:
+                if label[b] != label[a]:
+                    links.append((nodes[a], nodes[b]))
+                    label[label == label[b]] = label[a]
+    out = np.empty_like(total)
+    out[order] = total
+    return links, out
+
+
 def band(size: Column, num: int, den: int) -> Column:
     """Sets that are similar enough have sizes in one band or in two next to each other: a band is hardly wider than the
     largest ratio of their sizes."""
@@ -248,9 +282,31 @@ def _links(rows: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("node", "digest", "grams").join(tiles, ["node", "digest"]).drop("digest").groupBy("bundle", "lo", "i", "hi", "j").applyInPandas(run, "a long, b long")
 
 
-def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:
+def _counts(rows: DataFrame, groups: DataFrame, copies: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (a, b) as of _links(), and rows (digest, n): n other rows, without copies of the text, are linked with a text
+    in a tile. A tile gives at most two rows for each of its members."""
+    members = common.stored(rows.select("node", "digest", "size").join(groups, "node"), "members")
+    tiles = _tiles(members, num, den)
+
+    def run(pdf):
+        out = []
+        for _, own in pdf.groupby("component", sort=False):
+            if len(own) > 1:
+                across = (own["lo"].iloc[0], own["i"].iloc[0]) != (own["hi"].iloc[0], own["j"].iloc[0])
+                links, total = tile_counts(own["node"].to_numpy(), own["side"].to_numpy(), [np.frombuffer(x, dtype="<u8") for x in own["grams"]],
+                                           own["n_copies"].to_numpy(), across, num, den)
+                out += [(a, b, None, None) for a, b in links] + [(None, None, d, n) for d, n in zip(own["digest"], total) if n]
+        return pd.DataFrame(out, columns=["a", "b", "digest", "n"]).astype({"a": "Int64", "b": "Int64", "n": "Int64"})
+
+    weights = copies.select("digest", "n_copies").distinct()
+    data = rows.select("node", "digest", "grams").join(tiles, ["node", "digest"]).join(weights, "digest")
+    return data.groupBy("bundle", "lo", "i", "hi", "j").applyInPandas(run, "a long, b long, digest binary, n long")
+
+
+def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str = "text", count: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; documents of one component are linked by similarities of at
-    least num / den."""
+    least num / den. With `count`, also n_links: how many other rows have a text that is so similar, copies among them;
+    texts whose rows all lack a doc_id are compared with copies only."""
     own = common.stored(common.copies(docs, text), "copies")
     rows = common.stored(active(docs, own, n, num, den, text), "shingles")
     live = rows.filter(F.col("tokens").isNotNull() & F.col("node").isNotNull())
@@ -259,12 +315,20 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str =
     groups = common.components(each.join(least, "token").select(F.col("node").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
     common.swept(docs.sparkSession)
     # rows that repeat a doc_id with other texts are one node
-    links = _links(live, common.stored(groups, "groups"), num, den)
+    groups = common.stored(groups, "groups")
+    if count:
+        both = common.stored(_counts(live, groups, own, num, den), "links")
+        links, sums = both.filter("a is not null").select("a", "b"), both.filter("a is null").groupBy("digest").agg(F.sum("n").alias("_n"))
+    else:
+        links = _links(live, groups, num, den)
     classes = common.components(links)
     each = rows.select("digest", "size", "node").join(classes, "node", "left").select("digest", "size", "component")
+    if count:
+        each = each.join(sums, "digest", "left")
     found = common.with_facts(own, common.stored(each, "classes"))
     return found.select("doc_id", F.col("size").alias("n_shingles"),
-                        F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
+                        F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
+                        *([F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("n_copies") - 1 + F.coalesce("_n", F.lit(0))).cast("long").alias("n_links")] if count else []))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:

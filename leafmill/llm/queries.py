@@ -24,7 +24,7 @@ def op1_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.linked(_table(spark, sf_dir, "documents"), 5, 4, 5)
+    return jaccard.linked(_table(spark, sf_dir, "documents"), 5, 4, 5, count=True)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
