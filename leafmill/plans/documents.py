@@ -129,6 +129,12 @@ def markup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.length(markup.markup_text(F.col("html"))).cast("long").alias("n_chars"))
 
 
+@query("S11_markup_text_all")
+def markup_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every page, those with numeric entities too, for which there is no SQL."""
+    return table(spark, sf_dir, "pages").select("page_id", F.length(markup.markup_text(F.col("html"))).cast("long").alias("n_chars"))
+
+
 @query("K26_dictionary_signals")
 def dictionary_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("w"))

@@ -128,3 +128,11 @@ def test_keyphrases_of_documents(spark, tmp_path):
     given = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["keyphrases"] for r in run(spark, tmp_path, "T21_keyphrases_documents", documents=given)}
     assert got == {i: "|".join(keyphrases(t)) for i, t in enumerate(texts)}
+
+
+# --- markup with numeric entities ---
+
+
+def test_markup_of_every_page(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "<p>a&#65;b</p>"), (2, "<b>x&#x42;&amp;</b>"), (3, "plain"), (4, None)], "page_id long, html string")
+    assert {r["page_id"]: r["n_chars"] for r in run(spark, tmp_path, "S11_markup_text_all", pages=pages)} == {1: 3, 2: 3, 3: 5, 4: None}
