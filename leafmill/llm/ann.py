@@ -5,9 +5,12 @@ signed axis. Every vector is filed once in each table; a query looks into its `p
 that lies there is ranked by the exact inner product in double precision. A last coordinate makes all lengths equal,
 so that the nearest by angle is the largest by inner product for vectors of any length.
 
-Cells are dealt to tasks in bundles, and a cell of more than CELL vectors in pieces, each of which gives its own k best;
-the k best of those are the same as of the whole. Queries that find fewer than k (or than there are) are searched
-again among all rows.
+Cells are dealt to tasks in bundles. A cell of more than CELL vectors is cut into pieces, one that more than ASKED queries
+look into has its queries cut, and each pair of such pieces is a task's; each gives its own k best, and the k best of
+those are the same as of the whole. Queries that find fewer than k (or than there are) are searched again among all
+rows, in the same pieces.
+
+The number of probes is one at every size. Recall depends on the vectors: README has figures.
 
 Cases: vectors that are null, all zero, or hold null, NaN or infinite numbers take no part, nor do rows without an id;
 shorter vectors count as followed by zeros; equal scores go to the smaller id; rows that repeat an id are one candidate,
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CELL = 8192
+CELL, ASKED = 8192, 4096
+#: Pairs of a query and a vector whose exact scores are taken at a time.
+PAIRS = 1 << 16
 
 
 def whole(vec: Column) -> Column:
@@ -55,41 +60,51 @@ def padded(vectors: list[np.ndarray], dim: int) -> np.ndarray:
     return out
 
 
-def best(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, rough: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best by exact score, among those that may be so by a rough one; sums always run in the same order."""
-    rough = np.where(ids == own, -np.inf, rough)
-    if len(ids) > k:
-        edge = np.partition(rough, len(rough) - k)[len(rough) - k]
-        near = np.flatnonzero((rough >= edge - 1e-9 * (1 + abs(edge))) & (rough > -np.inf))
-    else:
-        near = np.flatnonzero(rough > -np.inf)
-    score = (vectors[near] * query).sum(axis=1)
-    order = np.lexsort((ids[near], -score))[:k]
-    return ids[near][order], score[order]
-
-
-def searched(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
-    """(query_id, ids, scores) for rows (bundle, salt, cell, vec_id, data) and queries of the same kind."""
+def best(ids: np.ndarray, vectors: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, bytes, bytes]]:
+    """(query, ids, scores) of the k best for each query: those that may be so by a matrix product, by exact score, whose
+    sums always run in the same order."""
+    rough = queries @ vectors.T
+    rough[ids[None, :] == names[:, None]] = -np.inf
+    least = max(0, len(ids) - k)
+    edge = np.partition(rough, least, axis=1)[:, least, None] if least else np.full((len(names), 1), -np.inf)
+    with np.errstate(invalid="ignore"):
+        at, near = np.nonzero((rough > -np.inf) & ~(rough < edge - 1e-9 * (1 + np.abs(edge))))
+    score = np.concatenate([np.zeros(0), *((vectors[near[i:i + PAIRS]] * queries[at[i:i + PAIRS]]).sum(axis=1) for i in range(0, len(at), PAIRS))])
+    order = np.lexsort((ids[near], -score, at))
+    at, near, score = at[order], near[order], score[order]
+    first = np.searchsorted(at, np.arange(len(names)))
+    last = np.minimum(first + k, np.append(first[1:], len(at)))
+    return [(names[i], ids[near[a:z]].tobytes(), score[a:z].tobytes()) for i, (a, z) in enumerate(zip(first, last)) if z > a]
+
+
+def searched(rows: DataFrame, queries: DataFrame, dim: int, k: int, bundles: int) -> DataFrame:
+    """(query_id, ids, scores) for rows (cell, vec_id, data) and queries of the same kind; of cells there are few."""
+    left = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_k"))
+    right = queries.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("_m"))
+    grid = F.broadcast(left.join(right, "cell"))
+    bundle = F.pmod(F.xxhash64("cell"), F.lit(bundles)).alias("bundle")
+    own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    files = rows.join(grid, "cell").select(bundle, own("_k").alias("i"), every("_m").alias("j"), "cell", "vec_id", "data")
+    asking = queries.join(grid, "cell").select(bundle, every("_k").alias("i"), own("_m").alias("j"), "cell", "vec_id", "data")
 
     def run(left, right):
         out = []
         if len(left) and len(right):
-            files = {c: g for c, g in left.groupby("cell", sort=False)}
+            there = {c: g for c, g in left.groupby("cell", sort=False)}
             for cell, asked in right.groupby("cell", sort=False):
-                if cell not in files:
+                if cell not in there:
                     continue
-                own = files[cell]
+                own = there[cell]
                 ids, vectors = own["vec_id"].to_numpy(), padded([np.frombuffer(x) for x in own["data"]], dim)
                 names = asked["vec_id"].to_numpy()
                 q = padded([np.frombuffer(x) for x in asked["data"]], dim)
-                for a in range(0, len(q), 512):
-                    rough = q[a:a + 512] @ vectors.T
-                    for i in range(len(rough)):
-                        found = best(ids, vectors, q[a + i], rough[i], names[a + i], k)
-                        out.append((names[a + i], found[0].tobytes(), found[1].tobytes()))
+                for a in range(0, len(q), 256):
+                    out += best(ids, vectors, names[a:a + 256], q[a:a + 256], k)
         return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
-    return rows.groupBy("bundle", "salt").cogroup(queries.groupBy("bundle", "salt")).applyInPandas(run, "query_id long, ids binary, scores binary")
+    key = ["bundle", "i", "j"]
+    return files.groupBy(*key).cogroup(asking.groupBy(*key)).applyInPandas(run, "query_id long, ids binary, scores binary")
 
 
 def merged(found: DataFrame, k: int, parts: int) -> DataFrame:
@@ -107,13 +122,10 @@ def merged(found: DataFrame, k: int, parts: int) -> DataFrame:
     return dealt.groupBy("_p").applyInPandas(run, "query_id long, rank int, vec_id long, score double")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", tables: int = 8, probes: int = 16,
-            least: int = 6000, seed: int = 1) -> DataFrame:
-    """query_id, rank, vec_id, score for every row of queries (vec_id and vec), searched among the rows of vectors.
-
-    A query looks into `probes` axes of each table, or into so many more that about `least` rows should lie there:
-    among few rows even the nearest are far, and their axes differ.
-    """
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", tables: int = 8, probes: int = 24,
+            seed: int = 1) -> DataFrame:
+    """query_id, rank, vec_id, score for every row of queries (vec_id and vec), searched among the rows of vectors. A
+    query looks into `probes` axes of each table."""
     spark = vectors.sparkSession
     take = lambda df: df.filter(F.col("vec_id").isNotNull() & whole(F.col(vec)) & F.exists(vec, lambda x: x != 0)).select(
         "vec_id", F.col(vec).cast("array<double>").alias("v"))
@@ -124,7 +136,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embeddin
     width = 1 << int(dim).bit_length()
     longest = float(np.sqrt(longest or 1.0)) * (1 + 1e-12)
     cells = tables * 2 * width
-    probes = min(2 * width, max(probes, -(-least * 2 * width // (tables * max(1, n or 0)))))
+    probes = min(2 * width, probes)
     bundles = max(2 * common.cores(spark), min(cells, (n or 0) * tables // 32768))
 
     def files(probed: int, query: bool):
@@ -149,22 +161,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embeddin
 
     schema = "cell int, vec_id long, data binary"
     filed = common.stored(rows.mapInPandas(files(1, False), schema), "cells")
-    probing = asked.mapInPandas(files(probes, True), schema)
-    pieces = filed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("_k"))  # at most `cells` rows
-    bundle = F.pmod(F.xxhash64("cell"), F.lit(bundles)).alias("bundle")
-    left = filed.join(F.broadcast(pieces), "cell").select(bundle, F.pmod(F.xxhash64("vec_id"), F.col("_k")).cast("int").alias("salt"), "cell", "vec_id", "data")
-    right = probing.join(F.broadcast(pieces), "cell").select(bundle, F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("salt"), "cell", "vec_id", "data")
+    probing = common.stored(asked.mapInPandas(files(probes, True), schema), "probes")
     parts = max(2 * common.cores(spark), bundles)
-    first = common.stored(merged(searched(left, right, dim, k), k, parts), "nearest")
+    first = common.stored(merged(searched(filed, probing, dim, k, bundles), k, parts), "nearest")
     full = first.groupBy("query_id").count().filter(F.col("count") >= min(k, max(0, n - 1))).select(F.col("query_id").alias("vec_id"))
     few = common.stored(asked.join(full, "vec_id", "left_anti"), "few")
     if few.isEmpty():
         return first
     # what the cells don't give enough of is searched exactly
-    salts = max(1, -(-n // CELL))
-    left = _blobs(rows).select(F.lit(0).alias("bundle"), F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(0).alias("cell"), "vec_id", "data")
-    right = _blobs(few).select(F.lit(0).alias("bundle"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("cell"), "vec_id", "data")
-    again = merged(searched(left, right, dim, k), k, parts)
+    alike = lambda df: _blobs(df).withColumn("cell", F.lit(0))
+    again = merged(searched(common.stored(alike(rows), "rows"), alike(few), dim, k, 1), k, parts)
     return first.join(few.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").union(again)
 
 

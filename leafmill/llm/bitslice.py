@@ -6,7 +6,9 @@ complement. Bitmaps of equal value are added three at a time (sum and carry) unt
 The k best rows are then found from the most significant sum down: while a slice alone holds too many rows, the search
 goes on among those; rows that are still equal at the end differ in id only, and the smaller ids win.
 
-Queries and blocks meet in pieces of a bounded size; each gives its own k best for each query, which merge exactly.
+A block is dealt once for each PART queries, and queries, packed QUERIES to a row, once for each block: both ways move
+about as many bytes, and a task holds one block and one part of the queries. Each gives its own k best for each query,
+which merge exactly.
 
 Cases: vectors that are null, or hold null, NaN or infinite numbers take no part, nor do rows without an id; shorter
 vectors count as followed by zeros; rows that repeat an id are one candidate, with its best score; an empty table gives
@@ -24,6 +26,8 @@ from . import ann, common
 
 ROWS = 32768
 QUERIES = 64
+#: Queries that meet a block in one task: some 2 MB of them, as the block has.
+PART = 4096
 
 
 def quantised(vec: Column, scale: int = 1024) -> Column:
@@ -136,16 +140,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding"
     def ask(pdf):
         return pd.DataFrame([(int(pdf["chunk"].iloc[0]), pdf["vec_id"].to_numpy().tobytes(), table(pdf["v"]).tobytes())], columns=["chunk", "names", "queries"])
 
-    def run(batches):
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ids, names = np.frombuffer(r.ids, dtype=np.int64), np.frombuffer(r.names, dtype=np.int64)
-                slices = np.frombuffer(r.slices, dtype=np.uint64).reshape(dim, bits, -1)
-                every = np.zeros(slices.shape[2] * 8, dtype=np.uint8)
-                every[:-(-len(ids) // 8)] = np.packbits(np.ones(len(ids), dtype=bool), bitorder="little")
-                every = every.view(np.uint64)
-                out = []
-                for name, q in zip(names, np.frombuffer(r.queries, dtype=np.int64).reshape(-1, dim)):
+    def run(left, right):
+        out = []
+        for r in left.itertuples(index=False):
+            ids = np.frombuffer(r.ids, dtype=np.int64)
+            slices = np.frombuffer(r.slices, dtype=np.uint64).reshape(dim, bits, -1)
+            every = np.zeros(slices.shape[2] * 8, dtype=np.uint8)
+            every[:-(-len(ids) // 8)] = np.packbits(np.ones(len(ids), dtype=bool), bitorder="little")
+            every = every.view(np.uint64)
+            for x in right.itertuples(index=False):
+                for name, q in zip(np.frombuffer(x.names, dtype=np.int64), np.frombuffer(x.queries, dtype=np.int64).reshape(-1, dim)):
                     sums, const = scores(slices, q)
                     valid = every.copy()
                     for p in range(*np.searchsorted(ids, [name, name + 1])):
@@ -161,12 +165,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding"
                         if len(set(ids[at].tolist())) >= k:
                             break
                     out.append((name, ids[at].tobytes(), score.astype(np.float64).tobytes()))
-                yield pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
 
     spread = lambda count, name: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int").alias(name)
     built = common.stored(rows.select(spread(blocks, "block"), "*").groupBy("block").applyInPandas(index, "block int, ids binary, slices binary"), "slices")
     asking = asked.select(spread(chunks, "chunk"), "*").groupBy("chunk").applyInPandas(ask, "chunk int, names binary, queries binary")
-    pairs = built.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).join(asking, "chunk")
-    found = pairs.repartition(max(1, min(blocks * chunks, 64 * common.cores(spark))), "block", "chunk").mapInPandas(run, "query_id long, ids binary, scores binary")
+    per = PART // QUERIES
+    upto = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    left = built.select("block", upto(-(-chunks // per), "part"), "ids", "slices")
+    right = asking.select(upto(blocks, "block"), F.floor(F.col("chunk") / per).cast("int").alias("part"), "names", "queries")
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, "query_id long, ids binary, scores binary")
     best = ann.merged(found, k, max(1, min(chunks, 2 * common.cores(spark))))
     return best.withColumn("score", F.col("score").cast("long"))

@@ -15,24 +15,58 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a local one, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.gettempdir() + "/checkpoints"
     return found.rstrip("/")
 
 
+#: What this process has written for its own use, by application: tables and folders.
+_MADE: dict[str, list[tuple[str, str]]] = {}
+
+
+def _noted(spark: SparkSession, kind: str, name: str) -> None:
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append((kind, name))
+
+
+def cleared(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Drops all tables and folders that were written for steps in between, but those that `keep` reads. To be called
+    once the results that need them are written elsewhere."""
+    needed = " ".join(keep.inputFiles()) if keep is not None else ""
+    held = []
+    for kind, name in _MADE.pop(spark.sparkContext.applicationId, []):
+        folder = name if kind == "folder" else f"{shared_dir(spark)}/{name}"
+        if folder.rsplit("/", 1)[-1] in needed:
+            held.append((kind, name))
+            continue
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if held:
+        _MADE[spark.sparkContext.applicationId] = held
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of df as one named `row`: whatever they are called, no helper column can clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _noted(spark, "folder", path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -119,6 +153,7 @@ def blocks(docs: DataFrame, own: DataFrame, text: str = "text") -> tuple[DataFra
         same = (left["block"] == right["block"]) & left["doc_id"].eqNullSafe(right["doc_id"]) & (left["digest"] == right["digest"])
         kept = left.join(right.hint("shuffle_hash"), same, "left_semi")
         name = f"texts_{uuid.uuid4().hex}"
+        _noted(spark, "table", name)
         (kept.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
              .bucketBy(parts, "block").format("parquet").saveAsTable(name))
     finally:
@@ -217,6 +252,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 # --- bytes ------------------------------------------------------------------------------------------------
 
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Sums of bytes are taken modulo a prime, in two lanes of bases and codes of their own. Modulo a power of two, some
+#: strings (Thue-Morse words) would have equal sums for every base.
+PRIME = U64((1 << 31) - 1)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -240,24 +278,62 @@ def powers(n: int, base: int) -> np.ndarray:
     return _powers(1 << max(16, (n - 1).bit_length()), base)[:n]
 
 
-BYTE_CODES = mixed(np.arange(1, 257, dtype=U64)) | U64(1)
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, or that and the prime, for x below 2 ** 62; in place."""
+    high = x >> U64(31)
+    x &= PRIME
+    x += high
+    return x
+
+
+@lru_cache(maxsize=8)
+def _prime_powers(n: int, base: int) -> np.ndarray:
+    """base ** (0 .. n-1) modulo the prime, doubled from its first half."""
+    out, p = np.ones(n, dtype=U64), int(PRIME)
+    done = 1
+    while done < n:
+        some = min(done, n - done)
+        x = reduced(reduced(out[:some] * U64(pow(base, done, p))))
+        out[done:done + some] = np.where(x >= PRIME, x - PRIME, x)
+        done += some
+    return out
+
+
+def _lanes() -> list[tuple[int, int, np.ndarray]]:
+    rnd = np.random.default_rng(20)
+    out = []
+    for _ in range(2):
+        base = int(rnd.integers(1 << 20, int(PRIME) - 1))
+        out.append((base, pow(base, -1, int(PRIME)), rnd.choice(int(PRIME) - 1, 256, replace=False).astype(U64) + U64(1)))
+    return out
+
+
+LANES = _lanes()
 
 
 class Prefixes:
-    """Hashes of any substring of a run of bytes, from running sums of code * BASE ** position."""
+    """Hashes of any substring of a run of bytes, from running sums of code * base ** position modulo a prime.
+
+    Two different strings of n bytes have one hash with a chance of about (n / 2 ** 31) ** 2 over the random bases, and
+    of 2 ** -62 where they are unrelated.
+    """
 
-    def __init__(self, data: np.ndarray, codes: np.ndarray = BYTE_CODES):
+    def __init__(self, data: np.ndarray):
         n = len(data)
-        self.back = powers(n + 1, pow(BASE, -1, 1 << 64))
-        self.sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(codes[data] * powers(n + 1, BASE)[:n], out=self.sums[1:])
+        full = 1 << max(16, n.bit_length())
+        self.lanes = []
+        for base, inverse, codes in LANES:
+            sums = np.zeros(n + 1, dtype=U64)
+            np.cumsum(reduced(codes[data] * _prime_powers(full, base)[:n]), out=sums[1:])  # below 2 ** 33 bytes this can't overflow
+            self.lanes.append((sums, _prime_powers(full, inverse)))
+
+    @staticmethod
+    def _name(parts: list[np.ndarray]) -> np.ndarray:
+        a, b = (np.where(x >= PRIME, x - PRIME, x) for x in (reduced(x) for x in parts))
+        return mixed(a | b << U64(31))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.back[start])
-
-    def windows(self, length: int, count: int) -> np.ndarray:
-        """For windows of one length that start at 0 .. count-1."""
-        return mixed((self.sums[length:length + count] - self.sums[:count]) * self.back[:count])
+        return self._name([reduced(reduced(reduced(s[end] - s[start])) * back[start]) for s, back in self.lanes])
 
 
 def chunked(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:

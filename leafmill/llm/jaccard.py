@@ -8,9 +8,10 @@ sorted by size, each set against those at most 1/s times as large, first by hash
 other lacks is a member it lacks, which bounds the overlap from above), then by exact intersection of sorted arrays.
 Within a tile, pairs that are linked already are left out: classes come out the same, and a group of copies costs about
 one comparison a document. Where links are to be counted, no pair is left out: every pair of different texts is verified
-once, which in a group of m near copies takes m squared comparisons. Groups of over TILE documents are cut into bands of sizes, such that only sets of one band or
-of two next to each other can be similar, and bands of over TILE into chunks; each pair of chunks that may have links is
-a tile of its own, so no task ever holds more than two chunks.
+once, which in a group of m near copies takes m squared comparisons. Groups of over TILE documents, or of over WEIGHT
+bytes of members, are cut into bands of sizes, such that only sets of one band or of two next to each other can be
+similar, and large bands into chunks by hash; each pair of chunks that may have links is a tile of its own, so no task
+ever holds more than two chunks.
 
 Cases: null or wordless texts have an empty set and stand alone, even if equal; a text of fewer than n words is one
 n-gram as a whole; rows that repeat a doc_id count as one document whose links are the rows' together; extra columns
@@ -30,7 +31,8 @@ from . import common
 from .common import U64
 
 BUCKET = 2_000_000
-TILE = 4096
+#: Documents, and bytes of their members, in a chunk of a candidate group.
+TILE, WEIGHT = 1024, 32 << 20
 BITS = 1024
 
 #: A-Z as a-z, and which bytes end a word.
@@ -241,18 +243,19 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     """(node, digest, component, bundle, lo, i, hi, j, side) of members (node, digest, size, component): the tiles in
     which each is compared.
 
-    A component of up to TILE members is one tile. A larger one is cut into bands, a band of more than TILE into chunks
-    by hash, and a tile is a chunk with itself, with another one of its band or with one of the band above.
+    A component of up to TILE members and WEIGHT bytes is one tile. A larger one is cut into bands, a larger band into
+    chunks by hash, and a tile is a chunk with itself, with another one of its band or with one of the band above.
     """
     spark = members.sparkSession
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    chunked = F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum(F.col("size") * 8) / WEIGHT)).cast("int")
+    sizes = members.groupBy("component").agg(chunked.alias("_n"))
     dealt = members.join(sizes, "component")
     bundles = max(2 * common.cores(spark), members.count() // 400)
     no = F.lit(-1)
-    small = dealt.filter(F.col("_n") <= TILE).select(
+    small = dealt.filter("_n <= 1").select(
         "node", "digest", "component", F.pmod(F.xxhash64("component"), F.lit(bundles)).alias("bundle"), no.alias("lo"), no.alias("i"), no.alias("hi"), no.alias("j"), F.lit(0).alias("side"))
-    large = dealt.filter(F.col("_n") > TILE).withColumn("_b", band(F.col("size"), num, den))
-    chunks = large.groupBy("component", "_b").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_k"))
+    large = dealt.filter("_n > 1").withColumn("_b", band(F.col("size"), num, den))
+    chunks = large.groupBy("component", "_b").agg(chunked.alias("_k"))
     near = lambda step, k: chunks.select("component", (F.col("_b") + step).alias("_b"), F.col("_k").alias(k))
     rows = large.join(chunks, ["component", "_b"]).join(near(-1, "_up"), ["component", "_b"], "left").join(near(1, "_down"), ["component", "_b"], "left")
     own, b = F.pmod(F.xxhash64("digest"), F.col("_k")).cast("int"), F.col("_b")
@@ -332,6 +335,11 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str =
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str = "text") -> DataFrame:
-    """The row of docs with the smallest doc_id of each component; of rows that repeat it, one of each text."""
-    keep = linked(docs, n, num, den, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    """The row of docs with the smallest doc_id of each component; of rows that repeat it, one of each text that there
+    is under it. Rows without words all stay, and so does one row of each text that has no doc_id at all."""
+    first = linked(docs, n, num, den, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key, none = F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")
+    rows = docs.select(key, none, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"), common.whole_rows(docs))
+    # the join deals rows by id, which serves the aggregate too: texts move once
+    kept = rows.join(first.select(key, none).distinct(), ["id", "none"], "left_semi")
+    return kept.groupBy("id", "none", "digest").agg(F.first("row").alias("row")).select("row.*")

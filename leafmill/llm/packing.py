@@ -4,7 +4,9 @@ The plan is made over counts of pieces by length, of which there are at most `si
 the same for any number of documents. Pieces then find their slot by their rank within their length.
 
 Cases: a null or empty text is one piece that holds the end id alone; a document longer than `size` is cut into full
-pieces and a last one; rows that repeat a doc_id are documents of their own; an empty table gives no rows.
+pieces and a last one; rows that repeat a doc_id are documents of their own, as are equal rows; documents of equal length
+are told apart by doc_id, piece and checksum, and take their length's slots in any order beyond that; extra columns may
+have any name and are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,8 +73,14 @@ class WordTokenizer:
     def _clear(self) -> None:
         self.names, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
         self.index, self.begin, self.count = (np.zeros(0, dtype=np.int32) for _ in range(3))
-
-    def _learn(self, names: np.ndarray, words: list[str]) -> None:
+        self.letters, self.letters_begin, self.letters_end = np.zeros(0, dtype=np.uint8), *(np.zeros(0, dtype=np.int64) for _ in range(2))
+
+    def _learn(self, names: np.ndarray, raw: list[bytes]) -> None:
+        words = [x.decode("latin-1") for x in raw]
+        sizes = np.array([len(x) for x in raw], dtype=np.int64)
+        begin = len(self.letters) + np.cumsum(sizes) - sizes
+        self.letters = np.concatenate([self.letters, np.frombuffer(b"".join(raw), dtype=np.uint8)])
+        self.letters_begin, self.letters_end = np.concatenate([self.letters_begin, begin]), np.concatenate([self.letters_end, begin + sizes])
         # the library's results are large; a few thousand at a time
         found = [e.ids for i in range(0, len(words), 4096) for e in self.single.encode_batch(words[i:i + 4096], add_special_tokens=False)]
         counts = np.array([len(x) for x in found], dtype=np.int32)
@@ -103,7 +111,8 @@ class WordTokenizer:
         return events[first], events[first + 1]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Words of a batch are told apart by a 64-bit hash of their characters and length."""
+        """Ids of each text. Words are found by a 64-bit hash of their characters and length, and each is compared with the
+        word that its hash stands for; one that differs goes to the library itself."""
         if len(self.count) > KEEP:
             self._clear()
         quick = [self.by_word and self.odd.search(t) is None and not any(s in t for s in self.added) for t in texts]
@@ -116,15 +125,36 @@ class WordTokenizer:
         new = ~common.member(used, self.names)
         if new.any():
             at = first[new]
-            self._learn(used[new], [whole[a:b].decode("latin-1") for a, b in zip(start[at].tolist(), end[at].tolist())])
+            self._learn(used[new], [whole[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())])
         idx = self.index[np.searchsorted(self.names, used)]
         counts = self.count[idx][which]
         ends = np.concatenate([[0], np.cumsum(counts)])
         flat = self.flat[np.repeat(self.begin[idx][which] - ends[:-1], counts) + np.arange(ends[-1])]
         lens = np.array([len(r) + 1 for r in raw], dtype=np.int64)
-        bounds = ends[np.searchsorted(start, np.concatenate([[0], np.cumsum(lens)]))]
-        return [flat[a:b] if q else np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
-                for t, q, a, b in zip(texts, quick, bounds[:-1], bounds[1:])]
+        edge = np.searchsorted(start, np.concatenate([[0], np.cumsum(lens)]))
+        bounds = ends[edge]
+        apart = set((np.searchsorted(edge, self._unlike(data, start, end, idx[which]), "right") - 1).tolist())
+        return [flat[a:b] if q and i not in apart else np.array(self.whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32)
+                for i, (t, q, a, b) in enumerate(zip(texts, quick, bounds[:-1], bounds[1:]))]
+
+    def _unlike(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, idx: np.ndarray) -> np.ndarray:
+        """Which words aren't, byte for byte, those kept under their hash: two words of one hash."""
+        size = end - start
+        kept_size = self.letters_end[idx] - self.letters_begin[idx]
+        bad = size != kept_size
+        data, letters = np.append(data, np.zeros(8, dtype=np.uint8)), np.append(self.letters, np.zeros(8, dtype=np.uint8))
+        mine = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+        theirs = np.ndarray(shape=(len(letters) - 7,), dtype="<u8", buffer=letters, strides=(1,))
+        left, a, b, at = size.copy(), start, self.letters_begin[idx], np.flatnonzero(~bad)
+        left, a, b = left[at], a[at], b[at]
+        while len(at):
+            differ = mine[a] ^ theirs[b]
+            short = left < 8
+            differ[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+            bad[at[differ != 0]] = True
+            on = left > 8
+            at, left, a, b = at[on], left[on] - 8, a[on] + 8, b[on] + 8
+        return np.flatnonzero(bad)
 
 
 _LOADED: dict[str, WordTokenizer] = {}

@@ -4,12 +4,13 @@ Every line gets features of its bytes and words and of its neighbours; the field
 forward-backward marginals, weighted by length, sum up to a document's share of bad text, which a logistic curve turns
 into a score between 0 and 1. All feature work is numpy over blocks of bytes, with no loop over characters.
 
-Fitting uses at most `sample` labelled documents (drawn by hash, so a sample at any size of the corpus), never those
-held out, and only their text and label. Line labels are latent: all lines of a good document are good; of a bad one,
+Fitting uses at most `sample` labelled documents of at most `lines` lines together (drawn by hash, so a sample at any size
+of the corpus), never those held out, and only their text and label. Line labels are latent: all lines of a good document are good; of a bad one,
 those that a first model finds bad.
 
-Cases: null or empty texts are one empty line and are scored; rows that repeat a doc_id give a row each; without usable
-labels every score is 0.5; extra columns are left out; texts are read whole.
+Cases: null or empty texts are one empty line and are scored; rows that repeat a doc_id give a row each, and one of its
+texts is learned from; a doc_id with several labels counts by one of them; without usable labels every score is 0.5;
+extra columns may have any name; texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -200,23 +201,30 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = 3000, text: str = "text", label: str = "quality") -> dict[str, np.ndarray]:
-    """A model from at most `sample` labelled documents that aren't held out. Their features, not texts, reach the
-    driver; texts of over 1 MB are left to others."""
-    usable = labels.select(F.col("doc_id").alias("_d"), F.col(label).alias("_y")).filter("_d is not null and _y is not null")
-    drawn = usable.filter(~held_out(F.col("_d"))).dropDuplicates(["_d"]).orderBy(F.xxhash64("_d"), "_d").limit(sample)
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t")).filter(F.octet_length("_t") <= 1 << 20)
-    rows = rows.join(F.broadcast(drawn), F.col("doc_id") == F.col("_d")).select("doc_id", "_y", "_t")
+def trained(docs: DataFrame, labels: DataFrame, sample: int = 3000, lines: int = 400_000, text: str = "text",
+            label: str = "quality") -> dict[str, np.ndarray]:
+    """A model from at most `sample` labelled documents that aren't held out: in the order of their ids' hashes, as many as
+    have at most `lines` lines together. Their features, not texts, reach the driver, some 130 bytes a line."""
+    usable = labels.select(F.col("doc_id").alias("id"), F.col(label).alias("y")).filter("id is not null and y is not null")
+    drawn = usable.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(sample)
+    own = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("data"))
+    own = own.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min("data").alias("data"))
+    own = own.withColumn("n_lines", F.length("data") - F.length(F.translate("data", "\n", "")) + 1).filter(F.col("n_lines") <= lines)
 
     def features(batches):
         for pdf in batches:
             if len(pdf):
-                x, n, lines = line_features(pdf["_t"].tolist())
-                cut = np.cumsum(lines)[:-1]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["_y"].astype(int), "n": [v.tobytes() for v in np.split(n, cut)],
+                x, n, count = line_features([t.encode() for t in pdf["data"]])
+                cut = np.cumsum(count)[:-1]
+                yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "n_lines": count, "n": [v.tobytes() for v in np.split(n, cut)],
                                     "x": [v.astype(np.float32).tobytes() for v in np.split(x, cut)]})
 
-    got = sorted(rows.mapInPandas(features, "doc_id long, y int, n binary, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    rows = common.stored(own.mapInPandas(features, "id long, y int, n_lines long, n binary, x binary"), "features")
+    sizes = rows.select("id", "n_lines").orderBy(F.xxhash64("id"), "id").collect()  # at most `sample`
+    total = np.cumsum([r["n_lines"] for r in sizes])
+    taken = [r["id"] for r, t in zip(sizes, total) if t <= lines]
+    got = sorted(rows.filter(F.col("id").isin(taken)).collect(), key=lambda r: r["id"]) if taken else []
     if not got:
         return fit(np.zeros((0, WIDTH)), np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))
     n = [np.frombuffer(r["n"], dtype=np.float64) for r in got]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,13 @@ from pyspark.sql import functions as F
 
 from . import ann, bitslice, bpe, chat, jaccard, packing, quality, secrets, suffix, urls
 
-#: Where the public vocabularies are; a parameter of every operator that needs one.
-TOKENIZERS = os.environ.get("LEAFMILL_TOKENIZERS", "/opt/tokenizers")
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary; a parameter of every operator that needs one."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +32,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", 4096)
+    return packing.packed(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 4096)
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +77,11 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return seen.select("doc_id", number("assign"), number("access"), number("hex"),
                        F.sha2(secrets.written(base), 256).alias("base_sha256"),
-                       secrets.written(secrets.all_spans(F.col("found"), F.col("live"))).alias("spans"))
+                       secrets.written(secrets.all_spans(F.col("found"))).alias("spans"), secrets.verdicts(F.col("found")).alias("verdicts"))
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

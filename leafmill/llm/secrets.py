@@ -1,12 +1,13 @@
 """Secret scans with Spark expressions only, weighed by who owns a value across the whole corpus.
 
 Spans come from regular expressions: `split` gives the text between matches, so running lengths give positions in
-code points. Hashes of all candidate values are counted over distinct documents and owners, each partly summed before
-it moves. A value of many owners is a copied example; one of few owners looks live. Base kinds always stay in
-`spans`; of the method's own kind (`key`, long mixed tokens) only live-looking values are added.
+code points. Hashes of all candidate values are counted over different documents (texts, so that copies count once) and
+owners, each partly summed before it moves. A value that many owners or many documents have is a copied example; one of
+few looks live. Base kinds always stay in `spans`; of the method's own kind (`key`, long mixed tokens) only live-looking
+values are added.
 
-Cases: a null text is empty; a null owner counts as one owner; rows that repeat a document give a row each and count
-once; texts are read whole.
+Cases: a null text is empty and has no spans; a null owner counts as one owner; rows that repeat a document give a row
+each and count once; texts are read whole; extra columns may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,22 +59,32 @@ def candidates(docs: DataFrame, text: str = "text", owner: str = "source") -> Da
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """hash, n_docs, n_owners of every candidate value."""
-    each = found.filter("size(found) > 0").select("doc_id", "digest", "owner", F.explode(F.array_distinct("found.hash")).alias("hash")).distinct()
-    by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("hash").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_owners"))
+    """hash, n_docs, n_owners of every candidate value: how many different texts and how many owners have it."""
+    each = found.filter("size(found) > 0").select("digest", "owner", F.explode(F.array_distinct("found.hash")).alias("hash"))
+    texts = each.groupBy("hash", "digest").agg(F.lit(1).alias("_1")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"))
+    owners = each.groupBy("hash", "owner").agg(F.lit(1).alias("_1")).groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"))
+    return texts.join(owners, "hash")
 
 
-def scanned(docs: DataFrame, text: str = "text", owner: str = "source", copied_from: int = 3) -> DataFrame:
-    """doc_id, found (start, order, kind, end, hash), live: hashes of that row's values that fewer than `copied_from`
-    owners have; values of so many owners or more are copied examples."""
+#: A value in more than one of HOT of all places is a hot one; of such there are fewer than HOT.
+HOT = 1000
+
+
+def scanned(docs: DataFrame, text: str = "text", owner: str = "source", copied_from: int = 3, copied_in: int = 20) -> DataFrame:
+    """doc_id, digest and found for every row: start, order, kind, end, hash, n_docs, n_owners and live for each span.
+    Values that `copied_from` owners or `copied_in` different texts have, or more, are copied examples; others are live."""
     found = common.stored(candidates(docs, text, owner), "candidates")
-    each = found.filter("size(found) > 0").select("doc_id", "digest", F.explode(F.array_distinct("found.hash")).alias("hash")).distinct()
-    kept = each.join(ownership(found).filter(F.col("n_owners") < copied_from), "hash").groupBy("doc_id", "digest").agg(
-        F.collect_set("hash").alias("live"))
-    kept = kept.withColumnsRenamed({"doc_id": "_d", "digest": "_g"})
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("digest") == F.col("_g"))
-    return found.join(kept, on, "left").select("doc_id", "digest", "found", F.coalesce("live", F.array().cast("array<string>")).alias("live"))
+    each = found.filter("size(found) > 0").dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", F.explode("found").alias("s")).select("doc_id", "digest", "s.*")
+    facts = common.stored(ownership(found).withColumn("live", (F.col("n_owners") < copied_from) & (F.col("n_docs") < copied_in)), "owners")
+    # the facts of values that are almost everywhere travel; their places stay where they are
+    hot = facts.filter(F.col("n_docs") * HOT > (facts.agg(F.sum("n_docs")).head()[0] or 0))
+    known = each.join(F.broadcast(hot), "hash").unionByName(
+        each.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(facts, "hash"))
+    back = known.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct(
+        "start", "order", "kind", "end", "hash", "n_docs", "n_owners", "live"))).alias("spans"))
+    back = back.withColumnsRenamed({"doc_id": "id", "digest": "text"})
+    rows = found.join(back, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("text")), "left")
+    return rows.select("doc_id", "digest", F.coalesce("spans", F.array().cast(back.schema["spans"].dataType)).alias("found"))
 
 
 def written(spans: Column) -> Column:
@@ -84,23 +95,31 @@ def base_spans(found: Column) -> Column:
     return F.filter(found, lambda s: s["kind"].isin(*BASE))
 
 
-def all_spans(found: Column, live: Column) -> Column:
-    return F.filter(found, lambda s: s["kind"].isin(*BASE) | F.array_contains(live, s["hash"]))
+def all_spans(found: Column) -> Column:
+    return F.filter(found, lambda s: s["kind"].isin(*BASE) | s["live"])
+
+
+def verdicts(found: Column) -> Column:
+    """kind:start:end:documents:owners:verdict of every candidate, the method's own that are copied examples among them."""
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), s["n_docs"].cast("string"), s["n_owners"].cast("string"),
+        F.when(s["live"], "live").otherwise("copied"))), ",")
 
 
-def redacted(docs: DataFrame, text: str = "text", owner: str = "source", copied_from: int = 3, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, text: str = "text", owner: str = "source", copied_from: int = 3, copied_in: int = 20,
+             mark: str = "[SECRET]") -> DataFrame:
     """docs with every live-looking value's span replaced by `mark`; copied examples and all other text stay."""
-    seen = scanned(docs, text, owner, copied_from)
-    hot = seen.filter("size(live) > 0").select(
-        F.col("doc_id").alias("_d"), F.col("digest").alias("_g"),
-        F.filter("found", lambda s: F.array_contains(F.col("live"), s["hash"])).alias("_s")).dropDuplicates(["_d", "_g"])
-    own = docs.withColumn("_k", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    rows = own.join(hot, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_g")), "left")
-    t = F.col(text)
+    seen = scanned(docs, text, owner, copied_from, copied_in)
+    hot = seen.select("doc_id", "digest", F.filter("found", lambda s: s["live"]).alias("spans")).filter("size(spans) > 0")
+    hot = hot.dropDuplicates(["doc_id", "digest"]).withColumnsRenamed({"doc_id": "id", "digest": "which"})
+    rows = docs.select(common.whole_rows(docs), F.col("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    rows = rows.join(hot, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("which")), "left")
+    t = F.col(f"row.`{text}`")
     # spans that overlap an earlier one add nothing but their end
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate("_s", start, lambda a, s: F.struct(
+    done = F.aggregate("spans", start, lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out")),
         lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return rows.withColumn(text, F.when(F.col("_s").isNull(), t).otherwise(done)).select(*docs.columns)
+    new = F.when(F.col("spans").isNull(), t).otherwise(done)
+    return rows.select(*(new.alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns))

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from leafmill.llm import ann, bitslice, bpe, chat, common, jaccard, packing, quality, queries, secrets, suffix, urls
 
-WORD, BYTE = f"{queries.TOKENIZERS}/word_bpe_49k.json", f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+WORD, BYTE = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -272,7 +272,7 @@ def vectors(spark, n=400, dim=16, seed=6):
 
 def test_nearest(spark):
     x, rows = vectors(spark)
-    got = ann.nearest(rows, rows.filter("vec_id % 20 = 0"), 20, least=300).toPandas()
+    got = ann.nearest(rows, rows.filter("vec_id % 20 = 0"), 20).toPandas()
     hits = []
     for q, g in got.groupby("query_id"):
         s = (x * x[q]).sum(axis=1)
@@ -287,7 +287,7 @@ def test_nearest(spark):
 def test_nearest_of_few_gives_all(spark):
     x, rows = vectors(spark)
     few = rows.filter("vec_id < 7")
-    assert ann.nearest(few, few.filter("vec_id = 0"), 20, tables=1, probes=1, least=1).count() == 6
+    assert ann.nearest(few, few.filter("vec_id = 0"), 20, tables=1, probes=1).count() == 6
     assert ann.nearest(few.limit(0), few.limit(0), 20).count() == 0
 
 
