@@ -286,17 +286,16 @@ def reduced(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
+_PRIME_POWERS: dict[int, np.ndarray] = {}
+
+
 def _prime_powers(n: int, base: int) -> np.ndarray:
-    """base ** (0 .. n-1) modulo the prime, doubled from its first half."""
-    out, p = np.ones(n, dtype=U64), int(PRIME)
-    done = 1
-    while done < n:
-        some = min(done, n - done)
-        x = reduced(reduced(out[:some] * U64(pow(base, done, p))))
-        out[done:done + some] = np.where(x >= PRIME, x - PRIME, x)
-        done += some
-    return out
+    """base ** (0 .. n-1) modulo the prime; what is there is kept, and doubled where it is too short."""
+    out = _PRIME_POWERS.get(base, np.ones(1, dtype=U64))
+    while len(out) < n:
+        x = reduced(reduced(out * U64(pow(base, len(out), int(PRIME)))))
+        out = _PRIME_POWERS[base] = np.concatenate([out, np.where(x >= PRIME, x - PRIME, x)])
+    return out[:n]
 
 
 def _lanes() -> list[tuple[int, int, np.ndarray]]:
@@ -320,12 +319,17 @@ class Prefixes:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        full = 1 << max(16, n.bit_length())
         self.lanes = []
         for base, inverse, codes in LANES:
+            weight = _prime_powers(n, base)
             sums = np.zeros(n + 1, dtype=U64)
-            np.cumsum(reduced(codes[data] * _prime_powers(full, base)[:n]), out=sums[1:])  # below 2 ** 33 bytes this can't overflow
-            self.lanes.append((sums, _prime_powers(full, inverse)))
+            for a in range(0, n, 1 << 16):  # what a core's own memory holds
+                b = min(n, a + (1 << 16))
+                x = codes[data[a:b]]
+                x *= weight[a:b]
+                np.cumsum(reduced(x), out=sums[a + 1:b + 1])  # below 2 ** 33 bytes this can't overflow
+                sums[a + 1:b + 1] += sums[a]
+            self.lanes.append((sums, _prime_powers(n + 1, inverse)))
 
     @staticmethod
     def _name(parts: list[np.ndarray]) -> np.ndarray:

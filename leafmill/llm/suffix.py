@@ -233,30 +233,38 @@ class Part:
         window = self.length - v + 1
         pattern = np.zeros(v, dtype=bool)
         pattern[places] = True
-        offset = np.arange(len(self.data)) - np.repeat(self.start, self.end - self.start + 1)
-        at = np.flatnonzero(pattern[offset % v] & self.inside(window))
+        size = self.end - self.start
+        rows = np.tile(pattern, int(size.max(initial=0)) // v + 1)
+        at = np.flatnonzero(np.concatenate([np.append(rows[:max(0, n - window + 1)], np.zeros(min(n, window - 1) + 1, dtype=bool)) for n in size.tolist()]))
         return at, self.sums.of(at, at + window)
 
     def suffixes(self, q: int, tied_at: np.ndarray) -> np.ndarray:
         """The places of suffixes with a tied cover place ahead."""
         v, _ = cover(q)
-        ahead = np.zeros(len(self.data) + 1, dtype=np.int32)
+        ahead = np.zeros(len(self.data) + v + 1, dtype=np.int32)
         ahead[tied_at + 1] = 1
         ahead = np.cumsum(ahead, dtype=np.int32)
-        ok = self.inside(self.length)
-        last = np.minimum(np.arange(len(ok)) + v, len(ok))
-        return np.flatnonzero(ok & (ahead[last] > ahead[:-1]))
+        return np.flatnonzero((ahead[v:-1] > ahead[:-v - 1]) & self.inside(self.length))
 
     def strings(self, at: np.ndarray) -> list[tuple[int, int, int]]:
         """(first place, number of suffixes, least hash) of the strings that the places make."""
         if not len(at):
             return []
         gram = 16 if self.length >= 64 else 8
-        words = np.ndarray(shape=(len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,)).astype(U64)
+        # the bytes of all runs side by side: what lies between runs is no suffix's
+        edge = np.concatenate([[True], at[1:] != at[:-1] + 1])
+        begin = np.flatnonzero(edge)
+        count = np.diff(np.append(begin, len(at)))
+        room = count + self.length - 1
+        first = np.cumsum(room) - room
+        own = np.repeat(at[begin] - first, room) + np.arange(room.sum())
+        data = np.append(self.data[own], np.zeros(8, dtype=np.uint8))
+        words = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,)).astype(U64)
         grams = common.mixed(words + U64(1))
         if gram == 16:
             grams = common.mixed(grams[:-8] ^ words[8:])
-        least = sliding_least(grams, self.length - gram + 1)[at]
+        here = np.repeat(first - begin, count) + np.arange(len(at))
+        least = sliding_least(grams, self.length - gram + 1)[here]
         new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (least[1:] != least[:-1])])
         begin = np.flatnonzero(new)
         # long runs of one least hash, as in a repeated letter, are cut where it is convenient
