@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import SPACE, spaces_collapsed, trimmed
+from .text import SPACE, lines_normalised, spaces_collapsed, trimmed
 
 
 @F.pandas_udf(T.StringType())
@@ -42,10 +42,25 @@ def kept_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), line_normalised), lambda x: (x != "") & ~only_signs(x))
 
 
+def firsts(lines: Column) -> Column:
+    """Lines of which no earlier one is the same in lower case, in their order: sorted by form and place, each line is
+    compared with the one before it, and the rest goes back by place."""
+    marked = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("at"), x.alias("line"))))
+    own = F.zip_with(marked, F.concat(F.array(F.lit(None).cast("string")), F.transform(marked, lambda m: m["low"])), lambda m, before: F.when(
+        m.isNotNull() & ~m["low"].eqNullSafe(before), F.struct(m["at"].alias("at"), m["line"].alias("line"))))
+    return F.transform(F.array_sort(F.array_compact(own)), lambda m: m["line"])
+
+
 def cleaned(docs: DataFrame, text: str = "text", to: str = "clean_lines") -> DataFrame:
     """docs with the array of clean lines, each (by lower case) at its first place; joined by line feeds they are the
-    clean text. Each step is a column that the next uses twice, so none is worked out again for every line."""
-    step = docs.withColumn("_c", compatible(spaces_collapsed(F.coalesce(F.col(text), F.lit("")))))
-    step = step.withColumn("_k", kept_lines(F.col("_c"))).withColumn("_low", F.transform("_k", F.lower))
-    first = F.transform(F.array_distinct("_low"), lambda x: F.get("_k", (F.array_position(F.col("_low"), x) - 1).cast("int")))
-    return step.withColumn(to, first).drop("_c", "_k", "_low")
+    clean text. Each step is a column that the next uses, so none is worked out again for every line."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), compatible(spaces_collapsed(F.coalesce(F.col(text), F.lit("")))).alias("own"))
+    step = own.select("row", kept_lines(F.col("own")).alias("lines")).select("row", firsts(F.col("lines")).alias("lines"))
+    return step.select(*(F.col(f"row.`{c}`") for c in docs.columns if c != to), F.col("lines").alias(to))
+
+
+def merged_lines(chunks: Column) -> Column:
+    """One text from several readings of a page: lines with single blanks, each (by lower case) at its first place."""
+    lines = F.flatten(F.transform(chunks, lambda c: F.split(lines_normalised(F.coalesce(c, F.lit(""))), "\n")))
+    single = F.transform(lines, lambda x: trimmed(F.regexp_replace(x, f"{SPACE}+", " ")))
+    return F.array_join(firsts(F.filter(single, lambda x: x != "")), "\n")

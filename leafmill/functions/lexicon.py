@@ -80,3 +80,13 @@ def signal(word: Column, stop=STOP, noise=OCR_NOISE, domain=DOMAIN, common=COMMO
     return (F.when(w == "", "empty").when(is_identifier(w), "identifier").when(w.isin(*noise), "noise").when(w.isin(*stop), "stop")
             .when(w.isin(*domain), "domain").when(w.isin(*common), "dictionary").when(is_plausible(w), "unknown-plausible")
             .otherwise("unknown-noisy"))
+
+
+def merged(common=COMMON, domain=DOMAIN) -> list[str]:
+    """Known words: common ones and those of the domain, each once."""
+    return list(dict.fromkeys([*common, *domain]))
+
+
+def sizes(stop=STOP, noise=OCR_NOISE, domain=DOMAIN, common=COMMON) -> dict[str, int]:
+    """How many different words each list has."""
+    return {"stop": len(set(stop)), "noise": len(set(noise)), "domain": len(set(domain)), "common": len(merged(common, domain)), "corrections": len(CORRECTIONS)}

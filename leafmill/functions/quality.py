@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cleaning import cleaned
 from .text import spaces_collapsed
 
 #: Fixed value: a word starts with a letter or digit and may go on with these signs.
@@ -44,3 +45,12 @@ def analysed(tokens: Column) -> list[Column]:
     ratio = noise_ratio(tokens)
     return [F.size(tokens).cast("long").alias("word_count"), rounded(ratio, 3).alias("noise_ratio"),
             F.when(F.size(tokens) == 0, F.lit(0)).otherwise(score(ratio)).cast("int").alias("quality")]
+
+
+def built(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with clean_text, quality and noise_ratio of the clean text, and how many words the raw and the clean text have."""
+    step = cleaned(docs, text, "clean_lines").withColumn("clean_text", F.array_join("clean_lines", "\n")).drop("clean_lines")
+    raw, clean = words(F.col(text)), words(F.col("clean_text"))
+    step = step.withColumns({"raw_words": raw, "clean_words": clean})
+    count, ratio, score_ = analysed(F.col("clean_words"))
+    return step.withColumns({"quality": score_, "raw_word_count": F.size("raw_words").cast("long"), "clean_word_count": count, "noise_ratio": ratio}).drop("raw_words", "clean_words")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.identity import fingerprint
+from ..functions.identity import base_name, fingerprint
 from ..functions.labels import phrase_form, tag_form
 
 # Domain words that make no topic of a title.
@@ -113,8 +113,30 @@ def due(docs: DataFrame, enriched: DataFrame, text: str = "text") -> DataFrame:
 
 def usable_vectors(candidates: DataFrame) -> DataFrame:
     """candidates (doc_id, vector, made_of, fingerprint) with `vector` null unless it is there and of today's text (or
-    of no known text), and `all_fresh`: whether that holds for every candidate."""
+    of no known text), and `all_fresh`: whether that holds for every candidate. (Lengths and numbers are checked where
+    vectors are compared: vectors.semantic().)"""
     fresh = F.coalesce(F.size("vector") > 0, F.lit(False)) & (F.coalesce(F.nullif("made_of", F.lit("")), F.col("fingerprint")) == F.col("fingerprint"))
     rows = candidates.withColumn("_ok", F.coalesce(fresh, F.lit(False)))
     every = rows.agg(F.min("_ok").alias("all_fresh"))  # one row
     return rows.join(F.broadcast(every)).withColumn("vector", F.when(F.col("_ok"), F.col("vector"))).drop("_ok")
+
+
+def embedded_text(title: Column, text: Column, length: int = 4000) -> Column:
+    """What a vector is made of: the title, and the start of the text on the next line."""
+    return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.substring(F.coalesce(text, F.lit("")), 1, length))
+
+
+def for_workers(docs: DataFrame) -> DataFrame:
+    """id, file, title, text, vector as a model's worker takes them: the file is the path, or else the name, or else the id;
+    the title its name; vectors without components are left out."""
+    file = F.coalesce(F.nullif("file_path", F.lit("")), F.nullif("primary_path", F.lit("")), F.nullif("file_name", F.lit("")), "document_id")
+    text = F.coalesce(F.nullif("clean_text", F.lit("")), "text", F.lit(""))
+    return docs.select(F.col("document_id").alias("id"), file.alias("file"), F.coalesce(F.nullif("file_name", F.lit("")), base_name(file)).alias("title"), text.alias("text"),
+                       F.when(F.size("vector") > 0, F.col("vector")).alias("vector"))
+
+
+def with_output(docs: DataFrame, output: DataFrame) -> DataFrame:
+    """docs with a worker's output for their file; documents without any have empty lists."""
+    none = F.array().cast("array<string>")
+    rows = docs.join(output.select("file", "keyphrases", "nouns"), "file", "left")
+    return rows.withColumns({"keyphrases": F.coalesce("keyphrases", none), "nouns": F.coalesce("nouns", none)})

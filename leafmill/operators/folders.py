@@ -108,3 +108,26 @@ def organisation(assigned: DataFrame, folders: DataFrame) -> DataFrame:
     rest = F.filter(ids, lambda f: (f != F.col("_p")) & (f != "review-needed") & ~F.array_contains(above, f))
     return each.select("doc_id", F.col("_p").alias("primary_folder"), first["display_path"].alias("primary_path"), rest.alias("secondary_folders"), ids.alias("folder_ids"),
                        (F.floor(-first["minus"] * 100 + 0.5) / 100).alias("confidence"), F.array_contains(ids, "review-needed").alias("review"))
+
+
+def display_paths(folders: DataFrame) -> DataFrame:
+    """folder_id, display_path: the names from the root down, for trees of any depth."""
+    up = store.ancestors(folders).join(folders.select(F.col("folder_id").alias("ancestor_id"), "name"), "ancestor_id")
+    return up.groupBy("folder_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "name"))).alias("p")).select(
+        "folder_id", F.array_join(F.transform("p", lambda x: x["name"]), " / ").alias("display_path"))
+
+
+def documents_in(assigned: DataFrame, folder_ids: DataFrame) -> DataFrame:
+    """doc_id of documents in any of the folders, each once."""
+    return assigned.join(F.broadcast(folder_ids.select("folder_id").distinct()), "folder_id", "left_semi").select("doc_id").distinct()
+
+
+def normalised_overrides(rows: DataFrame) -> DataFrame:
+    """folder_id, keyword, role, weight of overrides given as JSON (`value`): a list of objects with folderId or folder_id,
+    or a map of folders to such lists. Unknown roles and empty keywords go."""
+    item = "array<struct<folderId:string,folder_id:string,keyword:string,role:string,weight:double>>"
+    listed = rows.filter(F.ltrim("value").startswith("[")).select(F.explode(F.from_json("value", item)).alias("o")).select(F.coalesce("o.folderId", "o.folder_id").alias("folder_id"), "o.keyword", "o.role", "o.weight")
+    mapped = rows.filter(F.ltrim("value").startswith("{")).select(F.explode(F.from_json("value", f"map<string,{item}>")).alias("f", "l")).select("f", F.explode("l").alias("o")).select(
+        F.col("f").alias("folder_id"), "o.keyword", "o.role", "o.weight")
+    both = listed.unionByName(mapped).withColumns({"keyword": rule_text(F.col("keyword")), "role": F.coalesce("role", F.lit("positive"))})
+    return both.filter(F.col("role").isin(*ROLES) & (F.col("keyword") != "") & F.col("folder_id").isNotNull()).withColumn("weight", F.coalesce("weight", F.lit(1.0)))

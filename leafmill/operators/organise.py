@@ -1,6 +1,7 @@
 """Which folder a document belongs to: weighted substrings for type and subject, overrides, confidence and review.
 
-Rules are a fixed-size list in the plan: every score is an expression over one row, so nothing is joined or shuffled.
+Rules are a fixed-size list in the plan: every score is an expression over one row, so nothing is shuffled. Users'
+keyword overrides are a table; it becomes one array, which meets every document in its own row.
 """
 
 from __future__ import annotations
@@ -32,14 +33,28 @@ def rule_score(name: Column, body: Column, terms: dict[str, float]) -> Column:
     return out
 
 
-def ranked(name: Column, body: Column, table: dict, default_least: float = 1) -> Column:
-    """Array of (score, order, rule) of all rules that reach their least score, the best first."""
-    rows = []
-    for i, (rule, spec) in enumerate(table.items()):
-        least, terms = spec if isinstance(spec, tuple) else (default_least, spec)
-        s = rule_score(name, body, terms)
-        rows.append(F.struct(F.when(s >= least, s).alias("score"), F.lit(-i).alias("order"), F.lit(rule).alias("rule")))
-    return F.reverse(F.array_sort(F.filter(F.array(*rows), lambda r: r["score"].isNotNull())))
+def scores(name: Column, body: Column, table: dict) -> Column:
+    """One number for each rule, in the table's order."""
+    return F.array(*(rule_score(name, body, spec[1] if isinstance(spec, tuple) else spec) for spec in table.values()))
+
+
+def ranked(scored: Column, table: dict, default_least: float = 1) -> Column:
+    """Array of (score, order, rule) of all rules that reach their least score, the best first; scored: as of scores()."""
+    least = F.array(*(F.lit(float(spec[0] if isinstance(spec, tuple) else default_least)) for spec in table.values()))
+    names = F.array(*map(F.lit, table))
+    rows = F.transform(scored, lambda s, i: F.struct(s.alias("score"), (-i).alias("order"), F.get(names, i).alias("rule")))
+    return F.reverse(F.array_sort(F.filter(rows, lambda r: r["score"] >= F.get(least, -r["order"]))))
+
+
+def override_pairs(overrides: DataFrame) -> DataFrame:
+    """One row with all overrides (folder_id, keyword, role, weight) that change a score, in order: folder, keyword in
+    rule_text(), its form without blanks if it is letters and digits, and what it adds. Positive ones add 12 times their
+    weight (0.5 to 3), negative ones take 14 times; ignored ones do nothing."""
+    w = F.greatest(F.lit(0.5), F.least(F.lit(3.0), F.coalesce(F.nullif(F.col("weight").cast("double"), F.lit(0.0)), F.lit(1.0))))
+    rows = overrides.filter(F.col("role").isin("positive", "negative")).select(
+        "folder_id", rule_text(F.col("keyword")).alias("keyword"), F.when(F.col("role") == "positive", 12.0 * w).otherwise(-14.0 * w).alias("score"))
+    dense = F.when(F.col("keyword").rlike(r"^[a-z]+\s*[0-9]+$"), F.replace("keyword", F.lit(" "), F.lit("")))
+    return rows.filter("keyword <> ''").agg(F.array_sort(F.collect_list(F.struct("folder_id", "keyword", dense.alias("dense"), "score"))).alias("_o"))
 
 
 def confidence(top: Column, second: Column, quality: Column) -> Column:
@@ -54,61 +69,66 @@ def needs_review(kind: Column, conf: Column, top: Column, quality: Column, words
     return out if failed is None else out | failed
 
 
-def suggested(docs: DataFrame, types: dict = R.TYPES, subjects: dict = R.SUBJECTS, overrides: list[tuple[str, str, str, float]] = (),
+def suggested(docs: DataFrame, types: dict = R.TYPES, subjects: dict = R.SUBJECTS, overrides: DataFrame | None = None,
               tree=R.FOLDERS) -> DataFrame:
-    """doc_id, document_type, subject, primary_folder, top_score, confidence, review, secondary, folder_ids, alternatives.
+    """doc_id, document_type, subject, primary_folder, top_score, confidence, review, secondary, folder_ids, alternatives,
+    reasons.
 
-    docs: doc_id, file_name, file_path, category, clean_text, quality, word_count. overrides: (folder, keyword, role,
-    weight); positive ones add 12 times the weight, negative ones take 14 times.
+    docs: doc_id, file_name, file_path, category, clean_text, quality, word_count. overrides: folder_id, keyword, role,
+    weight of users' edits, a table as small as a person's work; they travel as one row.
     """
     name = rule_text(F.concat_ws(" ", "file_name", "file_path"))
     body = rule_text(F.concat_ws("\n", "file_name", "file_path", "category", "clean_text"))
     step = docs.withColumns({"_name": name, "_body": body, "_ext": extension(F.col("file_name"))})
-    step = step.withColumns({"_types": ranked(F.col("_name"), F.col("_body"), types), "_subjects": ranked(F.col("_name"), F.col("_body"), subjects)})
+    records = F.lit(None).cast("string")
+    for f, terms in reversed(R.RECORD_FOLDERS):
+        some = F.lit(False)
+        for term in terms:
+            some = some | has_term(F.col("_body"), term)
+        records = F.when(some, f).otherwise(records)
+    # every term is looked for once
+    step = step.withColumns({"_ts": scores(F.col("_name"), F.col("_body"), types), "_ss": scores(F.col("_name"), F.col("_body"), subjects), "_record": records})
+    step = step.withColumns({"_types": ranked(F.col("_ts"), types), "_subjects": ranked(F.col("_ss"), subjects)})
     code = F.col("_ext").isin(*R.CODE_EXTENSIONS)
     kind = F.coalesce(F.get("_types", 0)["rule"], F.when(code, "code-project"), F.lit("unknown"))
     subject = F.coalesce(F.get("_subjects", 0)["rule"], F.lit("general"))
     step = step.withColumns({"document_type": kind, "subject": subject})
 
-    folders = F.lit(None).cast("string")
+    # one look-up for each place that asks, instead of a branch for each rule
+    special = F.create_map(*(F.lit(x) for t, per in R.SUBJECT_FOLDERS.items() for s, f in per.items() for x in (f"{t}|{s}", f)))
+    default = F.create_map(*(F.lit(x) for kv in R.TYPE_FOLDERS.items() for x in kv))
 
     def folder_of(k: Column) -> Column:
-        out = folders
-        for t, per in R.SUBJECT_FOLDERS.items():
-            for s, f in per.items():
-                out = F.when((k == t) & (F.col("subject") == s), f).otherwise(out)
-        for f, terms in reversed(R.RECORD_FOLDERS):
-            some = F.lit(False)
-            for term in terms:
-                some = some | has_term(F.col("_body"), term)
-            out = F.when((k == "academic-record") & some, f).otherwise(out)
-        default = F.create_map(*(F.lit(x) for kv in R.TYPE_FOLDERS.items() for x in kv))
-        return F.coalesce(out, F.try_element_at(default, k), F.lit("other"))
-
-    pair = lambda f, s: F.struct(f.alias("folder"), s.cast("double").alias("score"))
-    none = F.array().cast("array<struct<folder:string,score:double>>")
+        return F.coalesce(F.when(k == "academic-record", F.col("_record")), F.try_element_at(special, F.concat(k, F.lit("|"), F.col("subject"))), F.try_element_at(default, k), F.lit("other"))
+
+    pair = lambda f, s, why: F.struct(f.alias("folder"), s.cast("double").alias("score"), why.alias("why"))
+    none = F.array().cast("array<struct<folder:string,score:double,why:string>>")
+    rule = lambda c, i: F.get(c, i)["rule"]
+    both = F.concat_ws(" + ", F.coalesce(rule("_types", 0), F.lit("file type")), rule("_subjects", 0))
     type_score = F.coalesce(F.get("_types", 0)["score"], F.when(code, 8.0), F.lit(0.0))
     primary = type_score + F.least(F.coalesce(F.get("_subjects", 0)["score"], F.lit(0.0)), F.lit(14.0))
-    parts = [F.when((folder_of(F.col("document_type")) != "other") & (primary > 0), F.array(pair(folder_of(F.col("document_type")), primary))).otherwise(none)]
-    parts += [F.when(F.size("_types") > i, F.array(pair(folder_of(F.get("_types", i)["rule"]), F.get("_types", i)["score"] * 0.65))).otherwise(none) for i in (1, 2, 3)]
-    parts += [F.when(F.col("category") == c, F.array(pair(F.lit(f), F.lit(s)))).otherwise(none) for c, (f, s) in R.CATEGORY_FOLDERS.items()]
-    parts.append(F.when(code, F.array(pair(folder_of(F.lit("code-project")), F.lit(7.0)))).otherwise(none))
+    parts = [F.when((folder_of(F.col("document_type")) != "other") & (primary > 0), F.array(pair(folder_of(F.col("document_type")), primary, both))).otherwise(none)]
+    parts += [F.when(F.size("_types") > i, F.array(pair(folder_of(F.get("_types", i)["rule"]), F.get("_types", i)["score"] * 0.65, F.concat(F.lit("secondary type signal: "), rule("_types", i))))).otherwise(none) for i in (1, 2, 3)]
+    parts += [F.when(F.col("category") == c, F.array(pair(F.lit(f), F.lit(s), F.lit(f"{c} classifier result")))).otherwise(none) for c, (f, s) in R.CATEGORY_FOLDERS.items()]
+    parts.append(F.when(code, F.array(pair(folder_of(F.lit("code-project")), F.lit(7.0), F.lit("source code file extension")))).otherwise(none))
     step = step.withColumn("_p", F.concat(*parts))
     kind_folder = F.lit(None).cast("string")
     for f, exts in R.FILE_FOLDERS.items():
         kind_folder = F.when(F.col("_ext").isin(*exts), f).otherwise(kind_folder)
-    step = step.withColumn("_p", F.when((F.size("_p") == 0) & kind_folder.isNotNull(), F.array(pair(kind_folder, F.lit(1.5)))).otherwise(F.col("_p")))
-    for f, keyword, role, weight in overrides:
-        w = max(0.5, min(3.0, weight))
-        s = {"positive": 12.0 * w, "negative": -14.0 * w}.get(role)
-        if s is not None:
-            step = step.withColumn("_p", F.when(has_term(F.col("_body"), keyword), F.concat("_p", F.array(pair(F.lit(f), F.lit(s))))).otherwise(F.col("_p")))
+    step = step.withColumn("_p", F.when((F.size("_p") == 0) & kind_folder.isNotNull(), F.array(pair(kind_folder, F.lit(1.5), F.concat("_ext", F.lit(" file type"))))).otherwise(F.col("_p")))
+    if overrides is not None:
+        step = step.join(F.broadcast(override_pairs(overrides)))
+        joined = F.replace("_body", F.lit(" "), F.lit(""))
+        fits = F.filter("_o", lambda o: F.col("_body").contains(o["keyword"]) | F.coalesce(joined.contains(o["dense"]), F.lit(False)))
+        step = step.withColumn("_p", F.concat("_p", F.transform(fits, lambda o: F.struct(
+            o["folder_id"].alias("folder"), o["score"].alias("score"), F.concat(F.when(o["score"] > 0, "user positive keyword: ").otherwise("user negative keyword: "), o["keyword"]).alias("why")))))
     flat = [x for x in R.flat_folders(tree) if x[0] != "all-files"]
     total = lambda f: F.aggregate(F.filter("_p", lambda x: x["folder"] == f), F.lit(0.0), lambda a, x: a + x["score"])
+    reasons = lambda f: F.array_distinct(F.transform(F.filter("_p", lambda x: x["folder"] == f), lambda x: x["why"]))
     used = F.array_distinct(F.transform("_p", lambda x: x["folder"]))
     order = F.create_map(*(F.lit(v) for x in flat for v in (x[0], x[4])))
     ranks = F.transform(F.filter(used, lambda f: F.map_contains_key(order, f)),
-                        lambda f: F.struct((-total(f)).alias("minus"), F.array_position(used, f).alias("seen"), f.alias("folder")))
+                        lambda f: F.struct((-total(f)).alias("minus"), F.array_position(used, f).alias("seen"), f.alias("folder"), reasons(f).alias("why")))
     step = step.withColumn("_r", F.array_sort(ranks)).select("doc_id", "document_type", "subject", "quality", "word_count", "_r")
     top, second = F.coalesce(-F.get("_r", 0)["minus"], F.lit(0.0)), F.coalesce(-F.get("_r", 1)["minus"], F.lit(0.0))
     step = step.withColumns({"top_folder": F.coalesce(F.get("_r", 0)["folder"], F.lit("other")), "top_score": top, "_c": confidence(top, second, F.col("quality"))})
@@ -126,4 +146,12 @@ def suggested(docs: DataFrame, types: dict = R.TYPES, subjects: dict = R.SUBJECT
                                lambda x: F.struct(x["folder"].alias("folder"), (F.floor(-x["minus"] * 10 + 0.5) / 10).alias("score"))), 1, 3)
     return step.select("doc_id", "document_type", "subject", "primary_folder", "top_folder", "top_score",
                        (F.floor(F.col("_c") * 100 + 0.5) / 100).alias("confidence"), "review", "secondary",
-                       F.array_distinct(closure).alias("folder_ids"), rest.alias("alternatives"))
+                       F.array_distinct(closure).alias("folder_ids"), rest.alias("alternatives"), F.slice(F.coalesce(F.get("_r", 0)["why"], F.array().cast("array<string>")), 1, 3).alias("reasons"))
+
+
+def search_text(suggestions: DataFrame, folders: DataFrame) -> DataFrame:
+    """doc_id, folders: what a search for a document's place reads: type, subject, and the paths of all its folders."""
+    each = suggestions.select("doc_id", F.posexplode("folder_ids").alias("at", "folder_id")).join(F.broadcast(folders.select("folder_id", "display_path")), "folder_id")
+    paths = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "display_path"))).alias("p"))
+    rows = suggestions.select("doc_id", "document_type", "subject").join(paths, "doc_id", "left")
+    return rows.select("doc_id", F.concat_ws(" ", "document_type", "subject", F.transform("p", lambda x: x["display_path"])).alias("folders"))

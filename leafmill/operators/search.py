@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_text, search_text
+from ..functions.text import search_text
 
 #: Words that a query doesn't search for; fields with weights, and whether their text was recognised
 #: from images.
@@ -19,7 +19,12 @@ FIELDS = (("file_name", 120, False), ("title_tags", 70, False), ("folders", 55,
 
 def tokens(text: Column) -> Column:
     """Different words in order; bcs303 also gives bcs and 303; numbers lose leading zeros."""
-    words = F.filter(F.split(search_text(text), " "), lambda w: w != "")
+    return tokens_of(search_text(text))
+
+
+def tokens_of(low: Column) -> Column:
+    """As tokens(), of a text in its plain form."""
+    words = F.filter(F.split(low, " "), lambda w: w != "")
     whole = F.flatten(F.transform(words, lambda w: F.when(
         w.rlike("^([a-z]+[0-9]+|[0-9]+[a-z]+)$"), F.array(w, F.regexp_extract(w, "^([a-z]+|[0-9]+)", 1), F.regexp_extract(w, "([a-z]+|[0-9]+)$", 1))).otherwise(F.array(w))))
     plain = F.transform(whole, lambda w: F.regexp_replace(w, "^0+(?=[0-9]+$)", ""))
@@ -86,14 +91,20 @@ def is_close(words: Column, token: str, recognised: bool) -> Column:
     return F.exists(words, lambda w: (F.abs(F.length(w) - n) <= 1) & (F.levenshtein(w, F.lit(token), most) >= 0))
 
 
-def field_score(value: Column, query: str, idfs: dict[str, Column], weight: float, recognised: bool) -> tuple[Column, list[Column]]:
-    """Score of one field, and which tokens it matched."""
-    low, dense, words = search_text(value), compact_text(value), tokens(value)
-    q, cq = " ".join(re.sub("[^a-z0-9]+", " ", query.lower()).split()), re.sub("[^a-z0-9]+", "", query.lower())
+def asked_forms(query: str) -> tuple[list[str], str, str]:
+    """A query's tokens, its plain form and that without blanks."""
+    plain = re.sub("[^a-z0-9]+", " ", query.lower()).strip()
+    return query_tokens(query), plain, plain.replace(" ", "")
+
+
+def field_score(low: Column, words: Column, query: str, idfs: dict[str, Column], weight: float, recognised: bool) -> tuple[Column, list[Column]]:
+    """Score of one field (its search_text() and tokens()), and which tokens it matched."""
+    asked, q, cq = asked_forms(query)
+    dense = F.replace(low, F.lit(" "), F.lit(""))
     some = low != ""
     score = F.when(low == q, 3.0 * weight).otherwise(0.0) + F.when(low.contains(q), 2.0 * weight).otherwise(0.0) + F.when(dense.contains(cq), 1.5 * weight).otherwise(0.0)
     matched = []
-    for t in query_tokens(query):
+    for t in asked:
         whole = F.array_contains(words, t)
         joined = dense.contains(t) if re.fullmatch("[a-z]+[0-9]+", t) else F.lit(False)
         near = is_close(words, t, recognised)
@@ -104,21 +115,20 @@ def field_score(value: Column, query: str, idfs: dict[str, Column], weight: floa
 
 def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
     """doc_id, score, matched: field-weighted scores over the candidates, 150 more for all tokens; with several tokens
-    only documents that match them all."""
-    if not re.sub("[^a-z0-9]+", "", query.lower()):
+    only documents that match them all. Every field's plain form and words are columns, worked out once."""
+    asked, _, dense = asked_forms(query)
+    if not dense:
         return candidates.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("matched")).limit(0)
-    asked = query_tokens(query)
-    names = [f for f, _, _ in fields if f in candidates.columns]
-    whole = candidates.select("doc_id", *names, F.concat_ws(" ", *names).alias("_all"))
-    low = search_text(F.col("_all"))
-    sums = whole.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(low.contains(t)).alias(f"_df{i}") for i, t in enumerate(asked)))
-    rows = whole.drop("_all").join(F.broadcast(sums))  # one row of sums
+    used = [f for f in fields if f[0] in candidates.columns]
+    low = search_text(F.concat_ws(" ", *(f for f, _, _ in used)))
+    sums = candidates.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(low.contains(t)).alias(f"_df{i}") for i, t in enumerate(asked)))
+    rows = candidates.select("doc_id", *(search_text(F.col(f)).alias(f"low_{i}") for i, (f, _, _) in enumerate(used)))
+    rows = rows.select("*", *(tokens_of(F.col(f"low_{i}")).alias(f"words_{i}") for i in range(len(used)))).join(F.broadcast(sums))  # one row of sums
     idfs = {t: 1 + F.log((F.col("_n") + 1) / (F.col(f"_df{i}") + 1)) for i, t in enumerate(asked)}
     total, hit = F.lit(0.0), [F.lit(False)] * len(asked)
-    for f, weight, recognised in fields:
-        if f in candidates.columns:
-            s, m = field_score(F.col(f), query, idfs, weight, recognised)
-            total, hit = total + s, [a | b for a, b in zip(hit, m)]
+    for i, (_, weight, recognised) in enumerate(used):
+        s, m = field_score(F.col(f"low_{i}"), F.col(f"words_{i}"), query, idfs, weight, recognised)
+        total, hit = total + s, [a | b for a, b in zip(hit, m)]
     matched = sum((h.cast("int") for h in hit), F.lit(0))
     scored = rows.select("doc_id", total.alias("_s"), matched.alias("matched"))
     score = F.col("_s") + F.when((F.col("matched") == len(asked)) & F.lit(len(asked) > 0), 150.0).otherwise(0.0)
@@ -126,14 +136,25 @@ def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
         (F.col("score") > 0) & (F.lit(len(asked) <= 1) | (F.col("matched") == len(asked))))
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """Results by score, equal ones by id."""
+    return found.orderBy(F.desc("score"), "doc_id")
+
+
 def two_stage(docs: DataFrame, query: str, fields=FIELDS, limit: int = 100) -> DataFrame:
-    """Field scores over the index's hits; if it has none, over all documents. The fallback is part of the plan: it
-    reads nothing where there are hits."""
-    hits = bm25(docs, query, limit)
-    first = searched(docs.join(F.broadcast(hits.select("doc_id")), "doc_id", "left_semi"), query, fields)  # at most `limit` ids
-    any_hit = hits.agg((F.count(F.lit(1)) > 0).alias("_any"))
-    rest = docs.join(F.broadcast(any_hit)).filter(~F.col("_any")).drop("_any")
-    return first.unionByName(searched(rest, query, fields))
+    """Field scores over the index's hits (at most `limit` ids, which travel); only if it has none, over all documents."""
+    hits = bm25(docs, query, limit).select("doc_id")
+    ids = [r["doc_id"] for r in hits.collect()]
+    if not ids:
+        return searched(docs, query, fields)
+    return searched(docs.filter(F.col("doc_id").isin(ids)), query, fields)
+
+
+def substring_search(docs: DataFrame, query: str, text: str = "text") -> DataFrame:
+    """The plain fallback: documents whose name or text has the query, in any case."""
+    low = query.strip().lower()
+    some = [F.coalesce(F.lower(c).contains(low), F.lit(False)) for c in ("file_name", text) if c in docs.columns]
+    return docs.filter(some[0] if len(some) == 1 else some[0] | some[1])
 
 
 def snippet(text: Column, query: str, before: int = 50, after: int = 100) -> Column:

@@ -50,29 +50,34 @@ def status(documents: DataFrame, pages: DataFrame, jobs: DataFrame) -> DataFrame
         "status", F.when(F.col("open_jobs") > 0, "indexing").otherwise("done"))
 
 
-def ancestors(folders: DataFrame, depth: int = 8) -> DataFrame:
-    """folder_id, ancestor_id, distance for trees of at most `depth` levels; a folder is its own ancestor at 0."""
-    step = folders.select("folder_id", F.col("folder_id").alias("ancestor_id"), F.lit(0).alias("distance"))
-    out, up = step, folders.select(F.col("folder_id").alias("_f"), F.col("parent_id").alias("_p")).filter("_p is not null")
-    for d in range(1, depth):
-        step = step.join(up, F.col("ancestor_id") == F.col("_f")).select("folder_id", F.col("_p").alias("ancestor_id"), F.lit(d).alias("distance"))
-        out = out.union(step)
-    return out
-
-
-def folder_counts(assigned: DataFrame, folders: DataFrame, depth: int = 4) -> DataFrame:
-    """folder_id, n: each document once in every folder that it is in, ancestors included."""
-    return assigned.join(ancestors(folders, depth), "folder_id").select("doc_id", "ancestor_id").distinct().groupBy(
+def ancestors(folders: DataFrame) -> DataFrame:
+    """folder_id, ancestor_id, distance for trees of any depth up to the session's limit for recursion (100 levels unless
+    set otherwise), beyond which the query fails; a folder is its own ancestor at 0."""
+    return folders.sparkSession.sql("""WITH RECURSIVE up(folder_id, ancestor_id, distance) AS (
+        SELECT folder_id, folder_id, 0 FROM {tree} UNION ALL
+        SELECT up.folder_id, tree.parent_id, up.distance + 1 FROM up JOIN {tree} AS tree ON up.ancestor_id = tree.folder_id WHERE tree.parent_id IS NOT NULL)
+        SELECT folder_id, ancestor_id, distance FROM up""", tree=folders.select("folder_id", "parent_id"))
+
+
+def folder_counts(assigned: DataFrame, folders: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """folder_id, n: each document once in every folder that it is in, ancestors included; and all of `documents`, in a
+    folder or not, in all-files."""
+    each = assigned.join(ancestors(folders), "folder_id").select("doc_id", "ancestor_id").distinct().groupBy(
         F.col("ancestor_id").alias("folder_id")).agg(F.count(F.lit(1)).alias("n"))
+    if documents is None:
+        return each
+    return each.filter("folder_id <> 'all-files'").union(documents.agg(F.count(F.lit(1)).alias("n")).select(F.lit("all-files"), "n"))
 
 
 def overridden(assigned: DataFrame, overrides: DataFrame, folders: DataFrame) -> DataFrame:
-    """doc_id, folder_id, confidence, source: removals first, each of its own folder only; then additions with all
-    ancestors, at confidence 1."""
+    """doc_id, folder_id, confidence, source (and is_primary, if there): removals first, each of its own folder only; then
+    additions with all ancestors, at confidence 1."""
     known = overrides.join(folders.select("folder_id"), "folder_id", "left_semi")
-    left = assigned.select("doc_id", "folder_id", "confidence", "source").join(known.filter("action = 'remove'"), ["doc_id", "folder_id"], "left_anti")
+    marked = ["is_primary"] if "is_primary" in assigned.columns else []
+    left = assigned.select("doc_id", "folder_id", "confidence", *marked, "source").join(known.filter("action = 'remove'"), ["doc_id", "folder_id"], "left_anti")
     added = known.filter("action = 'add'").join(ancestors(folders), "folder_id").select(
-        "doc_id", F.col("ancestor_id").alias("folder_id"), F.lit(1.0).alias("confidence"), F.lit("manual").alias("source")).distinct()
+        "doc_id", F.col("ancestor_id").alias("folder_id"), F.lit(1.0).alias("confidence"),
+        *(F.lit(False).alias(m) for m in marked), F.lit("manual").alias("source")).distinct()
     return left.join(added, ["doc_id", "folder_id"], "left_anti").unionByName(added)
 
 
@@ -81,6 +86,37 @@ def claimable(jobs: DataFrame, n: int = 1, attempts: int = 3) -> DataFrame:
     return jobs.filter((F.col("status") == "pending") & (F.col("attempts") < attempts)).orderBy("created_at", "page_number", "job_id").limit(n)
 
 
+def claimed(jobs: DataFrame, n: int = 1, attempts: int = 3) -> DataFrame:
+    """jobs after the oldest `n` pending ones are taken: those are processing, with one more attempt. At most `n` ids
+    travel."""
+    taken = claimable(jobs, n, attempts).select("job_id", F.lit(True).alias("taken"))
+    rows = jobs.join(F.broadcast(taken), "job_id", "left")
+    mine = F.coalesce("taken", F.lit(False))
+    return rows.withColumns({"status": F.when(mine, "processing").otherwise(F.col("status")), "attempts": F.col("attempts") + mine.cast("int")}).select(*jobs.columns)
+
+
+def finished(jobs: DataFrame, results: DataFrame, attempts: int = 3) -> DataFrame:
+    """jobs after results (job_id, ok, error) of claimed ones: done jobs go; others are pending again with their error, or
+    failed once they had all their attempts."""
+    rows = jobs.join(results.select("job_id", "ok", F.col("error").alias("why")), "job_id", "left").filter("ok is null or not ok")
+    lost = F.col("ok").isNotNull()
+    return rows.withColumns({"status": F.when(lost, F.when(F.col("attempts") >= attempts, "failed").otherwise("pending")).otherwise(F.col("status")),
+                             "error": F.when(lost, F.col("why")).otherwise(F.col("error"))}).select(*jobs.columns)
+
+
+def completed(pages: DataFrame, jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """pages with those of the jobs that went well (results: job_id, ok, text): a page replaces one of the same document
+    and number."""
+    new = jobs.join(results.filter("ok").select("job_id", "text"), "job_id").select("document_id", "page_number", "text", F.lit("done").alias("status"))
+    return upserted(pages, new, ["document_id", "page_number"])
+
+
+def rebuilt(rows: DataFrame, key: str, empty: Column, version: int, known: int | None) -> tuple[DataFrame, DataFrame]:
+    """(rows to work out again, rows to keep): all if the stored version is another one, else those where `empty` holds."""
+    due = F.lit(known != version) | F.coalesce(empty, F.lit(True))
+    return rows.filter(due), rows.filter(~due)
+
+
 def after_attempt(jobs: DataFrame, results: DataFrame, attempts: int = 3) -> DataFrame:
     """jobs after results (job_id, ok, error): done jobs go, failed ones are pending until their last attempt."""
     rows = jobs.join(results.withColumnRenamed("error", "_error"), "job_id", "left")

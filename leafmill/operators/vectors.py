@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.identity import fingerprint
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -38,15 +40,6 @@ def top_k(vectors: DataFrame, query: list[float], k: int = 30, vec: str = "embed
     return vectors.select("vec_id", (F.floor(cosine(F.col(vec), q) * 1e4 + 0.5) / 1e4).alias("score")).orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score, rank: for a bounded list of queries (its caller's), which travel to every task."""
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col(vec).alias("_q"))
-    pairs = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id")).select(
-        "query_id", "vec_id", (F.floor(cosine(F.col("_q"), F.col(vec)) * 1e4 + 0.5) / 1e4).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
 def _matrix(column: pd.Series) -> np.ndarray:
     """One row for each vector; NaN for missing components and for lengths other than the most frequent one."""
     size = column.map(len, na_action="ignore").mode()
@@ -69,8 +62,8 @@ def _norms(a: np.ndarray) -> np.ndarray:
 
 
 def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embedding", block: int = 4096, chunk: int = 64) -> DataFrame:
-    """As knn(), for queries that grow with the table: blocks of queries meet blocks of vectors, and only the best k of
-    each pair of blocks go on. Vectors are to have one length."""
+    """query_id, vec_id, score, rank for queries that may grow with the table: blocks of queries meet blocks of vectors, and
+    only the best k of each pair of blocks go on. Vectors are to have one length."""
     # the sizes alone reach the driver
     n_rows, n_asked = -(-vectors.count() // block) or 1, -(-queries.count() // block) or 1
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
@@ -100,3 +93,22 @@ def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, vec: str = "embed
     found = rows.groupBy("_i", "_j").cogroup(asked.groupBy("_i", "_j")).applyInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def semantic(docs: DataFrame, query: list[float], k: int = 30) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, similarity of the `k` nearest documents; one row that says how many have text, how many of those a fresh
+    vector, and the mode).
+
+    docs: doc_id, text, vector, made_of (the fingerprint of the text that the vector was made of; empty if unknown). Stored
+    vectors count only if every document with text has a fresh one and all have the query's length and finite numbers;
+    else new ones are to be made first, and nothing is found.
+    """
+    some = docs.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    own = F.coalesce(F.nullif(F.col("made_of"), F.lit("")), fingerprint(F.col("text")))
+    fresh = F.coalesce(F.size("vector") > 0, F.lit(False)) & (own == fingerprint(F.col("text")))
+    fits = fresh & (F.size("vector") == len(query)) & F.coalesce(stored_form(F.col("vector")).isNotNull(), F.lit(False))
+    rows = some.select("doc_id", "vector", F.coalesce(fresh, F.lit(False)).alias("fresh"), F.coalesce(fits, F.lit(False)).alias("fits"))
+    state = rows.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("fresh").alias("fresh"), F.count_if("fits").alias("fits"))  # one row
+    state = state.withColumn("mode", F.when((F.col("fits") == F.col("candidates")) & (F.col("candidates") > 0), "cached").when(F.col("fresh") > 0, "mixed").otherwise("live"))
+    usable = rows.select("doc_id", "vector").join(F.broadcast(state.filter("mode = 'cached'").select("mode"))).select(F.col("doc_id").alias("vec_id"), F.col("vector").alias("embedding"))
+    return top_k(usable, query, k).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("similarity")), state

@@ -90,48 +90,29 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", F.array_join(F.transform(form, lambda x: F.floor(x * 1e6 + 0.5).cast("string")), ",").alias("millionths"), form.isNotNull().alias("valid"))
 
 
-#: A document's words as phrases and tags.
-PHRASES_SQL = "list_filter(string_split(regexp_replace(text, '[\\s]+', ' ', 'g'), ' '), lambda x: x <> '')[1:40]"
+#: A document's different words as phrases and tags; without repeats, phrases come out the same.
+PHRASES_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')"
 CLEAN_SQL = r"list_filter(list_transform({}, lambda x: regexp_replace(lower(x), '^[\-_:;,.()\[\]{{}}]+|[\-_:;,.()\[\]{{}}]+$', '', 'g')), lambda x: x <> '')"
 FIRST_SQL = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 
 
-def _phrases():
-    return F.slice(F.filter(F.split(F.regexp_replace("text", r"[\s]+", " "), " "), lambda x: x != ""), 1, 40)
+def _phrases() -> Column:
+    return F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
 
 
-@query("U06_phrases_apart", f"""WITH a AS (SELECT doc_id, {CLEAN_SQL.format(PHRASES_SQL)} AS p FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))
-SELECT doc_id, md5(array_to_string(list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN len(a) >= 20 OR len(list_filter(a, lambda y: contains(y, x[1]) OR contains(x[1], y))) > 0 THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])), '|')) AS phrases_md5 FROM a""")
+@query("U06_phrases_apart", f"""WITH a AS (SELECT doc_id, {CLEAN_SQL.format(PHRASES_SQL)} AS p FROM documents), b AS (SELECT doc_id, {FIRST_SQL.format("p")} AS p FROM a)
+SELECT doc_id, md5(array_to_string(list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN len(a) >= 20 OR len(list_filter(a, lambda y: contains(y, x[1]) OR contains(x[1], y))) > 0 THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])), '|')) AS phrases_md5 FROM b""")
 def phrases_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", md5_of(enrich.apart(_phrases(), 20)).alias("phrases_md5"))
+    """Of the whole text of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", md5_of(enrich.apart(F.array_distinct(_phrases()), 20)).alias("phrases_md5"))
 
 
-@query("T19_enriched_tags", f"""WITH a AS (SELECT doc_id, [source, lang, source] AS t, [lang, 'x'] AS k, {CLEAN_SQL.format(PHRASES_SQL)} AS p, {CLEAN_SQL.format("(" + PHRASES_SQL + ")[20:40]")} AS n FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')),
-b AS (SELECT doc_id, t, k, ({FIRST_SQL.format("p")})[1:20] AS p, ({FIRST_SQL.format("n")})[1:6] AS n FROM a), c AS (SELECT doc_id, t || p[1:4] AS t, p || k || n AS k FROM b)
+@query("T19_enriched_tags", f"""WITH a AS (SELECT doc_id, list_filter([source, lang, source], lambda x: x <> '') AS t, list_filter([lang, 'x'], lambda x: x <> '') AS k, {CLEAN_SQL.format(PHRASES_SQL)} AS p, {CLEAN_SQL.format("(" + PHRASES_SQL + ")[20:]")} AS n FROM documents),
+b AS (SELECT doc_id, t, k, ({FIRST_SQL.format("p")})[1:20] AS p, ({FIRST_SQL.format("n")})[1:16] AS n FROM a), c AS (SELECT doc_id, t || p[1:4] AS t, p || k || n[1:6] AS k FROM b)
 SELECT doc_id, md5(array_to_string(({FIRST_SQL.format("t")})[1:14], '|')) AS titles_md5, md5(array_to_string(({FIRST_SQL.format("k")})[1:32], '|')) AS keywords_md5 FROM c""")
 def enriched_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    titles, keywords = enrich.with_enrichment(F.array("source", "lang", "source"), F.array("lang", F.lit("x")), _phrases(), F.slice(_phrases(), 20, 21))
-    return docs.select("doc_id", md5_of(titles).alias("titles_md5"), md5_of(keywords).alias("keywords_md5"))
-
-
-def _whole() -> Column:
-    """All different words of a text in their order; without repeats, phrases come out the same."""
-    return F.array_distinct(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != ""))
-
-
-@query("U06_phrases_apart_whole")
-def phrases_apart_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the whole text of every document: DuckDB's fold and lower() don't follow there."""
-    return table(spark, sf_dir, "documents").select("doc_id", md5_of(enrich.apart(_whole(), 20)).alias("phrases_md5"))
-
-
-@query("T19_enriched_tags_whole")
-def enriched_tags_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As T19_enriched_tags, of the whole text of every document; the words from the 20th on stand for noun phrases."""
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", words.alias("_w"))
+    """Of the whole text of every document; the words from the 20th on stand for noun phrases."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", _phrases().alias("_w"))
     later = F.array_distinct(F.slice("_w", 20, F.greatest(F.size("_w"), F.lit(1))))
     titles, keywords = enrich.with_enrichment(F.array("source", "lang", "source"), F.array("lang", F.lit("x")), F.array_distinct("_w"), later)
     return docs.select("doc_id", md5_of(titles).alias("titles_md5"), md5_of(keywords).alias("keywords_md5"))
@@ -164,23 +145,16 @@ def generated_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 KNOWN = ["reth", "thing", "oren", "eran"]
 
 
-@query("T21_keyphrases", f"""WITH a AS (SELECT item_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) BETWEEN 3 AND 24 AND w <> 'was' AND NOT regexp_matches(w, '[0-9]')
-  AND (w IN ({SQL_LIST(KNOWN)}) OR (length(replace(w, '-', '')) BETWEEN 4 AND 18 AND regexp_matches(w, '[aeiou]') AND NOT regexp_matches(replace(w, '-', ''), '[bcdfghjklmnpqrstvwxyz]{{5,}}') AND NOT regexp_matches(replace(w, '-', ''), '[aeiou]{{4,}}')))) AS w FROM benchmark),
-g AS (SELECT item_id, list_filter([array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)], lambda x: len(list_filter(string_split(x, ' '), lambda y: y IN ({SQL_LIST(KNOWN)}))) > 0)
+@query("T21_keyphrases", f"""WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) BETWEEN 3 AND 24 AND w <> 'was' AND NOT regexp_matches(w, '[0-9]')
+  AND (w IN ({SQL_LIST(KNOWN)}) OR (length(replace(w, '-', '')) BETWEEN 4 AND 18 AND regexp_matches(w, '[aeiou]') AND NOT regexp_matches(replace(w, '-', ''), '[bcdfghjklmnpqrstvwxyz]{{5,}}') AND NOT regexp_matches(replace(w, '-', ''), '[aeiou]{{4,}}')))) AS w FROM documents),
+g AS (SELECT doc_id, list_filter([array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)], lambda x: len(list_filter(string_split(x, ' '), lambda y: y IN ({SQL_LIST(KNOWN)}))) > 0)
   || list_filter([array_to_string(w[i:i+1], ' ') for i in range(1, len(w))], lambda x: len(list_filter(string_split(x, ' '), lambda y: y IN ({SQL_LIST(KNOWN)}))) > 0) || w AS c FROM a),
-e AS (SELECT item_id, unnest(c) AS p, unnest(range(len(c))) AS i FROM g), s AS (SELECT item_id, p, count(*) AS n, min(i) AS first, len(string_split(p, ' ')) AS k, len(list_filter(string_split(p, ' '), lambda y: y IN ({SQL_LIST(KNOWN)}))) AS d FROM e WHERE length(p) <= 60 GROUP BY item_id, p),
-o AS (SELECT item_id, list(p ORDER BY n * CASE WHEN k > 1 THEN k * 3 ELSE 1 END + 2 / (1 + first / 80) + 2 * d DESC, first, p) AS p FROM s GROUP BY item_id),
-f AS (SELECT item_id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN len(a) >= 20 OR len(list_filter(a, lambda y: contains(y, x[1]) OR contains(x[1], y))) > 0 THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])) AS p FROM o)
-SELECT b.item_id, coalesce(array_to_string(p, '|'), '') AS keyphrases FROM benchmark b LEFT JOIN f ON b.item_id = f.item_id""")
+e AS (SELECT doc_id, unnest(c) AS p, unnest(range(len(c))) AS i FROM g), s AS (SELECT doc_id, p, count(*) AS n, min(i) AS first, len(string_split(p, ' ')) AS k, len(list_filter(string_split(p, ' '), lambda y: y IN ({SQL_LIST(KNOWN)}))) AS d FROM e WHERE length(p) <= 60 GROUP BY doc_id, p),
+o AS (SELECT doc_id, list(p ORDER BY n * CASE WHEN k > 1 THEN k * 3 ELSE 1 END + 2 / (1 + first / 80) + 2 * d DESC, first, p) AS p FROM s GROUP BY doc_id),
+f AS (SELECT doc_id, list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN len(a) >= 20 OR len(list_filter(a, lambda y: contains(y, x[1]) OR contains(x[1], y))) > 0 THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])) AS p FROM o)
+SELECT b.doc_id, coalesce(array_to_string(p, '|'), '') AS keyphrases FROM documents b LEFT JOIN f ON b.doc_id = f.doc_id""")
 def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    found = enrich.keyphrases(docs, stop=["was"], noise=[], domain=KNOWN, common=[])
-    return found.select(F.col("doc_id").alias("item_id"), F.array_join("keyphrases", "|").alias("keyphrases"))
-
-
-@query("T21_keyphrases_documents")
-def keyphrases_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of every document; the SQL above has no bound on what it makes of long texts."""
+    """Of the whole text of every document."""
     found = enrich.keyphrases(table(spark, sf_dir, "documents").select("doc_id", "text"), stop=["was"], noise=[], domain=KNOWN, common=[])
     return found.select("doc_id", F.array_join("keyphrases", "|").alias("keyphrases"))
 

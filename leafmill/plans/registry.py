@@ -21,7 +21,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _loaded() -> None:
-    from . import documents, editing, organising, searching  # noqa: F401
+    from . import documents, editing, library, organising, searching  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import search, vectors
+from ..functions import identity
+from ..operators import search, vectors, views
 from .documents import table
-from .registry import ORACLES, query
+from .registry import query
 
 NORM_SQL = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 ASKED = "thing eran"
@@ -37,33 +38,76 @@ def match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.filter(F.array_contains("_w", "thing") & F.array_contains("_w", "eran")).select("doc_id")
 
 
-@query("X07_postings", f"""WITH d AS (SELECT doc_id, list_filter(string_split({NORM_SQL}, ' '), lambda x: x <> '') AS w FROM documents WHERE lang = 'de'),
+@query("X07_postings", f"""WITH d AS (SELECT doc_id, list_filter(string_split({NORM_SQL}, ' '), lambda x: x <> '') AS w FROM documents),
 e AS (SELECT doc_id, len(w) AS doc_len, unnest(w) AS token FROM d) SELECT token, doc_id, CAST(doc_len AS INT) AS doc_len, count(*) AS tf FROM e GROUP BY ALL""")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(table(spark, sf_dir, "documents").filter("lang = 'de'"))
+    """The index of every document."""
+    return search.postings(table(spark, sf_dir, "documents"))
 
 
-@query("X07_postings_all", ORACLES["X07_postings"].replace(" WHERE lang = 'de'", ""))
-def postings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of every document, whatever its language."""
-    return search.postings(table(spark, sf_dir, "documents"))
+#: The eight fields of a document, made of the table's columns.
+FIELD_SQL = {
+    "file_name": "source || '-' || CAST(doc_id AS VARCHAR) || '.txt'", "title_tags": "substr(text, 1, 60)", "folders": "lang || ' / ' || source", "metadata": "'chars ' || CAST(n_chars AS VARCHAR)",
+    "keyword_tags": "substr(text, 61, 80)", "category": "CASE WHEN doc_id % 5 = 0 THEN 'Thing' ELSE 'Unknown' END", "clean_text": "replace(text, '  ', ' ')", "text": "text"}
+
+
+def with_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", *(F.expr(x.replace("VARCHAR", "STRING")).alias(f) for f, x in FIELD_SQL.items()))
+
 
+def fields_sql(tokens: list[str], given: str) -> str:
+    """The field scores of `given` (doc_id and the fields) as `y` (doc_id, score, matched). Tokens are letters only."""
+    q, names = " ".join(tokens), list(FIELD_SQL)
+    norm = lambda x: f"trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9]+', ' ', 'g'))"
+    low = ", ".join(f"{norm(f)} AS low_{f}" for f in names)
+    words = ", ".join(f"list_filter(string_split(low_{f}, ' '), lambda x: x <> '') AS w_{f}" for f in names)
+    parts, hits = [], {t: [] for t in tokens}
+    for f, weight, recognised in search.FIELDS:
+        own = [f"CASE WHEN low_{f} = '{q}' THEN {3.0 * weight} ELSE 0 END", f"CASE WHEN contains(low_{f}, '{q}') THEN {2.0 * weight} ELSE 0 END", f"CASE WHEN contains(replace(low_{f}, ' ', ''), '{q.replace(' ', '')}') THEN {1.5 * weight} ELSE 0 END"]
+        for t in tokens:
+            most = (3 if len(t) >= 7 else 2 if len(t) == 6 else 1) if recognised else 1
+            near = f"len(list_filter(w_{f}, lambda x: abs(length(x) - {len(t)}) <= 1 AND levenshtein(x, '{t}') <= {most})) > 0"
+            own.append(f"CASE WHEN list_contains(w_{f}, '{t}') THEN {weight} * idf_{t} WHEN {near} THEN {(0.25 if recognised else 0.45) * weight} * idf_{t} ELSE 0 END")
+            hits[t].append(f"list_contains(w_{f}, '{t}') OR {near}")
+        parts.append(f"CASE WHEN low_{f} <> '' THEN {' + '.join(own)} ELSE 0 END")
+    return f"""lows AS (SELECT doc_id, {norm("concat_ws(' ', " + ", ".join(names) + ")")} AS whole, {low} FROM {given}), ws AS (SELECT *, {words} FROM lows),
+nn AS (SELECT {", ".join(f"1 + ln((count(*) + 1) / (count_if(contains(whole, '{t}')) + 1)) AS idf_{t}" for t in tokens)} FROM lows),
+x AS (SELECT doc_id, {" + ".join(parts)} AS s, {" + ".join(f"CAST({' OR '.join(hits[t])} AS INT)" for t in tokens)} AS matched FROM ws CROSS JOIN nn),
+y AS (SELECT doc_id, floor((s + CASE WHEN matched = {len(tokens)} THEN 150 ELSE 0 END) * 100 + 0.5) / 100 AS score, CAST(matched AS INT) AS matched FROM x)"""
 
-@query("X03_field_search", f"""WITH f AS (SELECT doc_id, {NORM_SQL} AS t, trim(regexp_replace(lower(source), '[^a-z0-9]+', ' ', 'g')) AS s FROM documents),
-g AS (SELECT doc_id, t, s, s || ' ' || t AS a, string_split(t, ' ') AS w FROM f),
-n AS (SELECT count(*) AS n, sum(CASE WHEN contains(a, 'red') THEN 1 ELSE 0 END) AS df FROM g),
-x AS (SELECT doc_id, CASE WHEN t = 'red' THEN 30.0 ELSE 0 END + CASE WHEN contains(t, 'red') THEN 20.0 ELSE 0 END + CASE WHEN contains(replace(t, ' ', ''), 'red') THEN 15.0 ELSE 0 END
-  + CASE WHEN list_contains(w, 'red') THEN 10 * (1 + ln((n + 1) / (df + 1))) ELSE 0 END AS score, list_contains(w, 'red') AS hit FROM g CROSS JOIN n WHERE t <> '')
-SELECT doc_id, floor((score + CASE WHEN hit THEN 150 ELSE 0 END) * 100 + 0.5) / 100 AS score FROM x WHERE score > 0""")
+
+ALL_FIELDS = "g AS (SELECT doc_id, " + ", ".join(f"{x} AS {f}" for f, x in FIELD_SQL.items()) + " FROM documents)"
+
+
+@query("X03_field_search", f"WITH {ALL_FIELDS}, {fields_sql(ASKED.split(), 'g')} SELECT doc_id, score, matched FROM y WHERE score > 0 AND matched = 2")
 def field_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file_name"), F.col("text").alias("clean_text"))
-    return search.searched(docs, "red").select("doc_id", "score")
+    """Eight fields and two words, exact or nearly so, over every document."""
+    return search.searched(with_fields(spark, sf_dir), ASKED)
+
 
+@query("X03_one_word", f"WITH {ALL_FIELDS}, {fields_sql(['eran'], 'g')} SELECT doc_id, score FROM y WHERE score > 0")
+def one_word_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.searched(with_fields(spark, sf_dir), "eran").select("doc_id", "score")
 
-@query("X06_two_stage_search")
+
+@query("X06_two_stage_search", f"""WITH {BM25_SQL}, b AS (SELECT doc_id FROM h ORDER BY h.score DESC, doc_id LIMIT 100), {ALL_FIELDS}, gb AS (SELECT * FROM g WHERE doc_id IN (SELECT doc_id FROM b)), {fields_sql(ASKED.split(), 'gb')}
+SELECT doc_id, score FROM y WHERE score > 0 AND matched = 2""")
 def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.two_stage(with_fields(spark, sf_dir), ASKED).select("doc_id", "score")
+
+
+@query("O03_ranked_results", f"WITH {ALL_FIELDS}, {fields_sql(['eran'], 'g')} SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM y WHERE score > 0 ORDER BY place LIMIT 30")
+def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of results: thirty rows meet, and they are numbered."""
+    first = search.ranked(search.searched(with_fields(spark, sf_dir), "eran").select("doc_id", "score")).limit(30)
+    return first.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long").alias("place"))
+
+
+@query("F08_substring_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ing er') OR contains(lower(source), 'ing er')")
+def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file_name"), "text")
-    return search.two_stage(docs, ASKED).select("doc_id", "score")
+    return search.substring_search(docs, " ing ER ").select("doc_id")
 
 
 @query("J08_fuzzy_words", """SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: abs(length(w) - 6) <= 1 AND levenshtein(w, 'widgat') <= 1)) > 0""")
@@ -79,20 +123,12 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 COSINE_SQL = "list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / (sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))) * sqrt(list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))"
-KNN_SQL = f"""p AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS want, b.label AS got, floor({COSINE_SQL} * 1e4 + 0.5) / 1e4 AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 10),
+KNN_SQL = f"""p AS (SELECT a.vec_id AS query_id, b.vec_id, a.label AS want, b.label AS got, floor({COSINE_SQL} * 1e4 + 0.5) / 1e4 AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)"""
 
 
 def _knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings")
-    found = vectors.knn(rows, rows.filter("vec_id < 10"), k)
-    label = rows.select(F.col("vec_id"), F.col("label").alias("got"))
-    want = rows.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").alias("want"))
-    return found.join(label, "vec_id").join(F.broadcast(want), "query_id")
-
-
-def _knn_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """As _knn(), with every row whose id is divisible by 50 as a query."""
+    """Every row whose id is divisible by 50 is a query."""
     rows = table(spark, sf_dir, "embeddings")
     asked = rows.filter("vec_id % 50 = 0")
     label = rows.select(F.col("vec_id"), F.col("label").alias("got"))
@@ -100,28 +136,16 @@ def _knn_all(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return vectors.knn_blocks(rows, asked, k).join(label, "vec_id").join(want, "query_id")
 
 
-def all_sql(name: str) -> str:
-    return ORACLES[name].replace("a.vec_id < 10", "a.vec_id % 50 = 0")
-
-
 @query("V02_knn", f"WITH {KNN_SQL} SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 30")
 def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir, 30).select("query_id", "vec_id", "score", "rank")
 
 
-@query("V02_knn_all", all_sql("V02_knn"))
-def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _knn_all(spark, sf_dir, 30).select("query_id", "vec_id", "score", "rank")
-
-
 @query("W06_precision_recall_at_k", f"""WITH {KNN_SQL}, r AS (SELECT want, count(*) - 1 AS total FROM (SELECT label AS want FROM embeddings) GROUP BY want),
 t AS (SELECT query_id, k.want, rank, sum(CASE WHEN want = got THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS good FROM k WHERE rank <= 50)
 SELECT query_id, CAST(rank AS INT) AS k, floor(good / rank * 1e4 + 0.5) / 1e4 AS precision, floor(good / total * 1e4 + 0.5) / 1e4 AS recall FROM t JOIN r ON t.want = r.want WHERE rank IN (5, 10, 20, 30, 50)""")
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _precision_recall(spark, sf_dir, _knn(spark, sf_dir, 50))
-
-
-def _precision_recall(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    found = _knn(spark, sf_dir, 50)
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     good = F.sum((F.col("want") == F.col("got")).cast("int")).over(w)
     total = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("want")).agg((F.count(F.lit(1)) - 1).alias("total"))
@@ -130,44 +154,22 @@ def _precision_recall(spark: SparkSession, sf_dir: str, found: DataFrame) -> Dat
     return rows.select("query_id", F.col("rank").alias("k"), fine(F.col("good") / F.col("rank")).alias("precision"), fine(F.col("good") / F.col("total")).alias("recall"))
 
 
-@query("W06_precision_recall_at_k_all", all_sql("W06_precision_recall_at_k"))
-def precision_recall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _precision_recall(spark, sf_dir, _knn_all(spark, sf_dir, 50))
-
-
 @query("W05_first_irrelevant", f"WITH {KNN_SQL} SELECT query_id, CAST(min(rank) AS INT) AS first_irrelevant FROM k WHERE rank <= 50 AND want <> got GROUP BY query_id")
 def first_irrelevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first_irrelevant(_knn(spark, sf_dir, 50))
-
-
-def _first_irrelevant(found: DataFrame) -> DataFrame:
-    return found.filter("want <> got").groupBy("query_id").agg(F.min("rank").alias("first_irrelevant"))
-
-
-@query("W05_first_irrelevant_all", all_sql("W05_first_irrelevant"))
-def first_irrelevant_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _first_irrelevant(_knn_all(spark, sf_dir, 50))
+    return _knn(spark, sf_dir, 50).filter("want <> got").groupBy("query_id").agg(F.min("rank").alias("first_irrelevant"))
 
 
 @query("F13_threshold_sweep", f"""WITH {KNN_SQL}, t AS (SELECT unnest([0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5]) AS threshold)
 SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(sum(CASE WHEN score >= threshold THEN 1 ELSE 0 END) AS BIGINT) AS found, CAST(sum(CASE WHEN score >= threshold AND want = got THEN 1 ELSE 0 END) AS BIGINT) AS good FROM k CROSS JOIN t WHERE rank <= 50 GROUP BY threshold""")
 def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _swept(_knn(spark, sf_dir, 50))
-
-
-def _swept(rows: DataFrame) -> DataFrame:
     """One pass: each threshold is a conditional sum."""
+    rows = _knn(spark, sf_dir, 50)
     levels = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
     sums = rows.agg(*(F.struct(F.lit(t).alias("threshold"), F.count_if(F.col("score") >= t).alias("found"),
                                F.count_if((F.col("score") >= t) & (F.col("want") == F.col("got"))).alias("good")).alias(f"_{i}") for i, t in enumerate(levels)))
     return sums.select(F.explode(F.array(*(f"_{i}" for i in range(len(levels))))).alias("r")).select("r.*")
 
 
-@query("F13_threshold_sweep_all", all_sql("F13_threshold_sweep"))
-def threshold_sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _swept(_knn_all(spark, sf_dir, 50))
-
-
 @query("X09_hybrid_merge", f"""WITH {BM25_SQL}, l AS (SELECT doc_id, score FROM h ORDER BY score DESC, doc_id LIMIT 100),
 sem AS (SELECT b.vec_id AS doc_id, floor({COSINE_SQL} * 1e4 + 0.5) / 1e4 AS sim FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id = 0 ORDER BY sim DESC, doc_id LIMIT 30)
 SELECT coalesce(l.doc_id, sem.doc_id) AS doc_id, CASE WHEN sim IS NULL THEN floor(score * 1e4 + 0.5) / 1e4 WHEN score IS NULL THEN floor(sim * 10000 + 0.5) / 100 ELSE floor((score + 100 * sim) * 100 + 0.5) / 100 END AS score
@@ -180,3 +182,39 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = search.hybrid(lexical, semantic)
     only = both.join(semantic.select("doc_id", "similarity"), "doc_id", "left")
     return only.select("doc_id", F.when(F.col("similarity").isNull(), F.floor(F.col("score") * 1e4 + 0.5) / 1e4).otherwise(F.col("score")).alias("score"))
+
+
+def _with_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    """Documents that have a vector of their id, made of today's text."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").join(rows, "doc_id")
+    return docs.withColumn("made_of", identity.fingerprint(F.col("text"))), rows.filter("doc_id = 0").head()["vector"]
+
+
+@query("X08_semantic_search", rf"""WITH d AS (SELECT doc_id, source, text FROM documents WHERE trim(coalesce(text, '')) <> ''), s AS (SELECT d.doc_id, d.source, d.text, floor({COSINE_SQL} * 1e4 + 0.5) / 1e4 AS sim
+FROM d JOIN embeddings b ON d.doc_id = b.vec_id CROSS JOIN (SELECT * FROM embeddings WHERE vec_id = 0) a), k AS (SELECT * FROM s ORDER BY sim DESC, doc_id LIMIT 30)
+SELECT doc_id AS document_id, source AS file_name, floor(sim * 10000 + 0.5) / 100 AS score, md5(substr(text, 1, 320)) AS preview_md5, TRUE AS has_full_text, 'cached' AS mode FROM k""")
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Freshness, equal dimensions, nearest vectors, their documents by path, and what a reader sees of them."""
+    docs, asked = _with_vectors(spark, sf_dir)
+    hits, state = vectors.semantic(docs, asked, 30)
+    library = docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("file_name"), F.concat(F.lit("/a//b/"), "doc_id").alias("file_path"),
+                          F.lit("").alias("primary_path"), F.array("lang").alias("title_tags"), "text", F.lit("").alias("clean_text"))
+    shown = views.found_by_meaning(hits.select(F.concat(F.lit("/a/./b/"), "doc_id").alias("file_path"), "similarity"), library)
+    return shown.join(F.broadcast(state.select("mode"))).select("document_id", "file_name", "score", F.md5("preview").alias("preview_md5"), "has_full_text", "mode")
+
+
+@query("V03_usable_together", """WITH e AS (SELECT vec_id, vec_id % 9 = 4 AS other FROM embeddings) SELECT count(*) AS candidates, count(*) AS fresh, CAST(count_if(NOT other) AS BIGINT) AS fits, 'mixed' AS mode FROM e JOIN documents ON vec_id = doc_id WHERE trim(coalesce(text, '')) <> ''""")
+def usable_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of another length among them: none can be used."""
+    docs, asked = _with_vectors(spark, sf_dir)
+    short = docs.withColumn("vector", F.when(F.col("doc_id") % 9 == 4, F.slice("vector", 1, 3)).otherwise(F.col("vector")))
+    return vectors.semantic(short, asked, 30)[1]
+
+
+@query("J03_hits_with_documents", f"WITH {BM25_SQL}, b AS (SELECT doc_id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM h ORDER BY h.score DESC, doc_id LIMIT 100) SELECT b.doc_id AS document_id, source AS file_name, score, md5(substr(text, 1, 320)) AS preview_md5 FROM b JOIN documents ON b.doc_id = documents.doc_id")
+def hits_with_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    hits = search.bm25(docs, ASKED).select(F.col("doc_id").alias("document_id"), (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
+    library = docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("file_name"), "text", F.lit("").alias("clean_text"))
+    return views.found(hits, library).select("document_id", "file_name", "score", F.md5("preview").alias("preview_md5"))

@@ -1,16 +1,17 @@
-"""Files as sources: folders of any depth, plain text, office containers, and JSON snapshots in and out."""
+"""Files as sources: folders of any depth, plain text, office containers, and the texts of their pages."""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import identity, markup
+from ..functions import identity, markup, quality
 from ..functions.text import lines_normalised
 
 # Which files are read, by extension.
@@ -91,18 +92,23 @@ def pages_and_jobs(pages: DataFrame, first: int = 3, least: int = 25) -> tuple[D
     return now, later
 
 
-SNAPSHOT = """documents array<struct<document_id string, file_hash string, file_name string, file_path string, text string, clean_text string,
-title_tags array<string>, keyword_tags array<string>, category string, text_quality int>>"""
+def page_texts(pages: DataFrame, least: int = 25) -> DataFrame:
+    """pages (embedded, recognised, has_image) with needs_recognition, text and quality columns: recognised text counts
+    where the embedded one has under `least` characters or the page has an image, after an empty line."""
+    rows = pages.withColumn("embedded", F.coalesce("embedded", F.lit(""))).withColumn("needs_recognition", (F.length("embedded") < least) | F.col("has_image"))
+    read = F.when(F.col("needs_recognition"), F.nullif(F.col("recognised"), F.lit("")))
+    return quality.built(rows.withColumn("text", lines_normalised(F.concat_ws("\n\n", F.nullif(F.col("embedded"), F.lit("")), read))))
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document of JSON snapshots; missing lists are empty."""
-    rows = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path).select(F.explode("documents").alias("d")).select("d.*")
-    none = F.array().cast("array<string>")
-    return rows.withColumns({"title_tags": F.coalesce("title_tags", none), "keyword_tags": F.coalesce("keyword_tags", none), "category": F.coalesce("category", F.lit("Unknown"))})
+def page(pages: DataFrame, document_id: str, number: int) -> DataFrame:
+    """One page of a document. The query fails where the document has no such page."""
+    own = pages.filter(F.col("document_id") == document_id)
+    last = own.agg(F.coalesce(F.max("page_number"), F.lit(0)).alias("last"))  # one row
+    fits = F.when(F.lit(number).between(F.lit(1), F.col("last")), True).otherwise(F.raise_error(F.concat(F.lit(f"page {number} is not in 1 to "), F.col("last").cast("string"))))
+    return last.filter(fits).join(own.filter(F.col("page_number") == number))
 
 
-def write_snapshot(sections: dict[str, DataFrame], path: str) -> None:
-    """Each section as JSON lines in a folder of its own."""
-    for name, df in sections.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+def scanned(files: DataFrame, classify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(what classify makes of the texts of readable files, the others with their error)."""
+    found = identified(files).drop("content").join(extracted(files), "path")
+    return classify(found.filter("error is null").drop("error")), found.filter("error is not null")

@@ -20,20 +20,29 @@ def arriving(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
         identity.document_id(F.col("file_hash")).alias("document_id"), "file_hash", "path", "content")
 
 
-def drained(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], batch: int = 1000, attempts: int = 3, rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Runs a small queue to its end: (pages done, jobs left, which are failed). work takes claimed jobs and returns
-    job_id, ok, text, error. Each round claims at most `batch` jobs; plans grow with the rounds, so a long queue is
-    better run as one call for each micro-batch, with the state written between."""
-    done = None
-    for _ in range(rounds):
-        claimed = store.claimable(jobs, batch, attempts).cache()
-        if claimed.isEmpty():
-            break
-        results = work(claimed).cache()
-        pages = claimed.join(results.filter("ok"), "job_id").select("document_id", "page_number", "text", F.lit("done").alias("status"))
-        done = pages if done is None else done.unionByName(pages)
-        jobs = store.after_attempt(jobs, results.select("job_id", "ok", "error"), attempts).cache()
-    return done, jobs
+def drained(jobs: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, batch: int = 1000, attempts: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Runs a queue to its end: (pages done, jobs left, which are failed). work takes claimed jobs and returns job_id, ok,
+    text, error. Each round claims at most `batch` jobs and writes the queue as it is then below path, so no plan grows
+    with the rounds, and a run that breaks off can go on from the last state that was written."""
+    spark, n = jobs.sparkSession, 0
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    jobs = kept(jobs, "jobs-0")
+    pages = None
+    while not store.claimable(jobs, 1, attempts).isEmpty():
+        n += 1
+        before = jobs
+        jobs = kept(store.claimed(jobs, batch, attempts), f"claimed-{n}")
+        taken = jobs.filter("status = 'processing'").join(before.filter("status = 'processing'").select("job_id"), "job_id", "left_anti")
+        results = kept(work(taken), f"results-{n}")
+        done = taken.join(results.filter("ok").select("job_id", "text"), "job_id").select("document_id", "page_number", "text", F.lit("done").alias("status"))
+        done.write.mode("append").parquet(f"{path}/pages")
+        pages = spark.read.schema(done.schema).parquet(f"{path}/pages")
+        jobs = kept(store.finished(jobs, results.select("job_id", "ok", "error"), attempts), f"jobs-{n}")
+    return pages, jobs
 
 
 def event_counts(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:

@@ -62,7 +62,8 @@ def test_suggested_folders(spark):
     assert r["folder_ids"][:2] == ["notes-theory-of-computation", "notes-books"]
     weak = suggest(spark, "scan.png", "", 20, 3)
     assert weak["primary_folder"] == "review-needed" and weak["top_folder"] == "images"
-    moved = suggest(spark, "scan.png", "yoga", overrides=[("medical", "yoga", "positive", 1.0), ("certificates", "yoga", "ignored", 3.0)])
+    edits = spark.createDataFrame([("medical", "yoga", "positive", 1.0), ("certificates", "yoga", "ignored", 3.0)], "folder_id string, keyword string, role string, weight double")
+    moved = suggest(spark, "scan.png", "yoga", overrides=edits)
     assert moved["top_folder"] == "medical" and moved["top_score"] == 12
 
 
@@ -114,10 +115,10 @@ def test_upsert_and_overrides(spark):
     assert {(r[0], r[1]) for r in store.inserted_if_absent(old, new, ["k"]).collect()} == {(1, "a"), (2, "b"), (3, "d")}
 
 
-def test_queue_ends_with_failed_jobs(spark):
+def test_queue_ends_with_failed_jobs(spark, tmp_path):
     jobs = spark.createDataFrame([(f"j{i}", "d", i, "pending", 0, i, None) for i in range(3)], "job_id string, document_id string, page_number int, status string, attempts int, created_at int, error string")
     work = lambda claimed: claimed.select("job_id", (F.col("page_number") != 1).alias("ok"), F.lit("text").alias("text"), F.lit("boom").alias("error"))
-    done, left = streams.drained(jobs, work, 2)
+    done, left = streams.drained(jobs, work, str(tmp_path), 2)
     assert sorted(r["page_number"] for r in done.collect()) == [0, 2]
     assert [(r["job_id"], r["status"], r["attempts"]) for r in left.collect()] == [("j1", "failed", 3)]
 
