@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,8 +52,23 @@ def plain(word: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(word, F.lit(""))), "[^a-z0-9]", "")
 
 
+def spelled_out(corrections=CORRECTIONS) -> dict[str, str] | None:
+    """Corrections that only list words as a table (the first one counts); None if a pattern is more than that."""
+    out: dict[str, str] = {}
+    for pattern, right in corrections:
+        if not re.fullmatch(r"\^\([a-z|]+\)\$(\|\^\([a-z|]+\)\$)*", pattern):
+            return None
+        for word in re.findall("[a-z]+", pattern):
+            out.setdefault(word, right)
+    return out
+
+
 def corrected(word: Column) -> Column:
-    """The first correction that fits."""
+    """The first correction that fits. Those that list words are one look-up in a set, and in a table where it hits."""
+    known = spelled_out()
+    if known is not None:
+        table = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))
+        return F.when(word.isin(*known), F.try_element_at(table, word)).otherwise(word)
     out = None
     for pattern, right in CORRECTIONS:
         out = F.when(word.rlike(pattern), right) if out is None else out.when(word.rlike(pattern), right)

@@ -131,3 +131,19 @@ def normalised_overrides(rows: DataFrame) -> DataFrame:
         F.col("f").alias("folder_id"), "o.keyword", "o.role", "o.weight")
     both = listed.unionByName(mapped).withColumns({"keyword": rule_text(F.col("keyword")), "role": F.coalesce("role", F.lit("positive"))})
     return both.filter(F.col("role").isin(*ROLES) & (F.col("keyword") != "") & F.col("folder_id").isNotNull()).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+
+
+def of_ids(folders: DataFrame, ids: list[str]) -> DataFrame:
+    """The named folders that are active, in the tree's order."""
+    return active(folders.filter(F.col("folder_id").isin(ids)))
+
+
+def single_saved(overrides: DataFrame, changes: DataFrame, folders: DataFrame) -> DataFrame:
+    """Edits of single documents (doc_id, folder_id, action) with changes: add or remove, of folders that there are, one for
+    each document and folder."""
+    known = changes.filter(F.col("action").isin("add", "remove")).join(F.broadcast(folders.filter("deleted_at is null").select("folder_id")), "folder_id", "left_semi")
+    return store.upserted(overrides, known, ["doc_id", "folder_id"])
+
+
+def single_deleted(overrides: DataFrame, gone: DataFrame) -> DataFrame:
+    return overrides.join(gone.select("doc_id", "folder_id"), ["doc_id", "folder_id"], "left_anti")

@@ -12,19 +12,35 @@ from . import folders as fo
 from . import organise, store, tags, views
 
 
+def tagged(docs: DataFrame, **words) -> DataFrame:
+    """doc_id, title_tags, keyword_tags of docs (doc_id, text); lists without tags are empty. `words`: the word lists."""
+    titles = tags.title_lines(docs, **words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "line_no", "title"))).alias("t"))
+    keys = tags.keyword_tags(docs, **words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("k"))
+    none = F.array().cast("array<string>")
+    return docs.select("doc_id").join(titles, "doc_id", "left").join(keys, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.array_distinct(F.transform("t", lambda x: x["title"])), none).alias("title_tags"), F.coalesce(F.transform("k", lambda x: x["tag"]), none).alias("keyword_tags"))
+
+
+def built(extracted: DataFrame, rules: dict | None = None, **words) -> DataFrame:
+    """extracted (doc_id, text, clean_text and more) with what is told from the clean text, or else from the text: tags and
+    category; and with a status of done where there is none."""
+    text = F.coalesce(F.nullif("clean_text", F.lit("")), "text", F.lit(""))
+    more = tagged(extracted.select("doc_id", text.alias("text")), **words)
+    found = tags.category(text, rules) if rules else tags.category(text)
+    rows = extracted.withColumn("category", found)
+    if "status" in rows.columns:
+        rows = rows.withColumn("status", F.coalesce(F.nullif("status", F.lit("")), F.lit("done")))
+    return rows.join(more, "doc_id")
+
+
 def synced(documents: DataFrame, pages: DataFrame, paths: DataFrame, jobs: DataFrame, **words) -> DataFrame:
     """document_id, title_tags, keyword_tags, clean_text, quality columns, indexed_pages and status, as the pages and jobs
     of today have them. `words` are the word lists of tags."""
     whole = views.flattened(documents, pages, paths).select("document_id", "clean_text", "text_quality", "raw_word_count", "clean_word_count", "noise_ratio")
-    own = whole.select(F.col("document_id").alias("doc_id"), F.col("clean_text").alias("text"))
-    titles = tags.title_lines(own, **words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "line_no", "title"))).alias("t"))
-    keys = tags.keyword_tags(own, **words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("k"))
-    none = F.array().cast("array<string>")
-    rows = whole.join(titles.withColumnRenamed("doc_id", "document_id"), "document_id", "left").join(keys.withColumnRenamed("doc_id", "document_id"), "document_id", "left")
+    more = tagged(whole.select(F.col("document_id").alias("doc_id"), F.col("clean_text").alias("text")), **words).withColumnRenamed("doc_id", "document_id")
     state = store.status(documents, pages, jobs).select("document_id", "indexed_pages", "status")
-    return rows.join(state, "document_id").select(
-        "document_id", F.coalesce(F.array_distinct(F.transform("t", lambda x: x["title"])), none).alias("title_tags"),
-        F.coalesce(F.transform("k", lambda x: x["tag"]), none).alias("keyword_tags"), "clean_text", "text_quality", "raw_word_count", "clean_word_count", "noise_ratio", "indexed_pages", "status")
+    return whole.join(more, "document_id").join(state, "document_id").select(
+        "document_id", "title_tags", "keyword_tags", "clean_text", "text_quality", "raw_word_count", "clean_word_count", "noise_ratio", "indexed_pages", "status")
 
 
 def organised(docs: DataFrame, folders: DataFrame, keywords: DataFrame | None = None, single: DataFrame | None = None) -> DataFrame:

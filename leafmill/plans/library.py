@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import quality
-from ..operators import enrich, organise, refresh, store, views
+from ..operators import enrich, models, organise, refresh, store, views
 from ..operators import folders as fo
 from ..operators import rules as R
 from ..sources import files, snapshots
-from .documents import COMMON, DOMAIN, QUALITY_SQL, clean_sql, counted_sql, table
+from .documents import CATEGORY_RULES, COMMON, DOMAIN, QUALITY_SQL, clean_sql, counted_sql, table
+from .editing import CLEAN_SQL as PLAIN_PHRASES
 from .editing import FOLDERS_SQL, THREE_SQL, _folders, _three
-from .organising import JOBS_SQL, LIST, SUGGESTED_SQL, all_folders, edits, jobs, library
+from .editing import PHRASES_SQL as PHRASE_WORDS
+from .organising import JOBS_SQL, SUGGESTED_SQL, all_folders, edits, jobs, library
 from .registry import ORACLES, query
 
 
@@ -262,3 +264,41 @@ def normalised_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(n % 2 == 0, F.to_json(F.array(item))).otherwise(F.to_json(F.create_map(F.lit("b"), F.array(item))))
     rows = fo.normalised_overrides(table(spark, sf_dir, "part").select(text.alias("value")))
     return rows.select(F.col("weight").cast("long").alias("at"), "folder_id", "keyword", "role")
+
+
+@query("P07_built_documents", f"""WITH t7 AS ({ORACLES['T07_title_lines']}), t4 AS ({ORACLES['T04_keyword_tags']}), t10 AS ({ORACLES['T10_category']}),
+a AS (SELECT doc_id, title, min(score * -1000 + line_no / 1e9) AS o FROM t7 GROUP BY doc_id, title), b AS (SELECT doc_id, string_agg(title, '|' ORDER BY o) AS t FROM a GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(tag, '|' ORDER BY rank) AS k FROM t4 GROUP BY doc_id)
+SELECT t10.doc_id, coalesce(t, '') AS title_tags, coalesce(k, '') AS keyword_tags, category, 'done' AS status FROM t10 LEFT JOIN b ON b.doc_id = t10.doc_id LEFT JOIN k ON k.doc_id = t10.doc_id""")
+def built_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file's text becomes: tags, category, status."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise("").alias("clean_text"), F.when(F.col("doc_id") % 3 == 0, "done").alias("status"))
+    rows = refresh.built(docs, CATEGORY_RULES, stop=["for", "was"], domain=DOMAIN, common=COMMON)
+    return rows.select("doc_id", F.array_join("title_tags", "|").alias("title_tags"), F.array_join("keyword_tags", "|").alias("keyword_tags"), "category", "status")
+
+
+@query("M02_upserted_pages", """WITH o AS (SELECT conv_id AS document_id, turn AS page_number, md5(text) AS text_md5 FROM conversations WHERE turn % 2 = 0), n AS (SELECT conv_id AS document_id, turn AS page_number, md5('new ' || text) AS text_md5 FROM conversations WHERE turn % 3 = 0)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE page_number % 3 <> 0""")
+def upserted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), "text")
+    new = rows.filter("page_number % 3 = 0").withColumn("text", F.concat(F.lit("new "), "text"))
+    both = store.upserted(rows.filter("page_number % 2 = 0"), new, ["document_id", "page_number"])
+    return both.select("document_id", "page_number", F.md5("text").alias("text_md5"))
+
+
+@query("P16_organised_documents", f"""WITH {SUGGESTED_SQL} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'images' ELSE primary_folder END AS primary_folder, CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE floor(conf * 100 + 0.5) / 100 END AS confidence FROM sg""")
+def organised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The organisation that is stored, or else a computed one."""
+    docs = library(spark, sf_dir)
+    stored = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit("images").alias("primary_folder"), F.lit(1.0).alias("confidence"))
+    computed = organise.suggested(docs, overrides=edits(spark)).select("doc_id", "primary_folder", "confidence")
+    return views.organised(stored, computed)
+
+
+@query("V07_combined_keywords", f"""WITH a AS (SELECT doc_id, {PHRASE_WORDS} AS w FROM documents), b AS (SELECT doc_id, {PLAIN_PHRASES.format("w[1:12] || w[5:40]")} AS p FROM a)
+SELECT doc_id, array_to_string((list_filter(p, lambda x, i: list_position(p, x) = i))[1:24], '|') AS keywords FROM b""")
+def combined_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twelve words stand for a model's key phrases, later ones for its noun phrases; 24 stay, as the feature has it."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    return docs.select("doc_id", F.array_join(models.combined(F.slice("w", 1, 12), F.slice("w", 5, 36)), "|").alias("keywords"))

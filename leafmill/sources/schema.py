@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 QUALITY = "text_quality int, raw_word_count long, clean_word_count long, noise_ratio double"
@@ -32,19 +33,30 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
 
 def conformed(df: DataFrame, name: str) -> DataFrame:
     """df with the table's columns, in order and type; columns that an older version lacks are null."""
-    from pyspark.sql import functions as F
-
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)))
 
 
-def saved(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as Parquet in a folder of its own; a table that isn't given is made empty. A table is written whole, in
-    one step of its own: there is no transaction over several."""
-    first = next(iter(tables.values())).sparkSession
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions below path that were written to their end."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done/*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
+
+
+def saved(tables: dict[str, DataFrame], path: str) -> int:
+    """All tables as one new version, whose number it gives: each as Parquet in a folder of its own, one that isn't given
+    empty. The version counts once its mark is there, which is written last: readers see all of it or none."""
+    spark = next(iter(tables.values())).sparkSession
+    version = max(_versions(spark, path), default=0) + 1
     for name in TABLES:
-        (conformed(tables[name], name) if name in tables else empty(first, name)).write.mode("overwrite").parquet(f"{path}/{name}")
+        (conformed(tables[name], name) if name in tables else empty(spark, name)).write.mode("overwrite").parquet(f"{path}/{version}/{name}")
+    spark.range(0).selectExpr("'' AS mark").write.mode("overwrite").text(f"{path}/done/{version}")
+    return version
 
 
 def loaded(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a folder, older versions' too."""
-    return {name: conformed(spark.read.parquet(f"{path}/{name}"), name) for name in TABLES}
+    """The tables of the last version that is whole, older kinds of tables too; empty ones where there is none."""
+    versions = _versions(spark, path)
+    if not versions:
+        return {name: empty(spark, name) for name in TABLES}
+    return {name: conformed(spark.read.parquet(f"{path}/{versions[-1]}/{name}"), name) for name in TABLES}

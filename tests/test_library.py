@@ -1,12 +1,13 @@
 """Trees of any depth, snapshots, tables, pages, transitions and refreshes, on small tables."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.functions import cleaning, quality
-from leafmill.operators import enrich, organise, refresh, search, store, vectors, views
+from leafmill.functions import cleaning, lexicon, quality
+from leafmill.operators import enrich, models, organise, refresh, search, store, vectors, views
 from leafmill.operators import folders as fo
 from leafmill.operators import rules as R
 from leafmill.sources import files, schema, snapshots
@@ -224,8 +225,53 @@ def test_snapshots_of_both_forms(spark, tmp_path):
 
 
 def test_tables_of_a_library(spark, tmp_path):
-    folders = spark.createDataFrame([("f", "n")], "folder_id string, name string")
-    schema.saved({"folders": folders}, str(tmp_path))
-    got = schema.loaded(spark, str(tmp_path))
+    path = str(tmp_path)
+    assert schema.loaded(spark, path)["documents"].count() == 0
+    assert schema.saved({"folders": spark.createDataFrame([("f", "n")], "folder_id string, name string")}, path) == 1
+    got = schema.loaded(spark, path)
     assert set(got) == set(schema.TABLES) and got["folders"].head()["name"] == "n" and got["folders"].head()["sort_order"] is None
     assert got["documents"].count() == 0 and got["documents"].schema["title_tags"].dataType.simpleString() == "array<string>"
+    # a version that broke off doesn't count
+    spark.createDataFrame([("half",)], "folder_id string").write.parquet(f"{path}/2/folders")
+    assert schema.loaded(spark, path)["folders"].head()["folder_id"] == "f"
+    assert schema.saved({"folders": got["folders"].withColumn("name", F.lit("new"))}, path) == 2
+    assert schema.loaded(spark, path)["folders"].head()["name"] == "new"
+
+
+def test_edits_of_single_documents(spark, chain):
+    old = spark.createDataFrame([(1, "f1", "add"), (2, "f2", "add")], "doc_id long, folder_id string, action string")
+    new = spark.createDataFrame([(1, "f1", "remove"), (3, "gone", "add"), (3, "f3", "other"), (4, "f4", "add")], "doc_id long, folder_id string, action string")
+    got = fo.single_saved(old, new, chain)
+    assert {tuple(r) for r in got.select("doc_id", "folder_id", "action").collect()} == {(1, "f1", "remove"), (2, "f2", "add"), (4, "f4", "add")}
+    assert {r["doc_id"] for r in fo.single_deleted(got, old).collect()} == {4}
+    assert [r["folder_id"] for r in fo.of_ids(chain, ["f3", "f1", "gone"]).collect()] == ["f1", "f3"]
+
+
+# --- models and corrections ---
+
+
+def test_models_are_loaded_once_and_rows_may_fail(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "", None, "bad", "abc"])], "id long, text string").repartition(1)
+
+    def make():
+        return {"calls": 0}
+
+    def apply(model, text):
+        model["calls"] += 1
+        if text == "bad":
+            raise ValueError("no")
+        return [len(text), model["calls"]]
+
+    got = {r["id"]: (r["output"], r["error"]) for r in models.by_model(docs, "own", make, apply, "array<int>").collect()}
+    assert {i: x[0][0] for i, x in got.items() if x[0]} == {0: 2, 1: 0, 2: 0, 4: 3} and got[3] == (None, "ValueError: no")
+    assert sorted(x[0][1] for x in got.values() if x[0]) == [1, 2, 3, 5]
+    assert models.capabilities({"numbers": "numpy", "nothing": "no_such_library"}) == {"numbers": True, "nothing": False}
+
+
+def test_corrections_are_the_patterns(spark):
+    words = [w for p, _ in lexicon.CORRECTIONS for w in re.findall("[a-z]+", p)] + ["tapes", "xtape", "", "machine", "control"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", lexicon.corrected(F.col("w")).alias("c"))
+    want = lambda w: next((right for p, right in lexicon.CORRECTIONS if re.search(p, w)), w)
+    assert all(r["c"] == want(r["w"]) for r in rows.collect())
+    assert lexicon.spelled_out([(r"^a+$", "b")]) is None
+    assert len(lexicon.merged()) == lexicon.sizes()["common"] > 200
