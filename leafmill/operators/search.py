@@ -52,6 +52,32 @@ def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     return each.groupBy("token", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def field_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
+    """token, doc_id, field, tf of several fields: the rows of the full-text index. Every field is split in its own row."""
+    def own(field: str) -> Column:
+        return F.transform(F.filter(F.split(search_text(F.col(field)), " "), lambda w: w != ""), lambda w: F.struct(F.lit(field).alias("field"), w.alias("token")))
+
+    words = F.concat(*map(own, fields))
+    each = docs.select("doc_id", F.explode(words).alias("w")).select("doc_id", "w.field", "w.token")
+    return each.groupBy("token", "doc_id", "field").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def bm25_indexed(index: DataFrame, sizes: DataFrame, query: str, limit: int = 100, k1: float = 1.2, b: float = 0.75, most: int = 8) -> DataFrame:
+    """As bm25(), from postings() and a table of doc_id, doc_len of all documents: only the query's tokens are read of the
+    index, which a stored one finds by its tokens' statistics."""
+    asked = query_tokens(query)[:most]
+    rows = index.filter(F.col("token").isin(asked))
+    stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean"))
+    dfs = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    each = rows.join(F.broadcast(dfs.join(F.broadcast(stats))), "token")  # a row for each word of the query
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean")))
+    place = F.array_position(F.array(*map(F.lit, asked)), F.col("token"))
+    hits = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(place.alias("at"), part.alias("s")))).alias("p")).filter(F.size("p") == len(asked))
+    score = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["s"])  # in the query's order, so that sums round alike
+    return hits.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
+
+
 def bm25(docs: DataFrame, query: str, limit: int = 100, text: str = "text", k1: float = 1.2, b: float = 0.75, most: int = 8) -> DataFrame:
     """doc_id, score of documents that have all of the query's first tokens, the best `limit`. Only the query's tokens
     leave the scan: a document's matches are counted in its own row."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity
 from ..operators import search, vectors, views
 from .documents import table
-from .registry import query
+from .registry import ORACLES, query
 
 NORM_SQL = "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))"
 ASKED = "thing eran"
@@ -104,6 +104,29 @@ def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long").alias("place"))
 
 
+@query("X05_bm25_from_index", ORACLES["X05_bm25_top100"])
+def bm25_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking from the inverted index."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", F.size(F.filter(F.split(search.search_text(F.col("text")), " "), lambda w: w != "")).alias("doc_len"))
+    return search.bm25_indexed(search.postings(docs), sizes, ASKED).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+
+
+@query("X07_field_postings", "WITH " + ALL_FIELDS + ", e AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{f}' AS field, unnest(list_filter(string_split(trim(regexp_replace(lower(coalesce({f}, '')), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '')) AS token FROM g" for f in FIELD_SQL)
+    + ") SELECT token, doc_id, field, count(*) AS tf FROM e GROUP BY ALL")
+def field_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.field_postings(with_fields(spark, sf_dir), list(FIELD_SQL))
+
+
+@query("K05_recognised_words", """WITH w AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents)
+SELECT doc_id, len(list_filter(w, lambda x: abs(length(x) - 7) <= 1 AND levenshtein(x, 'tionate') <= 3)) > 0 AS seven, len(list_filter(w, lambda x: abs(length(x) - 6) <= 1 AND levenshtein(x, 'lengst') <= 2)) > 0 AS six FROM w""")
+def recognised_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of recognised text may differ more, the longer they are."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.split(search.search_text(F.col("text")), " ").alias("w"))
+    return words.select("doc_id", search.is_close(F.col("w"), "tionate", True).alias("seven"), search.is_close(F.col("w"), "lengst", True).alias("six"))
+
+
 @query("F08_substring_search", "SELECT doc_id FROM documents WHERE contains(lower(text), 'ing er') OR contains(lower(source), 'ing er')")
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file_name"), "text")
