@@ -118,6 +118,15 @@ def copies(docs: DataFrame, text: str = "text") -> DataFrame:
     return own.join(F.broadcast(hot), "digest").unionByName(rest)
 
 
+def met(rows: DataFrame, facts: DataFrame, key: str, n: str) -> DataFrame:
+    """rows with the facts of their key, of which there is one row each; its column `n` says in how many rows the key is.
+    Keys of more than one row in HOT are fewer than HOT: their facts travel, and their rows stay where they are."""
+    total = facts.agg(F.sum(n)).head()[0] or 0
+    hot = stored(facts.filter(F.col(n) * HOT > total), "hot")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def with_facts(own: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows of copies() with the facts (digest and more, one row for each text) of their text. Texts of more than one
     row in HOT are fewer than HOT; their facts travel, and their rows stay."""
@@ -221,15 +230,16 @@ def member(x: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node reachable over the rows (a, b) of edges.
 
     Alternates large-star and small-star steps; every step moves at most one row for each edge, so a node with many
-    links stays one row for each link. Only the number of changed rows reaches the driver.
+    links stays one row for each link. It ends when a round changes nothing, which takes about as many rounds as the
+    logarithm of the longest chain, and only a count and a sum reach the driver.
     """
     now = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
@@ -242,8 +252,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(sums) == last:
             break
         last = tuple(sums)
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.groupBy("b").agg(F.min("a").alias("component")).select(F.col("b").alias("node"), "component")
     return roots.union(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()).groupBy("node").agg(
         F.min("component").alias("component"))

@@ -314,8 +314,8 @@ def linked(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str =
     rows = common.stored(active(docs, own, n, num, den, text), "shingles")
     live = rows.filter(F.col("tokens").isNotNull() & F.col("node").isNotNull())
     each = live.select("node", F.explode("tokens").alias("token"))
-    least = each.groupBy("token").agg(F.min("node").alias("m"), F.max("node").alias("_x")).filter("m <> _x").drop("_x")
-    groups = common.components(each.join(least, "token").select(F.col("node").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
+    least = each.groupBy("token").agg(F.min("node").alias("m"), F.max("node").alias("_x"), F.count(F.lit(1)).alias("_n")).filter("m <> _x").drop("_x")
+    groups = common.components(common.met(each, common.stored(least, "least"), "token", "_n").select(F.col("node").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
     common.swept(docs.sparkSession)
     # rows that repeat a doc_id with other texts are one node
     groups = common.stored(groups, "groups")

@@ -66,20 +66,13 @@ def ownership(found: DataFrame) -> DataFrame:
     return texts.join(owners, "hash")
 
 
-#: A value in more than one of HOT of all places is a hot one; of such there are fewer than HOT.
-HOT = 1000
-
-
 def scanned(docs: DataFrame, text: str = "text", owner: str = "source", copied_from: int = 3, copied_in: int = 20) -> DataFrame:
     """doc_id, digest and found for every row: start, order, kind, end, hash, n_docs, n_owners and live for each span.
     Values that `copied_from` owners or `copied_in` different texts have, or more, are copied examples; others are live."""
     found = common.stored(candidates(docs, text, owner), "candidates")
     each = found.filter("size(found) > 0").dropDuplicates(["doc_id", "digest"]).select("doc_id", "digest", F.explode("found").alias("s")).select("doc_id", "digest", "s.*")
     facts = common.stored(ownership(found).withColumn("live", (F.col("n_owners") < copied_from) & (F.col("n_docs") < copied_in)), "owners")
-    # the facts of values that are almost everywhere travel; their places stay where they are
-    hot = facts.filter(F.col("n_docs") * HOT > (facts.agg(F.sum("n_docs")).head()[0] or 0))
-    known = each.join(F.broadcast(hot), "hash").unionByName(
-        each.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(facts, "hash"))
+    known = common.met(each, facts, "hash", "n_docs")
     back = known.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct(
         "start", "order", "kind", "end", "hash", "n_docs", "n_owners", "live"))).alias("spans"))
     back = back.withColumnsRenamed({"doc_id": "id", "digest": "text"})
