@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bitslice, bpe, chat, jaccard, packing, quality, secrets, suffix, urls
+from . import ann, bitslice, bpe, chat, codes, jaccard, packing, pieces, quality, secrets, suffix, treaps, urls
 
 
 
@@ -84,10 +84,23 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 20)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_cross_polytope_ann, op2_ngram_jaccard_join, op3_best_fit_packing, op4_chat_formatting, op5_suffix_array_dedup,
-        op6_url_filters, op7_bit_sliced_top_k, op8_quality_classifier, op9_secret_scans, op10_bpe_round_trip)}
+        op6_url_filters, op7_bit_sliced_top_k, op8_quality_classifier, op9_secret_scans, op10_bpe_round_trip,
+        op11_sentencepiece_round_trip, op12_treap_search, op13_vector_codes)}
 
 
 OP4_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -114,6 +127,40 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM k WHERE rank <= 10"""
 
 
+OP12_SQL = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), c AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM n),
+m AS (SELECT doc_id, 75 + (25 * n * nn) // l AS m FROM n, c),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY doc_id, term),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight FROM tf, c GROUP BY term, nn),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+a AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY item_id, term),
+s AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM a JOIN tf USING (term) JOIN df USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20"""
+
+_NEAR = """t{k} AS (SELECT v.vec_id, v.part, v.x, min(list_sum(list_transform(list_zip(v.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * 64 + b.entry) AS near
+  FROM v JOIN b{k} b USING (part) GROUP BY v.vec_id, v.part, v.x)"""
+_NEXT = """m{k} AS (SELECT part, near % 64 AS entry, count(*) AS n, {sums} FROM t{k} GROUP BY part, near % 64),
+b{next} AS (SELECT b.part, b.entry, CASE WHEN n IS NULL THEN b.x ELSE [{means}] END AS x FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry)"""
+_SUMS = ", ".join(f"sum(x[{i}]) AS s{i}" for i in range(1, 5))
+_MEANS = ", ".join(f"CAST(floor(s{i} / n) AS BIGINT)" for i in range(1, 5))
+
+OP13_SQL = "WITH " + ",\n".join((
+    """k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+    "v AS (SELECT vec_id, part, list_slice(q, 4 * part + 1, 4 * part + 4) AS x FROM k, range(16) r(part))",
+    "f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k ORDER BY vec_id LIMIT 64)",
+    "b0 AS (SELECT part, entry, x FROM v JOIN f USING (vec_id))",
+    _NEAR.format(k=0), _NEXT.format(k=0, next=1, sums=_SUMS, means=_MEANS),
+    _NEAR.format(k=1), _NEXT.format(k=1, next=2, sums=_SUMS, means=_MEANS), _NEAR.format(k=2),
+    """c AS (SELECT vec_id, string_agg(printf('%02x', CAST(near % 64 AS INT)), '' ORDER BY part) AS code, CAST(sum(near // 64) AS BIGINT) AS error FROM t2 GROUP BY vec_id)""",
+    "h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)",
+)) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c JOIN k USING (vec_id), h"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it gives the same rows; the other queries are tested against brute force."""
-    return {"op4_chat_formatting": OP4_SQL, "op6_url_filters": OP6_SQL, "op7_bit_sliced_top_k": OP7_SQL}
+    return {"op4_chat_formatting": OP4_SQL, "op6_url_filters": OP6_SQL, "op7_bit_sliced_top_k": OP7_SQL,
+            "op12_treap_search": OP12_SQL, "op13_vector_codes": OP13_SQL}
