@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Documents of a shard, shards of which one goes first, items of a part, documents of an interval that is scored whole.
-SHARD, SCOUTS, PART, LEAF = 8192, 8, 256, 48
+SHARD, SCOUTS, PART, LEAF = 8192, 8, 256, 64
 #: Intervals that are looked at together.
 STEP = 64
 #: Bits of the field by which terms that nobody asks for are told; 2 MB.
