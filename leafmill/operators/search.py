@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import search_text
+from . import fuzzy
 
 #: Words that a query doesn't search for; fields with weights, and whether their text was recognised
 #: from images.
 STOP = "a an and are as at for from in is of on or the to with".split()
 FIELDS = (("file_name", 120, False), ("title_tags", 70, False), ("folders", 55, False), ("metadata", 50, False), ("keyword_tags", 45, False),
           ("category", 25, False), ("clean_text", 10, True), ("text", 2, True))
+#: Near words that travel to the rows: some hundred kilobytes.
+NEAR = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -62,12 +65,10 @@ def field_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
     return each.groupBy("token", "doc_id", "field").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_indexed(index: DataFrame, sizes: DataFrame, query: str, limit: int = 100, k1: float = 1.2, b: float = 0.75, most: int = 8) -> DataFrame:
-    """As bm25(), from postings() and a table of doc_id, doc_len of all documents: only the query's tokens are read of the
-    index, which a stored one finds by its tokens' statistics."""
-    asked = query_tokens(query)[:most]
-    rows = index.filter(F.col("token").isin(asked))
-    stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean"))
+def bm25_ranked(rows: DataFrame, stats: DataFrame, asked: list[str], limit: int = 100, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """As bm25(), from the postings (token, doc_id, tf, doc_len) of the words `asked`, and one row of docs and mean, the
+    number of documents and their mean length."""
+    rows = rows.filter(F.col("token").isin(asked))
     dfs = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     each = rows.join(F.broadcast(dfs.join(F.broadcast(stats))), "token")  # a row for each word of the query
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -78,6 +79,13 @@ def bm25_indexed(index: DataFrame, sizes: DataFrame, query: str, limit: int = 10
     return hits.select("doc_id", score.alias("score")).orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
+def bm25_indexed(index: DataFrame, sizes: DataFrame, query: str, limit: int = 100, k1: float = 1.2, b: float = 0.75, most: int = 8) -> DataFrame:
+    """As bm25(), from postings() and a table of doc_id, doc_len of all documents: only the query's tokens are read of the
+    index, which a stored one finds by its tokens' statistics."""
+    stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean"))
+    return bm25_ranked(index, stats, query_tokens(query)[:most], limit, k1, b)
+
+
 def bm25(docs: DataFrame, query: str, limit: int = 100, text: str = "text", k1: float = 1.2, b: float = 0.75, most: int = 8) -> DataFrame:
     """doc_id, score of documents that have all of the query's first tokens, the best `limit`. Only the query's tokens
     leave the scan: a document's matches are counted in its own row."""
@@ -110,11 +118,7 @@ def idf(candidates: DataFrame, query: str, text: str = "text") -> DataFrame:
 
 def is_close(words: Column, token: str, recognised: bool) -> Column:
     """Whether a word is nearly the token: one edit, or up to three in recognised text; lengths differ by one at most."""
-    n = len(token)
-    if n < 4 or token.isdigit():
-        return F.lit(False)
-    most = (3 if n >= 7 else 2 if n == 6 else 1) if recognised else 1
-    return F.exists(words, lambda w: (F.abs(F.length(w) - n) <= 1) & (F.levenshtein(w, F.lit(token), most) >= 0))
+    return F.exists(words, lambda w: fuzzy.fits(w, token, recognised)) if fuzzy.allowed(token, recognised) else F.lit(False)
 
 
 def asked_forms(query: str) -> tuple[list[str], str, str]:
@@ -123,8 +127,8 @@ def asked_forms(query: str) -> tuple[list[str], str, str]:
     return query_tokens(query), plain, plain.replace(" ", "")
 
 
-def field_score(low: Column, words: Column, query: str, idfs: dict[str, Column], weight: float, recognised: bool) -> tuple[Column, list[Column]]:
-    """Score of one field (its search_text() and tokens()), and which tokens it matched."""
+def field_score(low: Column, words: Column, query: str, idfs: dict[str, Column], weight: float, recognised: bool, close=is_close) -> tuple[Column, list[Column]]:
+    """Score of one field (its search_text() and tokens()), and which tokens it matched. close: as is_close()."""
     asked, q, cq = asked_forms(query)
     dense = F.replace(low, F.lit(" "), F.lit(""))
     some = low != ""
@@ -133,7 +137,7 @@ def field_score(low: Column, words: Column, query: str, idfs: dict[str, Column],
     for t in asked:
         whole = F.array_contains(words, t)
         joined = dense.contains(t) if re.fullmatch("[a-z]+[0-9]+", t) else F.lit(False)
-        near = is_close(words, t, recognised)
+        near = close(words, t, recognised)
         score = score + F.when(whole, weight * idfs[t]).when(joined, 0.8 * weight * idfs[t]).when(near, (0.25 if recognised else 0.45) * weight * idfs[t]).otherwise(0.0)
         matched.append(some & (whole | joined | near))
     return F.when(some, score).otherwise(0.0), matched
@@ -141,7 +145,9 @@ def field_score(low: Column, words: Column, query: str, idfs: dict[str, Column],
 
 def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
     """doc_id, score, matched: field-weighted scores over the candidates, 150 more for all tokens; with several tokens
-    only documents that match them all. Every field's plain form and words are columns, worked out once."""
+    only documents that match them all. Every field's plain form and words are columns, worked out once. Words nearly
+    the query's are looked for once among the different words of all fields; up to NEAR of them travel to the rows, and if
+    there are more each row compares its own words."""
     asked, _, dense = asked_forms(query)
     if not dense:
         return candidates.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("matched")).limit(0)
@@ -149,11 +155,21 @@ def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
     low = search_text(F.concat_ws(" ", *(f for f, _, _ in used)))
     sums = candidates.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(low.contains(t)).alias(f"_df{i}") for i, t in enumerate(asked)))
     rows = candidates.select("doc_id", *(search_text(F.col(f)).alias(f"low_{i}") for i, (f, _, _) in enumerate(used)))
-    rows = rows.select("*", *(tokens_of(F.col(f"low_{i}")).alias(f"words_{i}") for i in range(len(used)))).join(F.broadcast(sums))  # one row of sums
+    rows = rows.select("*", *(tokens_of(F.col(f"low_{i}")).alias(f"words_{i}") for i in range(len(used))))
+    near = fuzzy.among(rows, [f"words_{i}" for i in range(len(used))], [(t, r) for t in asked for r in sorted({r for _, _, r in used})], NEAR)
+    rows = rows.join(F.broadcast(sums))  # one row of sums
+    if near is not None:
+        named = {a: f"near_{i}" for i, a in enumerate(near)}
+        if named:
+            spark = candidates.sparkSession
+            rows = rows.join(F.broadcast(spark.createDataFrame([tuple(near.values())], ", ".join(f"{n} array<string>" for n in named.values()))))  # one row
+        close = lambda words, t, r: F.arrays_overlap(words, F.col(named[t, r])) if (t, r) in named else F.lit(False)
+    else:
+        close = is_close
     idfs = {t: 1 + F.log((F.col("_n") + 1) / (F.col(f"_df{i}") + 1)) for i, t in enumerate(asked)}
     total, hit = F.lit(0.0), [F.lit(False)] * len(asked)
     for i, (_, weight, recognised) in enumerate(used):
-        s, m = field_score(F.col(f"low_{i}"), F.col(f"words_{i}"), query, idfs, weight, recognised)
+        s, m = field_score(F.col(f"low_{i}"), F.col(f"words_{i}"), query, idfs, weight, recognised, close)
         total, hit = total + s, [a | b for a, b in zip(hit, m)]
     matched = sum((h.cast("int") for h in hit), F.lit(0))
     scored = rows.select("doc_id", total.alias("_s"), matched.alias("matched"))

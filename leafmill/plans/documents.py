@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import cleaning, identity, markup, quality
 from ..functions import lexicon as lx
 from ..operators import tags
+from ..sources import versions
 from .registry import query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; the rows of those with texts are dealt out if they lie in a few row groups."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return versions.spread(rows) if name in ("documents", "pages") else rows
 
 
 WORDS_SQL = r"""w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}][\p{L}\p{N}._+#/-]*') AS t FROM documents),

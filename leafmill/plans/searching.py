@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity
-from ..operators import search, vectors, views
+from ..operators import indexing, search, vectors, views
+from ..sources import versions
 from .documents import table
 from .registry import ORACLES, query
 
@@ -106,10 +109,30 @@ def ranked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("X05_bm25_from_index", ORACLES["X05_bm25_top100"])
 def bm25_from_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ranking from the inverted index."""
-    docs = table(spark, sf_dir, "documents")
-    sizes = docs.select("doc_id", F.size(F.filter(F.split(search.search_text(F.col("text")), " "), lambda w: w != "")).alias("doc_len"))
-    return search.bm25_indexed(search.postings(docs), sizes, ASKED).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+    """The same ranking from an index that is kept for the table's files: made at the first search, and read at the others."""
+    index = indexing.kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return index.bm25(ASKED).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+
+
+@query("X07_kept_index", ORACLES["X05_bm25_top100"])
+def kept_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking after the index was made by changes: two thirds of the documents, some with other texts, and some
+    that are none; then the rest, the texts as they are, and what is too much deleted; and all segments merged."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.filter("doc_id % 3 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("thing eran thing "), "text")).otherwise(F.col("text")))
+    index = indexing.opened(spark, f"{versions.shared(spark)}/index-{uuid.uuid4().hex}")
+    index = index.changed(old.union(docs.filter("doc_id % 7 = 0").selectExpr("-doc_id - 1", "text")))
+    index = index.changed(docs.filter("doc_id % 3 = 0 OR doc_id % 5 = 1"), docs.filter("doc_id % 7 = 0").selectExpr("-doc_id - 1 AS doc_id"))
+    return index.merged().bm25(ASKED).withColumn("score", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+
+
+@query("J08_words_nearly", """WITH w AS (SELECT DISTINCT unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM documents)
+SELECT a.token, w.w AS word FROM (VALUES ('thing', 1), ('erand', 1), ('tionate', 3)) a(token, most) JOIN w ON abs(length(w.w) - length(a.token)) <= 1 AND levenshtein(w.w, a.token) <= a.most""")
+def words_nearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different words of all documents that are nearly one of three, the last as in recognised text."""
+    index = indexing.kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    own = [index.close(t, r).select(F.lit(t).alias("token"), F.col("token").alias("word")) for t, r in (("thing", False), ("erand", False), ("tionate", True))]
+    return own[0].union(own[1]).union(own[2])
 
 
 @query("X07_field_postings", "WITH " + ALL_FIELDS + ", e AS (" + " UNION ALL ".join(
