@@ -27,11 +27,12 @@ def tokens(text: Column) -> Column:
 
 def tokens_of(low: Column) -> Column:
     """As tokens(), of a text in its plain form."""
-    words = F.filter(F.split(low, " "), lambda w: w != "")
+    words = F.filter(F.split(low, " "), lambda w: (w != "") & ~w.isin(*STOP))
     whole = F.flatten(F.transform(words, lambda w: F.when(
         w.rlike("^([a-z]+[0-9]+|[0-9]+[a-z]+)$"), F.array(w, F.regexp_extract(w, "^([a-z]+|[0-9]+)", 1), F.regexp_extract(w, "([a-z]+|[0-9]+)$", 1))).otherwise(F.array(w))))
     plain = F.transform(whole, lambda w: F.regexp_replace(w, "^0+(?=[0-9]+$)", ""))
-    return F.array_distinct(F.filter(plain, lambda w: ~w.isin(*STOP)))
+    own = F.when(low.rlike("[0-9]"), F.filter(plain, lambda w: ~w.isin(*STOP))).otherwise(words)  # without digits, words stay as they are
+    return F.array_distinct(own)
 
 
 def query_tokens(query: str) -> list[str]:
@@ -127,20 +128,25 @@ def asked_forms(query: str) -> tuple[list[str], str, str]:
     return query_tokens(query), plain, plain.replace(" ", "")
 
 
-def field_score(low: Column, words: Column, query: str, idfs: dict[str, Column], weight: float, recognised: bool, close=is_close) -> tuple[Column, list[Column]]:
-    """Score of one field (its search_text() and tokens()), and which tokens it matched. close: as is_close()."""
+def field_signs(low: Column, words: Column, query: str, recognised: bool, close=is_close) -> Column:
+    """What one field (its search_text() and tokens()) has of a query: how much it has of it as a whole, and for each
+    token 1 if it is a word, 2 if it is one but for blanks, 3 if a word is nearly it, else 0. close: as is_close()."""
     asked, q, cq = asked_forms(query)
     dense = F.replace(low, F.lit(" "), F.lit(""))
-    some = low != ""
-    score = F.when(low == q, 3.0 * weight).otherwise(0.0) + F.when(low.contains(q), 2.0 * weight).otherwise(0.0) + F.when(dense.contains(cq), 1.5 * weight).otherwise(0.0)
-    matched = []
-    for t in asked:
-        whole = F.array_contains(words, t)
-        joined = dense.contains(t) if re.fullmatch("[a-z]+[0-9]+", t) else F.lit(False)
-        near = close(words, t, recognised)
-        score = score + F.when(whole, weight * idfs[t]).when(joined, 0.8 * weight * idfs[t]).when(near, (0.25 if recognised else 0.45) * weight * idfs[t]).otherwise(0.0)
-        matched.append(some & (whole | joined | near))
-    return F.when(some, score).otherwise(0.0), matched
+    whole = F.when(low == q, 3.0).otherwise(0.0) + F.when(low.contains(q), 2.0).otherwise(0.0) + F.when(dense.contains(cq), 1.5).otherwise(0.0)
+    levels = [F.when(F.array_contains(words, t), 1).when(dense.contains(t) if re.fullmatch("[a-z]+[0-9]+", t) else F.lit(False), 2)
+              .when(close(words, t, recognised), 3).otherwise(0) for t in asked]
+    none = F.struct(F.lit(0.0).alias("whole"), F.array(*[F.lit(0)] * len(asked)).cast("array<int>").alias("levels"))
+    return F.when(low != "", F.struct(whole.alias("whole"), F.array(*levels).cast("array<int>").alias("levels"))).otherwise(none)
+
+
+def field_score(signs: Column, idfs: list[Column], weight: float, recognised: bool) -> Column:
+    """Score of one field by its field_signs()."""
+    score = weight * signs["whole"]
+    for i, idf in enumerate(idfs):
+        level = signs["levels"][i]
+        score = score + F.when(level == 1, weight * idf).when(level == 2, 0.8 * weight * idf).when(level == 3, (0.25 if recognised else 0.45) * weight * idf).otherwise(0.0)
+    return score
 
 
 def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
@@ -155,9 +161,8 @@ def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
     low = search_text(F.concat_ws(" ", *(f for f, _, _ in used)))
     sums = candidates.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(low.contains(t)).alias(f"_df{i}") for i, t in enumerate(asked)))
     rows = candidates.select("doc_id", *(search_text(F.col(f)).alias(f"low_{i}") for i, (f, _, _) in enumerate(used)))
-    rows = rows.select("*", *(tokens_of(F.col(f"low_{i}")).alias(f"words_{i}") for i in range(len(used))))
-    near = fuzzy.among(rows, [f"words_{i}" for i in range(len(used))], [(t, r) for t in asked for r in sorted({r for _, _, r in used})], NEAR)
-    rows = rows.join(F.broadcast(sums))  # one row of sums
+    near = fuzzy.among(rows, [f"low_{i}" for i in range(len(used))], tokens_of, [(t, r) for t in asked for r in sorted({r for _, _, r in used})], NEAR)
+    rows = rows.select("*", *(tokens_of(F.col(f"low_{i}")).alias(f"words_{i}") for i in range(len(used)))).join(F.broadcast(sums))  # one row of sums
     if near is not None:
         named = {a: f"near_{i}" for i, a in enumerate(near)}
         if named:
@@ -166,13 +171,13 @@ def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
         close = lambda words, t, r: F.arrays_overlap(words, F.col(named[t, r])) if (t, r) in named else F.lit(False)
     else:
         close = is_close
-    idfs = {t: 1 + F.log((F.col("_n") + 1) / (F.col(f"_df{i}") + 1)) for i, t in enumerate(asked)}
-    total, hit = F.lit(0.0), [F.lit(False)] * len(asked)
-    for i, (_, weight, recognised) in enumerate(used):
-        s, m = field_score(F.col(f"low_{i}"), F.col(f"words_{i}"), query, idfs, weight, recognised, close)
-        total, hit = total + s, [a | b for a, b in zip(hit, m)]
-    matched = sum((h.cast("int") for h in hit), F.lit(0))
-    scored = rows.select("doc_id", total.alias("_s"), matched.alias("matched"))
+    signs = F.array(*(field_signs(F.col(f"low_{i}"), F.col(f"words_{i}"), query, r, close) for i, (_, _, r) in enumerate(used)))
+    # as a generated row, so that what is made of the signs doesn't work them out again
+    rows = rows.select("doc_id", "_n", *(f"_df{i}" for i in range(len(asked))), F.explode(F.array(signs)).alias("signs"))
+    idfs = [1 + F.log((F.col("_n") + 1) / (F.col(f"_df{i}") + 1)) for i in range(len(asked))]
+    total = sum((field_score(F.col("signs")[i], idfs, weight, r) for i, (_, weight, r) in enumerate(used)), F.lit(0.0))
+    hit = lambda i: F.exists("signs", lambda s: s["levels"][i] > 0)
+    scored = rows.select("doc_id", total.alias("_s"), sum((hit(i).cast("int") for i in range(len(asked))), F.lit(0)).alias("matched"))
     score = F.col("_s") + F.when((F.col("matched") == len(asked)) & F.lit(len(asked) > 0), 150.0).otherwise(0.0)
     return scored.select("doc_id", (F.floor(score * 100 + 0.5) / 100).alias("score"), "matched").filter(
         (F.col("score") > 0) & (F.lit(len(asked) <= 1) | (F.col("matched") == len(asked))))
