@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import identity, quality
+from . import large_json, versions
 
 QUALITY = "textQuality int, text_quality int, rawWordCount long, raw_word_count long, cleanWordCount long, clean_word_count long, noiseRatio double, noise_ratio double"
 DOCUMENT = f"""documentId string, fileHash string, fileName string, filePath string, primaryPath string, paths array<string>, titleTags array<string>, keywordTags array<string>, category string,
@@ -66,22 +69,28 @@ def pages(rows: DataFrame) -> DataFrame:
         "clean_word_count", "noise_ratio", F.coalesce("hasImage", F.lit(False)).alias("has_image"), F.coalesce("status", F.lit("done")).alias("status"))
 
 
+def _made(rows, now: Column | None) -> dict[str, DataFrame]:
+    """The sections, from rows(name, columns). Jobs that are done go, and so do texts of documents that have pages."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if now is None else now
+    out = {"pages": pages(rows("pages", PAGE)), "jobs": rows("jobs", JOB).filter(F.coalesce("status", F.lit("")) != "done")}
+    paged = out["pages"].select("document_id").distinct().withColumn("paged", F.lit(True))
+    docs = documents(rows("documents", DOCUMENT), now).join(paged, "document_id", "left")
+    out["documents"] = docs.withColumn("text", F.when(F.col("paged").isNull(), F.col("text"))).drop("paged")
+    return out | {name: rows(name, columns) for name, columns in PLAIN.items()}
+
+
 def parsed(texts: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
     """The sections of snapshots (`value`: a whole JSON text a row). An array is a list of documents; what is neither that
-    nor an object has no rows. Jobs that are done go, and so do texts of documents that have pages. A snapshot is one
-    row, so it is bounded by what a task can hold; large libraries are better kept as tables."""
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss") if now is None else now
+    nor an object has no rows. A snapshot is one row here; read() takes files of any size."""
     first = F.substring(F.ltrim("value"), 1, 1)
 
     def rows(name: str, columns: str) -> DataFrame:
-        return texts.filter(first == "{").select(F.explode(F.from_json("value", f"struct<{name}:array<struct<{_ddl(columns)}>>>")[name]).alias("r")).select("r.*")
+        own = texts.filter(first == "{").select(F.explode(F.from_json("value", f"struct<{name}:array<struct<{_ddl(columns)}>>>")[name]).alias("r")).select("r.*")
+        if name != "documents":
+            return own
+        return own.unionByName(texts.filter(first == "[").select(F.explode(F.from_json("value", f"array<struct<{_ddl(columns)}>>")).alias("r")).select("r.*"))
 
-    given = rows("documents", DOCUMENT).unionByName(texts.filter(first == "[").select(F.explode(F.from_json("value", f"array<struct<{_ddl(DOCUMENT)}>>")).alias("r")).select("r.*"))
-    out = {"pages": pages(rows("pages", PAGE)), "jobs": rows("jobs", JOB).filter(F.coalesce("status", F.lit("")) != "done")}
-    paged = out["pages"].select("document_id").distinct().withColumn("paged", F.lit(True))
-    docs = documents(given, now).join(paged, "document_id", "left")
-    out["documents"] = docs.withColumn("text", F.when(F.col("paged").isNull(), F.col("text"))).drop("paged")
-    return out | {name: rows(name, columns) for name, columns in PLAIN.items()}
+    return _made(rows, now)
 
 
 def _ddl(columns: str) -> str:
@@ -98,9 +107,13 @@ def _ddl(columns: str) -> str:
     return ",".join(parts)
 
 
-def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The sections of the snapshot files at path."""
-    return parsed(spark.read.text(path, wholetext=True))
+def read(spark: SparkSession, path: str, now: Column | None = None) -> dict[str, DataFrame]:
+    """The sections of the snapshot files at path, however large a file is: many tasks read its elements, which are written
+    by section, so that no section parses another's."""
+    at = f"{versions.shared(spark)}/snapshot-{uuid.uuid4().hex}"
+    large_json.elements(spark, path).select("section", "value").filter(F.col("section").isin(SECTIONS)).write.partitionBy("section").parquet(at)
+    held = spark.read.schema("value string, section string").parquet(at)
+    return _made(lambda name, columns: held.filter(F.col("section") == name).select(F.from_json("value", f"struct<{_ddl(columns)}>").alias("r")).select("r.*"), now)
 
 
 def write(sections: dict[str, DataFrame], path: str) -> None:
