@@ -11,6 +11,8 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -31,20 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: What this process has written for its own use, by application: tables and folders.
-_MADE: dict[str, list[tuple[str, str]]] = {}
+#: Tables and folders that calls within made() have written so far; None outside.
+_SCOPE: ContextVar[list[tuple[str, str]] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def made() -> Iterator[list[tuple[str, str]]]:
+    """Collects what the calls inside write for steps in between, for cleared(). What others write isn't in it."""
+    own: list[tuple[str, str]] = []
+    before = _SCOPE.set(own)
+    try:
+        yield own
+    finally:
+        _SCOPE.reset(before)
 
 
 def _noted(spark: SparkSession, kind: str, name: str) -> None:
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append((kind, name))
+    own = _SCOPE.get()
+    if own is not None:
+        own.append((kind, name))
 
 
-def cleared(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Drops all tables and folders that were written for steps in between, but those that `keep` reads. To be called
-    once the results that need them are written elsewhere."""
+def cleared(spark: SparkSession, own: list[tuple[str, str]], keep: DataFrame | None = None) -> None:
+    """Drops the tables and folders of a made(), but those that `keep` reads, which stay in the list. To be called once
+    the results that need them are written elsewhere."""
     needed = " ".join(keep.inputFiles()) if keep is not None else ""
     held = []
-    for kind, name in _MADE.pop(spark.sparkContext.applicationId, []):
+    for kind, name in own:
         folder = name if kind == "folder" else f"{shared_dir(spark)}/{name}"
         if folder.rsplit("/", 1)[-1] in needed:
             held.append((kind, name))
@@ -53,8 +68,7 @@ def cleared(spark: SparkSession, keep: DataFrame | None = None) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    if held:
-        _MADE[spark.sparkContext.applicationId] = held
+    own[:] = held
 
 
 def whole_rows(df: DataFrame) -> Column:

@@ -406,9 +406,35 @@ def test_stages_do_what_they_say(spark, labelled):
 
 def test_what_steps_leave_can_be_cleared(spark):
     docs = docs_of(spark, [(i, "same words " * 60 + str(i), "s") for i in range(4)])
-    common.cleared(spark)
-    got = common.stored(suffix.deduplicated(docs, 250), "result")
-    tables = {t.name for t in spark.catalog.listTables()}
-    assert any(t.startswith("texts_") for t in tables)
-    common.cleared(spark, keep=got)
-    assert not any(t.name.startswith("texts_") for t in spark.catalog.listTables()) and got.count() == 4
+    still_open = jaccard.linked(docs, count=True)
+    with common.made() as own:
+        got = common.stored(suffix.deduplicated(docs, 250), "result")
+        texts = {n for k, n in own if k == "table"}
+        assert texts and texts <= {t.name for t in spark.catalog.listTables()}
+        common.cleared(spark, own, keep=got)
+        assert len(own) == 1
+    assert not texts & {t.name for t in spark.catalog.listTables()} and got.count() == 4
+    assert still_open.count() == 4  # what it reads was made by another call
+    common.cleared(spark, own)
+    with pytest.raises(Exception, match="(?i)not.?exist|no such file|not found"):
+        got.collect()
+
+
+def test_a_pipeline_leaves_other_results_alone(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(i, " ".join(rnd.choice("abcdef") * 3 for _ in range(90)), "s") for i in range(12)]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = suffix.report(docs_of(spark, rows), 250)
+    p.run(spark, str(tmp_path)).count()
+    assert seen.count() == 12
+
+
+def test_a_text_in_a_third_of_all_rows_is_cut_where_it_lies(spark):
+    passage = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, "", "s") for i in range(40)] + [(100 + i, passage, "s") for i in range(40)] + [(200, passage + " tail", "s"), (201, None, "s"), (202, "short", "s"), (203, "short", "s"), (204, "alone " * 3, "s")]
+    got = {r["doc_id"]: r["text"] for r in suffix.deduplicated(docs_of(spark, rows), 250).collect()}
+    assert len(got) == len(rows) and all(got[i] == "" for i in range(40)) and all(got[100 + i] == "" for i in range(40))
+    assert (got[200], got[201], got[202], got[203], got[204]) == (" tail", None, "short", "short", "alone " * 3)
+    plan = suffix.deduplicated(docs_of(spark, rows), 250, drop_emptied=True)
+    assert {r["doc_id"] for r in plan.collect()} == {*range(40), 200, 201, 202, 203, 204}

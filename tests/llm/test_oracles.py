@@ -14,7 +14,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracle(spark, name):
     c = duckdb.connect()
-    for t in ("conversations", "pages", "embeddings"):
+    for t in ("conversations", "pages", "embeddings", "documents", "benchmark"):
         c.execute(f"create view {t} as select * from read_parquet('{DIR}/{t}.parquet')")
     got, want = queries.queries()[name](spark, DIR).toPandas(), c.execute(queries.oracle_sql()[name]).fetchdf()
     columns = sorted(got.columns)
