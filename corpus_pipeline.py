@@ -84,7 +84,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage writes for itself goes once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        common.cleared(spark, keep=docs)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with common.made() as own:
+        for name, stage in STAGES[:-1]:
+            docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            common.cleared(spark, own, keep=docs)
+        return STAGES[-1][1](spark, docs, sf_dir)
