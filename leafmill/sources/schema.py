@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import versions
+
 QUALITY = "text_quality int, raw_word_count long, clean_word_count long, noise_ratio double"
 # The columns that snapshots and queries expect.
 TABLES = {
@@ -23,6 +27,12 @@ TABLES = {
 }
 
 
+#: What tells the rows of a table apart.
+KEYS = {"app_metadata": ["key"], "documents": ["document_id"], "document_paths": ["document_id", "file_path"], "pages": ["document_id", "page_number"], "jobs": ["document_id", "page_number"],
+        "tags": ["document_id", "tag_type", "tag"], "folders": ["folder_id"], "document_folders": ["document_id", "folder_id"], "folder_keyword_overrides": ["folder_id", "keyword"],
+        "document_folder_overrides": ["document_id", "folder_id"]}
+
+
 def schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[name])
 
@@ -36,27 +46,22 @@ def conformed(df: DataFrame, name: str) -> DataFrame:
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions below path that were written to their end."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done/*/_SUCCESS")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return sorted(int(f.getPath().getParent().getName()) for f in found or [])
-
-
-def saved(tables: dict[str, DataFrame], path: str) -> int:
+def saved(tables: dict[str, DataFrame], path: str, after: int | None = None) -> int:
     """All tables as one new version, whose number it gives: each as Parquet in a folder of its own, one that isn't given
-    empty. The version counts once its mark is there, which is written last: readers see all of it or none."""
+    empty. Readers see all of it or none. after: the version that the tables were made from (the last one, if not given);
+    if another writer has made the next one meanwhile, this one fails with versions.Taken and changes nothing."""
     spark = next(iter(tables.values())).sparkSession
-    version = max(_versions(spark, path), default=0) + 1
+    version = (max(versions.versions(spark, path), default=0) if after is None else after) + 1
+    folder = f"{version}-{uuid.uuid4().hex}"
     for name in TABLES:
-        (conformed(tables[name], name) if name in tables else empty(spark, name)).write.mode("overwrite").parquet(f"{path}/{version}/{name}")
-    spark.range(0).selectExpr("'' AS mark").write.mode("overwrite").text(f"{path}/done/{version}")
+        (conformed(tables[name], name) if name in tables else empty(spark, name)).write.parquet(f"{path}/{folder}/{name}")
+    versions.put(spark, path, version, {"folder": folder})
     return version
 
 
 def loaded(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of the last version that is whole, older kinds of tables too; empty ones where there is none."""
-    versions = _versions(spark, path)
-    if not versions:
+    version, state = versions.got(spark, path)
+    if not version:
         return {name: empty(spark, name) for name in TABLES}
-    return {name: conformed(spark.read.parquet(f"{path}/{versions[-1]}/{name}"), name) for name in TABLES}
+    return {name: conformed(spark.read.parquet(f"{path}/{state['folder']}/{name}"), name) for name in TABLES}

@@ -6,11 +6,16 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Seconds after which a version that was taken and not made may be taken again.
+STALE = 600
+
+
 class Taken(RuntimeError):
     """Another writer has made the version that this one was about to make. What it read is out of date: read and try again."""
 
@@ -51,7 +56,9 @@ def put(spark: SparkSession, path: str, version: int, what: dict) -> None:
     lock, _ = _at(spark, f"{path}/versions/{version}.taken")
     files.mkdirs(own.getParent())
     if not files.createNewFile(lock):  # atomic where the store can say so
-        raise Taken(f"version {version} of {path} is there")
+        # a writer that died between its two steps holds the number for a while only
+        if files.exists(own) or files.getFileStatus(lock).getModificationTime() > 1000 * (time.time() - STALE):
+            raise Taken(f"version {version} of {path} is there")
     out = files.create(draft, False)
     out.write(json.dumps(what).encode())
     out.close()
