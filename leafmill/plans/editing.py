@@ -12,7 +12,7 @@ from ..operators import enrich, evaluation, search, store, vectors
 from ..operators import folders as fo
 from ..operators import rules as R
 from .documents import SQL_LIST, table
-from .organising import JOBS_SQL, jobs
+from .organising import JOBS_SQL, PLACES_SQL, jobs, places
 from .registry import query
 
 
@@ -211,9 +211,11 @@ def organisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({c: F.array_join(c, ",") for c in ("secondary_folders", "folder_ids")})
 
 
-@query("M05_saved_folders", f"WITH {FOLDERS_SQL} SELECT folder_id, display_path, sort_order, 'system' AS source FROM f UNION ALL SELECT 'user-my-web-things-1', 'Code & Projects / My Web: things', {N}, 'user'")
+@query("M05_saved_folders", f"""WITH {PLACES_SQL} SELECT folder_id, display_path, sort_order, 'system' AS source FROM f
+UNION ALL SELECT 'user-my-web-things-1', display_path || ' / My Web: things', CAST((SELECT max(sort_order) + 1 FROM f) AS INT), 'user' FROM f WHERE folder_id = 'n3'""")
 def saved_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fo.saved(_folders(spark), " My Web: things ", "code-projects", stamp="1").select("folder_id", "display_path", "sort_order", "source")
+    tree = places(spark, sf_dir).withColumns({"source": F.lit("system"), "deleted_at": F.lit(None).cast("timestamp")})
+    return fo.saved(tree, " My Web: things ", "n3", stamp="1").select("folder_id", "display_path", "sort_order", "source")
 
 
 @query("M06_deleted_subtree", f"""WITH {THREE_SQL} SELECT folder_id, count(*) AS n FROM a WHERE folder_id NOT IN ('notes-books') AND NOT starts_with(folder_id, 'notes-') GROUP BY folder_id""")

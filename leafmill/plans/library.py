@@ -5,6 +5,8 @@ Conversations stand for the pages of the documents of the same id, events for jo
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,12 +15,15 @@ from ..functions import quality
 from ..operators import enrich, models, organise, refresh, store, views
 from ..operators import folders as fo
 from ..operators import rules as R
-from ..sources import files, snapshots
-from .documents import CATEGORY_RULES, COMMON, DOMAIN, QUALITY_SQL, clean_sql, counted_sql, table
+from ..functions.text import search_text
+from ..sources import files, snapshots, versions
+from ..sources import library as lib
+from ..streaming import ingest
+from .documents import CATEGORY_RULES, COMMON, DOMAIN, QUALITY_SQL, SQL_LIST, clean_sql, counted_sql, table
 from .editing import CLEAN_SQL as PLAIN_PHRASES
 from .editing import FOLDERS_SQL, THREE_SQL, _folders, _three
 from .editing import PHRASES_SQL as PHRASE_WORDS
-from .organising import JOBS_SQL, SUGGESTED_SQL, all_folders, edits, jobs, library
+from .organising import JOBS_SQL, PLACES_SQL, SUGGESTED_SQL, all_folders, edits, jobs, library, places
 from .registry import ORACLES, query
 
 
@@ -155,15 +160,15 @@ def backfilled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.unionByName(rest.select("doc_id", "clean_text")).select("doc_id", F.md5("clean_text").alias("clean_md5"))
 
 
-@query("S16_page_texts", f"""WITH given AS (SELECT conv_id * 1000 + turn AS doc_id, turn % 3 = 0 AS has_image, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 12) ELSE text END AS e, 'seen: ' || substr(text, 5, 40) AS o FROM conversations),
+@query("S16_page_texts", f"""WITH given AS (SELECT conv_id * 1000 + turn AS doc_id, turn % 3 = 0 AS has_image, CASE WHEN turn % 2 = 0 THEN '' ELSE text END AS e, 'seen: ' || text AS o FROM conversations),
 g AS (SELECT doc_id, length(e) < 25 OR has_image AS needs, e, o FROM given), h AS (SELECT doc_id, needs, trim(regexp_replace(regexp_replace(concat_ws(E'\\n\\n', nullif(e, ''), CASE WHEN needs THEN o END), '[ \\t]+\\n', E'\\n', 'g'), '\\n{{3,}}', E'\\n\\n', 'g'), E' \\t\\n') AS text FROM g),
 {clean_sql("h")}, cl AS (SELECT h.doc_id, coalesce(c.t, '') AS t FROM h LEFT JOIN c ON c.doc_id = h.doc_id), {counted_sql("cl")} SELECT h.doc_id, needs AS needs_recognition, md5(h.text) AS text_md5, md5(cl.t) AS clean_md5, {QUALITY_SQL} AS quality
 FROM h JOIN cl ON cl.doc_id = h.doc_id JOIN r_cl ON r_cl.doc_id = h.doc_id""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("turn")
     rows = table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + turn).alias("doc_id"), (turn % 3 == 0).alias("has_image"), F.when(turn % 2 == 0, F.substring("text", 1, 12)).otherwise(F.col("text")).alias("embedded"),
-        F.concat(F.lit("seen: "), F.substring("text", 5, 40)).alias("recognised"))
+        (F.col("conv_id") * 1000 + turn).alias("doc_id"), (turn % 3 == 0).alias("has_image"), F.when(turn % 2 == 0, "").otherwise(F.col("text")).alias("embedded"),
+        F.concat(F.lit("seen: "), "text").alias("recognised"))
     return files.page_texts(rows).select("doc_id", "needs_recognition", F.md5("text").alias("text_md5"), F.md5("clean_text").alias("clean_md5"), "quality")
 
 
@@ -213,9 +218,9 @@ def benchmark_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", "dimensions", F.md5(F.coalesce(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), F.lit(""))).alias("text_md5"))
 
 
-@query("P13_display_paths", f"WITH {FOLDERS_SQL} SELECT folder_id, display_path FROM f")
+@query("P13_display_paths", f"WITH {PLACES_SQL} SELECT folder_id, display_path FROM f")
 def display_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fo.display_paths(_folders(spark))
+    return fo.display_paths(places(spark, sf_dir).drop("display_path"))
 
 
 @query("A05_documents_in_folders", f"WITH {THREE_SQL} SELECT DISTINCT doc_id FROM a WHERE folder_id IN ('images', 'medical', 'code-web')")
@@ -244,9 +249,18 @@ def worker_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "file", "title", F.md5("own").alias("text_md5"), "embedded_md5")
 
 
-@query("K27_lexicon_sizes", f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {v})' for k, v in lx.sizes().items())}) AS t(name, n)")
+_LISTS = {"stop": lx.STOP, "noise": lx.OCR_NOISE, "domain": lx.DOMAIN, "common": lx.merged()}
+
+
+@query("K27_lexicon_sizes", """WITH w AS (SELECT DISTINCT unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS w FROM documents),
+l AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS name, unnest([{SQL_LIST(dict.fromkeys(v))}]) AS w" for k, v in _LISTS.items()) + """)
+SELECT l.name, count(*) AS n, CAST(count_if(w.w IS NOT NULL) AS BIGINT) AS used FROM l LEFT JOIN w ON l.w = w.w GROUP BY l.name""")
 def lexicon_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(lx.sizes().items()), "name string, n int")
+    """How many words each list has, and how many of them occur in the documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(search_text(F.col("text")), " "))).alias("w")).distinct()
+    lists = spark.createDataFrame([(k, w) for k, v in _LISTS.items() for w in dict.fromkeys(v)], "name string, w string")
+    found = words.join(F.broadcast(lists.select("w").distinct()), "w", "left_semi").withColumn("there", F.lit(True))
+    return lists.join(found, "w", "left").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count("there").alias("used"))
 
 
 @query("T16_organisation_text", f"""WITH {SUGGESTED_SQL}, {FOLDERS_SQL.replace("f(", "ff(", 1)}, x AS (SELECT doc_id, document_type, subject, unnest(string_split(folder_ids, ',')) AS folder_id, unnest(range(len(string_split(folder_ids, ',')))) AS place FROM sg)
@@ -295,10 +309,35 @@ def organised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.organised(stored, computed)
 
 
-@query("V07_combined_keywords", f"""WITH a AS (SELECT doc_id, {PHRASE_WORDS} AS w FROM documents), b AS (SELECT doc_id, {PLAIN_PHRASES.format("w[1:12] || w[5:40]")} AS p FROM a)
+@query("V07_combined_keywords", f"""WITH a AS (SELECT doc_id, {PHRASE_WORDS} AS w FROM documents), b AS (SELECT doc_id, {PLAIN_PHRASES.format("w[1:12] || w[5:]")} AS p FROM a)
 SELECT doc_id, array_to_string((list_filter(p, lambda x, i: list_position(p, x) = i))[1:24], '|') AS keywords FROM b""")
 def combined_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twelve words stand for a model's key phrases, later ones for its noun phrases; 24 stay, as the feature has it."""
+    """The first twelve words stand for a model's key phrases, all from the fifth on for its noun phrases; 24 stay, as the feature has it."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
-    return docs.select("doc_id", F.array_join(models.combined(F.slice("w", 1, 12), F.slice("w", 5, 36)), "|").alias("keywords"))
+    return docs.select("doc_id", F.array_join(models.combined(F.slice("w", 1, 12), F.slice("w", F.lit(5), F.greatest(F.size("w"), F.lit(1)))), "|").alias("keywords"))
+
+
+@query("T20_taken_in", """SELECT source || '/' || doc_id AS file_path, 'doc_' || substr(sha256(coalesce(text, '')), 1, 24) AS document_id, sha256(coalesce(text, '')) AS file_hash FROM documents""")
+def taken_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of a stored library after every document came as a file: half of them at first, then all, then some again."""
+    n = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    files_ = table(spark, sf_dir, "documents").select("doc_id", F.concat("source", F.lit("/"), n).alias("file_path"), F.sha2(text, 256).alias("file_hash"), text.alias("text"), F.timestamp_seconds(n).alias("at"))
+    path = f"{versions.shared(spark)}/library-{uuid.uuid4().hex}"
+    for some in (files_.filter(n % 2 == 0), files_, files_.filter(n % 3 == 0)):
+        own = ingest.taken_in(path, some.drop("doc_id"))
+    docs = own.table("documents").select("document_id", "file_hash")
+    return own.table("document_paths").join(docs, "document_id").select("file_path", "document_id", "file_hash")
+
+
+@query("M01_changed_tables", """SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn AS INT) AS page_number, md5(CASE WHEN turn % 2 = 0 THEN 'new ' || text ELSE text END) AS text_md5 FROM conversations WHERE turn % 3 <> 1
+UNION ALL SELECT CAST(conv_id AS VARCHAR), CAST(1000 + turn AS INT), md5(text) FROM conversations WHERE turn % 5 = 0""")
+def changed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in a table with a change log: all turns, then some replaced, some deleted and some added, the log part merged."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("page_number"), "text")
+    n = F.col("page_number")
+    own = lib.opened(spark, f"{versions.shared(spark)}/library-{uuid.uuid4().hex}").changed({"pages": (turns, None)})
+    own = own.changed({"pages": (turns.filter(n % 2 == 0).withColumn("text", F.concat(F.lit("new "), "text")), None)}).compacted()
+    own = own.changed({"pages": (turns.filter(n % 5 == 0).withColumn("page_number", n + 1000), turns.filter(n % 3 == 1))})
+    return own.table("pages").select("document_id", "page_number", F.md5("text").alias("text_md5"))

@@ -162,10 +162,26 @@ def folder_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.folder_counts(_assigned(spark, sf_dir), folders(spark), table(spark, sf_dir, "documents"))
 
 
-@query("J10_folder_closure", f"""WITH RECURSIVE {TREE_SQL}, u AS (SELECT folder_id, folder_id AS ancestor_id, 0 AS distance FROM f
+#: Suppliers below nations below regions, as folders.
+PLACES_SQL = """f AS (SELECT 'r' || r_regionkey AS folder_id, r_name AS name, NULL AS parent_id, r_name AS display_path, CAST(r_regionkey AS INT) AS sort_order FROM region
+UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey, r_name || ' / ' || n_name, CAST(1000 + n_nationkey AS INT) FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 's' || s_suppkey, s_name, 'n' || s_nationkey, r_name || ' / ' || n_name || ' / ' || s_name, CAST(2000 + s_suppkey AS INT) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation, supplier = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    named = lambda kind, key, name, up, path, order: [F.concat(F.lit(kind), key).alias("folder_id"), F.col(name).alias("name"), up.alias("parent_id"), path.alias("display_path"), order.cast("int").alias("sort_order")]
+    nations = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    suppliers = supplier.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = region.select(*named("r", "r_regionkey", "r_name", F.lit(None).cast("string"), F.col("r_name"), F.col("r_regionkey")))
+    rows = rows.union(nations.select(*named("n", "n_nationkey", "n_name", F.concat(F.lit("r"), "n_regionkey"), F.concat_ws(" / ", "r_name", "n_name"), F.col("n_nationkey") + 1000)))
+    return rows.union(suppliers.select(*named("s", "s_suppkey", "s_name", F.concat(F.lit("n"), "s_nationkey"), F.concat_ws(" / ", "r_name", "n_name", "s_name"), F.col("s_suppkey") + 2000)))
+
+
+@query("J10_folder_closure", f"""WITH RECURSIVE {PLACES_SQL}, u AS (SELECT folder_id, folder_id AS ancestor_id, 0 AS distance FROM f
 UNION ALL SELECT u.folder_id, f.parent_id, u.distance + 1 FROM u JOIN f ON u.ancestor_id = f.folder_id WHERE f.parent_id IS NOT NULL) SELECT * FROM u""")
 def folder_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store.ancestors(folders(spark))
+    return store.ancestors(places(spark, sf_dir))
 
 
 @query("T17_overrides", f"""WITH a AS (SELECT doc_id, {CHOICE_SQL} AS folder_id FROM documents),
