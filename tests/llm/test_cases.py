@@ -218,11 +218,35 @@ def test_hot_cells_are_cut_on_both_sides(spark, monkeypatch):
     whole = sorted(tuple(r) for r in ann.nearest(rows, asked, 20).collect())
     monkeypatch.setattr(ann, "CELL", 16)
     monkeypatch.setattr(ann, "ASKED", 3)
+    monkeypatch.setattr(ann, "ROWS", 16)  # many pairs of blocks
     assert sorted(tuple(r) for r in ann.nearest(rows, asked, 20).collect()) == whole
     first = [r for r in whole if r[0] == 0]
     assert [r[2] for r in first] == list(range(1, 21)) and len({r[3] for r in first}) == 1
 
 
+def test_unlike_lengths_have_bands_of_their_own(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(600, 16))
+    x *= 10.0 ** rnd.integers(-1, 2, size=(600, 1))
+    x[7] *= 1e6
+    x[8] *= 1e-200
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(rows, rows.filter("vec_id % 20 = 0 OR vec_id IN (7, 8)"), 20).toPandas()
+    share = []
+    for q, g in got.groupby("query_id"):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        share.append(len(set(np.argsort(-s)[:20]) & set(g["vec_id"])) / 20)
+    assert len(share) == 32 and np.mean(share) >= 0.9 and min(share) >= 0.6
+
+
+def test_the_share_of_rows_that_is_reached_falls(spark):
+    rnd = np.random.default_rng(5)
+    frame = lambda n: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rnd.normal(size=(n, 32)))], "vec_id long, embedding array<double>")
+    small, large = ((lambda r: ann.reach(r, r.filter("vec_id < 20"), 20))(frame(n)) for n in (500, 4000))
+    assert 0 < large < 0.75 * small
+
+
 def test_vectors_of_odd_rows(spark):
     rows = [(1, [1.0, 0.0], "x"), (1, [3.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (3, [0.0], "x"), (4, [], "x"), (5, None, "x"), (None, [9.0, 0.0], "x"), (6, [1.0, float("-inf")], "x")]
     given = crowded(spark.createDataFrame(rows, "vec_id long, embedding array<double>, own string"))
