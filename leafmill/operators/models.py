@@ -6,6 +6,7 @@ Which models there are is the caller's matter: none comes with this package. Key
 from __future__ import annotations
 
 import importlib.util
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,25 +23,31 @@ def loaded(name: str, make: Callable[[], object]):
     return _LOADED[name]
 
 
-def by_model(docs: DataFrame, name: str, make: Callable[[], object], apply: Callable[[object, str], object], kind: str, text: str = "text", to: str = "output") -> DataFrame:
+def by_model(docs: DataFrame, name: str, make: Callable[[], object], apply: Callable[[object, str], object], kind: str, text: str = "text", to: str = "output",
+             seconds: str | None = None) -> DataFrame:
     """docs with what apply(model, text) gives for each row, of type `kind`, and `error` where it failed: one bad text
-    doesn't end the job. Null texts are empty."""
+    doesn't end the job, but a model that can't be made does. Null texts are empty. seconds: a column for each row's time."""
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (to, "error")) + f", `{to}` {kind}, error string"
+    extra = [to, "error", *([seconds] if seconds else [])]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in extra) + f", `{to}` {kind}, error string" + (f", `{seconds}` double" if seconds else "")
 
     def run(batches):
         for pdf in batches:
-            out, errors = [], []
+            out, errors, times = [], [], []
+            model = loaded(name, make) if len(pdf) else None
             for t in pdf[text].fillna(""):
+                began = time.perf_counter()
                 try:
-                    out.append(apply(loaded(name, make), t))
+                    out.append(apply(model, t))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - the row says so
                     out.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pdf.drop(columns=[to, "error"], errors="ignore").assign(**{to: pd.Series(out, index=pdf.index, dtype=object), "error": pd.Series(errors, index=pdf.index, dtype=object)})
+                times.append(time.perf_counter() - began)
+            made = {to: pd.Series(out, index=pdf.index, dtype=object), "error": pd.Series(errors, index=pdf.index, dtype=object)} | ({seconds: times} if seconds else {})
+            yield pdf.drop(columns=extra, errors="ignore").assign(**made)
 
-    return docs.drop(to, "error").mapInPandas(run, schema)
+    return docs.drop(*extra).mapInPandas(run, schema)
 
 
 def capabilities(libraries: dict[str, str]) -> dict[str, bool]:
