@@ -49,6 +49,19 @@ class Library:
         left = rows.withColumn("_key", _key(name)).join(log.select("_key"), "_key", "left_anti").drop("_key") if base else rows
         return left.unionByName(log.filter("_there").select("row.*"))
 
+    def keys_since(self, name: str, number: int) -> DataFrame | None:
+        """The keys of a table that changes after that number name; None if its log was merged since."""
+        own = self.state["tables"].get(name, {"log": []})
+        if own.get("from", 0) > number:
+            return None
+        kind = schema.schema(name)
+        fields = ", ".join(f"{k} {kind[k].dataType.simpleString()}" for k in schema.KEYS[name])
+        out = self.spark.createDataFrame([], "_key string")
+        for n, folder in own["log"]:
+            if n > number:
+                out = out.union(self.spark.read.schema("_key string").parquet(f"{self.path}/{folder}"))
+        return out.distinct().select(F.from_json("_key", fields).alias("k")).select("k.*")
+
     def tables(self) -> dict[str, DataFrame]:
         return {name: self.table(name) for name in schema.TABLES}
 
@@ -93,8 +106,10 @@ class Library:
         for name in names or list(tables):
             if tables.get(name, {}).get("log"):
                 folder = f"base-{uuid.uuid4().hex}"
-                self.table(name).write.parquet(f"{self.path}/{folder}")
-                tables[name] = {"base": folder, "log": []}
+                # sorted by key, so that a filter on few keys reads few row groups
+                keys = schema.KEYS[name]
+                self.table(name).repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(f"{self.path}/{folder}")
+                tables[name] = {"base": folder, "log": [], "from": self.state["last"]}
         return self if tables == self.state["tables"] else self._put(self.state | {"tables": tables})
 
     def cleaned(self) -> None:
