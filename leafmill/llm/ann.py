@@ -25,7 +25,6 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +120,8 @@ def merged(found: DataFrame, k: int, parts: int) -> DataFrame:
 
 #: Cells that a query asks for in a band of n vectors; bands to a doubling of length; vectors of a block.
 SPREAD, GROWTH, BANDS, ROWS = 16, 0.42, 4, 2048
+#: More places than a block has, whose rows are dealt by hash.
+PLACES = 1 << 15
 
 
 def _axes(n: int, width: int) -> list[int]:
@@ -187,16 +188,17 @@ def _distinct(rows: DataFrame, dim: int, most: int | None) -> DataFrame:
 
 
 def _blocked(vectors: DataFrame) -> DataFrame:
-    """block, names, ids (a list of bytes for each vector), data: ROWS vectors to a row."""
-    def run(batches):
-        at = TaskContext.get().partitionId() << 32
-        for pdf in batches:
-            for i in range(0, len(pdf), ROWS):
-                own = pdf.iloc[i:i + ROWS]
-                yield pd.DataFrame([(at, own["name"].tolist(), [np.asarray(x, dtype=np.int64).tobytes() for x in own["ids"]], b"".join(own["data"]))], columns=["block", "names", "ids", "data"])
-                at += 1
+    """block, names, ids (a list of bytes for each vector), data: about ROWS vectors to a row, however they were dealt."""
+    held = common.stored(vectors, "different")
+    n = max(1, -(-held.count() // ROWS))
+
+    def run(pdf):
+        pdf = pdf.sort_values("name")
+        return pd.DataFrame([(pdf["block"].iloc[0], pdf["name"].tolist(), [np.asarray(x, dtype=np.int64).tobytes() for x in pdf["ids"]], b"".join(pdf["data"]))],
+                            columns=["block", "names", "ids", "data"])
 
-    return vectors.mapInPandas(run, "block long, names array<binary>, ids array<binary>, data binary")
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("name"), F.lit(n)))
+    return dealt.groupBy("block").applyInPandas(run, "block long, names array<binary>, ids array<binary>, data binary")
 
 
 def _unit(data: bytes, dim: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +241,7 @@ def _found(filed: DataFrame, asked: DataFrame) -> DataFrame:
                 first = np.searchsorted(codes, c)
                 n = np.searchsorted(codes, c, "right") - first
                 at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                pair, who = np.repeat(p, n) * ROWS + places[at], owner[at]
+                pair, who = np.repeat(p, n) * PLACES + places[at], owner[at]
                 order = np.argsort(who, kind="stable")
                 cut = np.searchsorted(who[order], np.arange(len(blocks) + 1))
                 out += [(block, blocks[i], np.unique(pair[order[a:z]]).tobytes()) for i, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
@@ -264,7 +266,7 @@ def _ranked(found: DataFrame, vectors: DataFrame, queries: DataFrame, dim: int,
             ids = [np.frombuffer(x, dtype=np.int64) for x in its["ids"]]
             least = np.array([x[0] for x in ids])
             pairs = np.unique(np.concatenate([np.frombuffer(x, dtype=np.int32) for x in left["pairs"]]))
-            at, near = pairs // ROWS, pairs % ROWS
+            at, near = pairs // PLACES, pairs % PLACES
             score = np.concatenate([(q[at[i:i + PAIRS]] * v[near[i:i + PAIRS]]).sum(axis=1) for i in range(0, len(at), PAIRS)])
             order = np.lexsort((least[near], -score, at))
             at, near, score = at[order], near[order], score[order]
