@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Fixed value: what counts as white space, which Java's \s takes for ASCII only.
 SPACE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
+#: Blanks of any width: Unicode's space separators, without tabs and line ends.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
 
 def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")

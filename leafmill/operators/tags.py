@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions.text import BLANKS
 from .rules import CATEGORIES
 
 
@@ -71,8 +72,9 @@ def category(text: Column, weights: dict[str, dict[str, int]] = CATEGORIES) -> C
 
 
 def next_line_value(docs: DataFrame, word: str, text: str = "text") -> DataFrame:
-    """doc_id, value: the non-empty line after the last non-empty line that contains the word; null if there is none."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), F.trim), lambda x: x != "")
+    """doc_id, value: the non-empty line after the last non-empty line that contains the word; null if there is none.
+    Blanks of any width are cut off a line's ends."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != "")
     # the array is one document's own: the last match and its next line need no window and no shuffle
     at = F.array_max(F.transform(lines, lambda x, i: F.when(F.lower(x).contains(word), i)))
     return docs.select("doc_id", F.get(lines, at + 1).alias("value"), at.alias("line_at"))

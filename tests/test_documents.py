@@ -51,6 +51,11 @@ def test_next_line(spark):
     assert {r[0]: r[1] for r in tags.next_line_value(docs, "name").collect()} == {1: "Bob", 2: None, 3: None}
 
 
+def test_next_line_without_blanks_of_any_width(spark):
+    docs = spark.createDataFrame([(1, "name\n\xa0\u3000\n\u2003Bob\xa0 \nx"), (2, "name\n\tBob\u200b")], "doc_id long, text string")
+    assert {r[0]: r[1] for r in tags.next_line_value(docs, "name").collect()} == {1: "Bob", 2: "\tBob\u200b"}
+
+
 def suggest(spark, name, text, quality_=90, words=100, **more):
     docs = spark.createDataFrame([(1, name, "/x/" + name, "Unknown", text, quality_, words)], "doc_id long, file_name string, file_path string, category string, clean_text string, quality int, word_count int")
     return organise.suggested(docs, **more).head()
