@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import quality
 from . import folders as fo
 from . import organise, store, tags, views
 
 
 def tagged(docs: DataFrame, **words) -> DataFrame:
-    """doc_id, title_tags, keyword_tags of docs (doc_id, text); lists without tags are empty. `words`: the word lists."""
-    titles = tags.title_lines(docs, **words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "line_no", "title"))).alias("t"))
+    """doc_id, title_tags, keyword_tags of docs (doc_id, text); lists without tags are empty. Titles come by score, as shown
+    with three digits, and lines of one score in the document's order. `words`: the word lists."""
+    titles = tags.title_lines(docs, **words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-quality.rounded(F.col("score"), 3)).alias("s"), "line_no", "title"))).alias("t"))
     keys = tags.keyword_tags(docs, **words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("k"))
     none = F.array().cast("array<string>")
     return docs.select("doc_id").join(titles, "doc_id", "left").join(keys, "doc_id", "left").select(

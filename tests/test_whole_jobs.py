@@ -146,3 +146,11 @@ def test_markup_of_every_page(spark, tmp_path):
     want = {1: "aAb", 2: "xB&", 3: "plain"}
     got = {r["page_id"]: r["text_md5"] for r in run(spark, tmp_path, "S11_markup_text", pages=pages)}
     assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in want.items()} | {4: None}
+
+
+def test_titles_of_one_shown_score_keep_the_order_of_lines(spark, tmp_path):
+    lines = {0: "Quech ouenre par étreviré enai èèpaque çchque le ére dans leoiment de du.", 1: "Éenai leletre anque enmenttion. Du de éaiê. Èê le de éeaution éenè.",
+             4: "Éai les, oution. Èle ouchan èment enanè mentou queoition oiou. Le."}
+    docs = spark.createDataFrame([(1, "\n".join(lines.get(i, "") for i in range(5)))], "doc_id long, text string")
+    titles = run(spark, tmp_path, "P07_built_documents", documents=docs)[0]["title_tags"].split("|")
+    assert titles[1:] == ["Enai Leletre Anque Enmenttion Eaution", "Oution Ouchan Ment Enan Mentou"]
