@@ -6,29 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cleaning import cleaned
-from .text import spaces_collapsed
 
 #: Fixed value: a word starts with a letter or digit and may go on with these signs.
-WORD = r"[\p{L}\p{N}][\p{L}\p{N}._+#/-]*"
+WORD = r"[a-z0-9\p{L}\p{N}][a-z0-9\p{L}\p{N}._+#/-]*+"
+#: What most words are: 2 to 47 letters or digits, not all the same, and one sign more at most. None of them is noise.
+ORDINARY = r"^(?!(.)\1{4,}\z)[a-z0-9\p{L}\p{N}]{2,47}+[._+#/-]?\z"
 
 
 def words(text: Column) -> Column:
     """Lower-case words of a text; an empty array for null."""
-    return F.regexp_extract_all(F.lower(spaces_collapsed(F.coalesce(text, F.lit("")))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def is_noise(word: Column) -> Column:
     """A single sign that is no digit, a word of over 48 characters, one character five times or more, nothing
-    alphanumeric, or a long word that is nearly half punctuation."""
+    alphanumeric, or a long word that is nearly half punctuation. Ordinary words are told by one look."""
     n = F.length(word)
     signs = F.length(F.regexp_replace(word, r"[\p{L}\p{N}]", ""))
-    return (((n == 1) & ~word.rlike(r"^\d$")) | (n > 48) | word.rlike(r"^(.)\1{4,}$") | (signs == n)
+    return ~word.rlike(ORDINARY) & (((n == 1) & ~word.rlike(r"^\d$")) | (n > 48) | word.rlike(r"^(.)\1{4,}$") | (signs == n)
             | ((n >= 8) & (signs / n > 0.45)))
 
 
 def noise_ratio(tokens: Column) -> Column:
-    """1 without words."""
-    return F.when(F.size(tokens) == 0, F.lit(1.0)).otherwise(F.size(F.filter(tokens, is_noise)) / F.size(tokens))
+    """1 without words. It stands in no branch, so that several columns of it count a text's noise once."""
+    return F.coalesce(F.try_divide(F.size(F.filter(tokens, is_noise)), F.size(tokens)), F.lit(1.0))
 
 
 def score(ratio: Column) -> Column:
@@ -44,7 +45,7 @@ def analysed(tokens: Column) -> list[Column]:
     """word_count, noise_ratio (3 digits) and quality, which uses the ratio as it is."""
     ratio = noise_ratio(tokens)
     return [F.size(tokens).cast("long").alias("word_count"), rounded(ratio, 3).alias("noise_ratio"),
-            F.when(F.size(tokens) == 0, F.lit(0)).otherwise(score(ratio)).cast("int").alias("quality")]
+            score(ratio).alias("quality")]
 
 
 def built(docs: DataFrame, text: str = "text") -> DataFrame:

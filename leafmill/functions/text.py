@@ -11,14 +11,17 @@ SPACE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}
 #: Blanks of any width: Unicode's space separators, without tabs and line ends.
 BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
+#: The same signs one by one.
+SPACES = "\t\n\x0b\x0c\r\u2028\u2029\ufeff" + BLANKS
+
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def lines_normalised(text: Column) -> Column:
     """One kind of line end, no blanks at line ends, at most one empty line in a row."""
-    one = F.regexp_replace(text, r"\r", "\n")
+    one = F.replace(text, F.lit("\r"), F.lit("\n"))
     ends = F.regexp_replace(one, r"[ \t]+\n", "\n")
     return trimmed(F.regexp_replace(ends, r"\n{3,}", "\n\n"))
 

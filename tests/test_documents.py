@@ -1,3 +1,4 @@
+import unicodedata
 import zipfile
 
 import pytest
@@ -31,6 +32,26 @@ def test_cleaning_keeps_first_lines_and_drops_signs(spark):
     assert [r["clean_lines"] for r in cleaning.cleaned(rows).collect()] == [["One line.", '"Two" (x)'], []]
 
 
+def test_ordinary_words_are_no_noise(spark):
+    words = ["a", "1", "ab", "aaaa", "aaaaa", "aaaaa.", "aaaaab", "x" * 48, "ab" * 23 + "c", "ab" * 23 + "c.", "ab" * 24, "ab" * 24 + ".", "a.b.c.d.", "abcdefgh..", "é", "ßß", "a..", "--"]
+    n, bare = F.length("w"), F.length(F.regexp_replace("w", r"[\p{L}\p{N}]", ""))
+    noise = ((n == 1) & ~F.col("w").rlike(r"^\d$")) | (n > 48) | F.col("w").rlike(r"^(.)\1{4,}$") | (bare == n) | ((n >= 8) & (bare / n > 0.45))
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", noise.alias("noise"), quality.is_noise(F.col("w")).alias("got"), F.col("w").rlike(quality.ORDINARY).alias("ordinary")).collect()
+    assert all(r["noise"] == r["got"] and not (r["noise"] and r["ordinary"]) for r in rows)
+    assert {r["w"] for r in rows if r["ordinary"]} >= {"ab", "aaaa", "aaaaa.", "ßß"}
+
+
+def test_texts_that_stay_as_they_are_need_no_python(spark):
+    chars = spark.createDataFrame([(chr(n),) for n in range(0xA0, 0x3100)], "c string")
+    stable = [r["c"] for r in chars.filter(F.col("c").rlike(cleaning.STABLE)).collect()]
+    assert {"é", "ß", "“", "—", "ž"} <= set(stable) and not {"\xa0", "ſ", "ŀ", "²", "\u0301", "ﬁ"} & set(stable)
+    assert all(unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c) for c in stable)
+    assert all(unicodedata.normalize("NFKC", a + b) == a + b for a in [*stable, "e", "="] for b in stable)
+    texts = ["Žluťoučký “kůň” – Straße", "e\u0301\xa0ﬁ", None, "²"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", cleaning.compatible(F.col("t")).alias("c")).collect()
+    assert [r["c"] for r in rows] == [t if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
 def test_entities_decode_in_order(spark):
     assert one(spark, markup.entities(F.col("t")), t="a &amp;lt; b &#65;&#x42;") == "a < b AB"
 
