@@ -75,20 +75,27 @@ def corrected(word: Column) -> Column:
     return out.otherwise(word)
 
 
-def is_identifier(word: Column) -> Column:
-    """A course or unit number, such as bcs303."""
-    w = plain(word)
+def plain_identifier(w: Column) -> Column:
+    """is_identifier() of a word that is plain() already."""
     some = w.rlike(IDENTIFIERS[0])
     for p in IDENTIFIERS[1:]:
         some = some | w.rlike(p)
-    return F.length(w).between(4, 12) & w.rlike("[a-z]") & w.rlike("[0-9]") & ~w.rlike(r"(.)\1{3,}") & some
+    return w.rlike("[0-9]") & F.length(w).between(4, 12) & w.rlike("[a-z]") & ~w.rlike(r"(.)\1{3,}") & some
+
+
+def is_identifier(word: Column) -> Column:
+    """A course or unit number, such as bcs303."""
+    return plain_identifier(plain(word))
+
+
+def plain_plausible(w: Column) -> Column:
+    """is_plausible() of a word that is plain() already."""
+    return w.rlike(r"^(?=[^aeiou]*[aeiou])(?!.*[bcdfghjklmnpqrstvwxyz]{5})(?!.*[aeiou]{4})[a-z]{4,18}\z")
 
 
 def is_plausible(word: Column) -> Column:
     """Shaped like a word: 4 to 18 letters with vowels, no long run of consonants or vowels."""
-    w = plain(word)
-    return (F.length(w).between(4, 18) & ~w.rlike("[0-9]") & w.rlike("[aeiou]") & ~w.rlike("[bcdfghjklmnpqrstvwxyz]{5,}")
-            & ~w.rlike("[aeiou]{4,}"))
+    return plain_plausible(plain(word))
 
 
 def signal(word: Column, stop=STOP, noise=OCR_NOISE, domain=DOMAIN, common=COMMON) -> Column:
