@@ -31,14 +31,16 @@ class Library:
         self.state = state or {"tables": {}, "marks": {}, "last": 0}
 
     def _log(self, name: str) -> DataFrame:
-        """_key, _n, _there, row: the last entry of every key in the table's log."""
+        """_key, _there, row: the last entry of every key in the table's log. Which one is the last is told by keys alone."""
         kind = schema.schema(name)
-        out = None
-        for number, folder in self.state["tables"].get(name, {}).get("log", []):
+        out, log = None, self.state["tables"].get(name, {}).get("log", [])
+        for number, folder in log:
             rows = self.spark.read.schema(f"_key string, _there boolean, row struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in kind)}>").parquet(f"{self.path}/{folder}")
             rows = rows.withColumn("_n", F.lit(number))
             out = rows if out is None else out.unionByName(rows)
-        return out if out is None else out.groupBy("_key").agg(F.max_by(F.struct("_there", "row"), "_n").alias("_l")).select("_key", "_l.*")
+        if len(log) > 1:
+            out = out.join(out.groupBy("_key").agg(F.max("_n").alias("_n")), ["_key", "_n"])
+        return out if out is None else out.select("_key", "_there", "row")
 
     def table(self, name: str) -> DataFrame:
         base = self.state["tables"].get(name, {}).get("base")
@@ -69,13 +71,13 @@ class Library:
         """The library after changes: table to (rows to add or replace, rows whose keys are to go). mark: a name and what it
         last did, kept with the version."""
         tables = {name: dict(t) for name, t in self.state["tables"].items()}
-        number, any_rows = self.state["last"] + 1, False
+        number, any_rows, drafts = self.state["last"] + 1, False, f"{self.path}/draft-{uuid.uuid4().hex}"
         for name, (new, gone) in changes.items():
             made = None
             if new is not None:
                 own = schema.conformed(new, name)
                 row = F.struct(*own.columns)
-                made = own.select(_key(name), F.lit(True).alias("_there"), row.alias("row")).groupBy("_key", "_there").agg(F.max_by("row", F.to_json("row")).alias("row"))
+                made = self._single(own.select(_key(name), F.lit(True).alias("_there"), row.alias("row")), drafts)
             if gone is not None:
                 keys = gone.select(_key(name), F.lit(False).alias("_there")).distinct()
                 keys = keys if made is None else keys.join(made.select("_key"), "_key", "left_anti")
@@ -91,11 +93,24 @@ class Library:
             any_rows = True
             own = tables.setdefault(name, {"base": None, "log": []})
             own["log"] = [*own["log"], [number, folder]]
+        versions.dropped(self.spark, drafts)
         if not any_rows and (mark is None or self.state["marks"].get(mark[0]) == mark[1]):
             return self
         marks = self.state["marks"] | ({mark[0]: mark[1]} if mark else {})
         return self._put({"tables": tables, "marks": marks, "last": number})
 
+    def _single(self, rows: DataFrame, drafts: str) -> DataFrame:
+        """rows (_key, _there, row) with each key once. They are written and counted by their keys, so that whole rows meet
+        only where a key comes again."""
+        at = f"{drafts}/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        made = self.spark.read.schema(rows.schema).parquet(at)
+        again = made.groupBy("_key").count().filter("count > 1").select("_key")
+        if again.isEmpty():
+            return made
+        twice = made.join(again, "_key", "left_semi").groupBy("_key", "_there").agg(F.max_by("row", F.to_json("row")).alias("row"))
+        return made.join(again, "_key", "left_anti").unionByName(twice)
+
     def _put(self, state: dict) -> Library:
         versions.put(self.spark, self.path, self.version + 1, state)
         return Library(self.spark, self.path, self.version + 1, state)

@@ -8,34 +8,50 @@ as they are stored: no version is made.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, quality
 from ..sources import library as lib
+from ..sources import versions
 from ..sources.versions import Taken
 
 
-def changes(library: lib.Library, files: DataFrame) -> dict[str, tuple[DataFrame | None, DataFrame | None]]:
+def changes(library: lib.Library, files: DataFrame, at: str) -> dict[str, tuple[DataFrame | None, DataFrame | None]]:
     """What files (file_path, file_hash, text, at) change: documents and document_paths. Of rows that repeat a path, the
-    latest counts."""
+    latest counts. Which file is which document is told without texts and written below `at`; of texts, only those of new
+    documents move."""
+    spark = files.sparkSession
     docs, paths = library.table("documents"), library.table("document_paths")
-    last = files.filter("file_path IS NOT NULL AND file_hash IS NOT NULL").groupBy("file_path").agg(F.max_by(F.struct("file_hash", "text", "at"), F.struct("at", "file_hash")).alias("r")).select("file_path", "r.*")
+    given = files.filter("file_path IS NOT NULL AND file_hash IS NOT NULL")
+    last = given.groupBy("file_path").agg(F.max(F.struct("at", "file_hash")).alias("r")).select("file_path", "r.*")
     by_hash = docs.groupBy("file_hash").agg(F.min("document_id").alias("_h"))
     by_path = paths.groupBy("file_path").agg(F.min("document_id").alias("_p"))
-    met = last.join(by_hash, "file_hash", "left").join(by_path, "file_path", "left")
+    last.join(by_hash, "file_hash", "left").join(by_path, "file_path", "left").write.parquet(f"{at}/met")
+    met = spark.read.parquet(f"{at}/met")
     # a document whose content some path still has, stored or in these files, keeps it
-    whole = met.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).join(paths.groupBy(F.col("document_id").alias("_p")).agg(F.count(F.lit(1)).alias("_all")), "_p").filter("_n = _all")
-    free = whole.select("_p").join(met.select(F.col("_h").alias("_p")).distinct(), "_p", "left_anti").withColumn("_free", F.lit(True))
-    met = met.join(free, "_p", "left").select("file_path", "file_hash", "text", "at", "_h", F.when(F.col("_free"), F.col("_p")).alias("_p"))
-    own = met.groupBy("file_hash").agg(F.coalesce(F.min("_h"), F.min("_p")).alias("document_id"), F.min("_h").isNull().alias("_new"), F.min_by("file_path", F.struct("at", "file_path")).alias("primary_path"),
-                                       F.max_by("text", F.struct("at", "file_path")).alias("text"), F.min("at").alias("at"))
-    # a document whose path has two contents by now is its first one's; the others are new
-    own = own.withColumn("_first", F.min("file_hash").over(Window.partitionBy("document_id"))).withColumn("document_id", F.when(
+    known = met.filter("_p IS NOT NULL")
+    whole = known.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).join(paths.groupBy(F.col("document_id").alias("_p")).agg(F.count(F.lit(1)).alias("_all")), "_p").filter("_n = _all")
+    free = whole.select("_p").join(met.filter("_h IS NOT NULL").select(F.col("_h").alias("_p")).distinct(), "_p", "left_anti")
+    met = met.drop("_p").join(known.select("file_path", "_p").join(free, "_p"), "file_path", "left")
+    last_of = F.struct("at", "file_path")
+    own = met.groupBy("file_hash").agg(F.coalesce(F.min("_h"), F.min("_p")).alias("document_id"), F.min("_h").isNull().alias("_new"), F.min_by("file_path", last_of).alias("primary_path"),
+                                       F.max(last_of).alias("_last"), F.min("at").alias("first_at"))
+    # a document whose path has two contents by now is its first one's; the others are new. Files without a document
+    # are apart, each content by itself
+    apart = Window.partitionBy("document_id", F.when(F.col("document_id").isNull(), F.col("file_hash")))
+    own = own.withColumn("_first", F.min("file_hash").over(apart)).withColumn("document_id", F.when(
         F.col("document_id").isNull() | F.col("_new") & (F.col("_first") != F.col("file_hash")), identity.document_id(F.col("file_hash"))).otherwise(F.col("document_id"))).drop("_first")
-    new = quality.built(own.filter("_new").withColumn("text", F.coalesce("text", F.lit(""))))
+    own.write.parquet(f"{at}/own")
+    own = spark.read.parquet(f"{at}/own")
+    due = own.filter("_new").select("*", F.col("_last.file_path").alias("file_path"), F.col("_last.at").alias("_at")).drop("_last")
+    texts = given.select("file_path", "file_hash", F.coalesce("text", F.lit("")).alias("text"), F.col("at").alias("_from"))
+    same = (texts["file_path"] == due["file_path"]) & (texts["file_hash"] == due["file_hash"]) & texts["_from"].eqNullSafe(due["_at"])
+    new = quality.built(texts.join(due, same).select("document_id", due["file_hash"], "primary_path", "text", "first_at"))
     rows = new.select("document_id", "file_hash", identity.base_name(F.col("primary_path")).alias("file_name"), "primary_path", F.lit("Unknown").alias("category"), "text", "clean_text", F.col("quality").alias("text_quality"),
-                      "raw_word_count", "clean_word_count", "noise_ratio", F.lit("done").alias("status"), F.col("at").cast("string").alias("scanned_at"), F.col("at").cast("string").alias("updated_at"))
+                      "raw_word_count", "clean_word_count", "noise_ratio", F.lit("done").alias("status"), F.col("first_at").cast("string").alias("scanned_at"), F.col("first_at").cast("string").alias("updated_at"))
     pairs = met.select("file_path", "file_hash").join(own.select("file_hash", "document_id"), "file_hash")
     moved = paths.join(pairs.select("file_path", F.col("document_id").alias("_d")), "file_path").filter("document_id <> _d").select("document_id", "file_path")
     fresh = pairs.select("document_id", "file_path").join(paths, ["document_id", "file_path"], "left_anti")
@@ -49,11 +65,14 @@ def taken_in(path: str, files: DataFrame, mark: tuple[str, str] | None = None, t
         library = lib.opened(files.sparkSession, path)
         if mark and library.state["marks"].get(mark[0]) == mark[1]:
             return library
+        at = f"{path}/resolved-{uuid.uuid4().hex}"
         try:
-            return library.changed(changes(library, files), mark)
+            return library.changed(changes(library, files, at), mark)
         except Taken:
             if not left:
                 raise
+        finally:
+            versions.dropped(files.sparkSession, at)
     return lib.opened(files.sparkSession, path)
 
 

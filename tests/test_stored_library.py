@@ -138,3 +138,11 @@ def test_a_stream_of_files_and_its_batches_again(spark, path, tmp_path):
     assert run("two").version == 1  # the same batch from a stream that begins anew
     files(spark, [("/c", "two", 3)]).write.mode("append").parquet(f"file://{given}")
     assert state(run("one"))[1] == {"/a": "one", "/b": "one", "/c": "two"}
+
+
+def test_files_are_told_apart_without_their_texts(spark, tmp_path):
+    path, at = f"file://{tmp_path}/lib", f"file://{tmp_path}/resolved"
+    made = ingest.changes(library.opened(spark, path), files(spark, [(f"/{i}.txt", f"text {i % 3}", i) for i in range(6)]), at)
+    own = spark.read.parquet(f"{at}/own")
+    assert "text" not in own.columns and own.count() == 3 and own.select("document_id").distinct().count() == 3
+    assert sorted((r["text"], r["scanned_at"][-2:]) for r in made["documents"][0].collect()) == [("text 0", "00"), ("text 1", "01"), ("text 2", "02")]
