@@ -49,21 +49,43 @@ def _same(token: str):
     return lambda w: w == token
 
 
+def counted(rows: DataFrame, keys: list[str], words: Column) -> DataFrame:
+    """keys, token, tf: how often each word of a row is among its own. Sorted, equal words lie together, so a row's count
+    is told from its own array and nothing moves."""
+    own = rows.select(*keys, F.sort_array(words).alias("_w"))
+    new = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == 1) | (F.get("_w", i - 1) != F.get("_w", i - 2)))
+    own = own.filter(F.size("_w") > 0).select(*keys, "_w", new.alias("_s"))
+    ends = F.concat(F.slice(F.col("_s"), F.lit(2), F.size("_s")), F.array(F.size("_w") + 1))
+    runs = F.zip_with("_s", ends, lambda a, b: F.struct(F.get("_w", a - 1).alias("token"), (b - a).cast("long").alias("tf")))
+    return own.select(*keys, F.explode(runs).alias("_r")).select(*keys, "_r.token", "_r.tf")
+
+
+def _once(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows of counts by document; only where ids of documents repeat are they added up."""
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy(*(c for c in rows.columns if c != "tf")).agg(F.sum("tf").alias("tf"))
+
+
+def split_words(text: Column) -> Column:
+    return F.filter(F.split(search_text(text), " "), lambda w: w != "")
+
+
 def postings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """token, doc_id, tf, doc_len: the inverted index, counted map-side before it moves."""
-    words = docs.select("doc_id", F.filter(F.split(search_text(F.col(text)), " "), lambda w: w != "").alias("_w"))
-    each = words.select("doc_id", F.size("_w").alias("doc_len"), F.explode("_w").alias("token"))
-    return each.groupBy("token", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    """token, doc_id, doc_len, tf: the inverted index, counted in each document's row."""
+    words = docs.select("doc_id", split_words(F.col(text)).alias("_w")).select("doc_id", F.size("_w").alias("doc_len"), "_w")
+    return _once(counted(words, ["doc_id", "doc_len"], F.col("_w")), docs).select("token", "doc_id", "doc_len", "tf")
 
 
 def field_postings(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """token, doc_id, field, tf of several fields: the rows of the full-text index. Every field is split in its own row."""
-    def own(field: str) -> Column:
-        return F.transform(F.filter(F.split(search_text(F.col(field)), " "), lambda w: w != ""), lambda w: F.struct(F.lit(field).alias("field"), w.alias("token")))
-
-    words = F.concat(*map(own, fields))
-    each = docs.select("doc_id", F.explode(words).alias("w")).select("doc_id", "w.field", "w.token")
-    return each.groupBy("token", "doc_id", "field").agg(F.count(F.lit(1)).alias("tf"))
+    """token, doc_id, field, tf of several fields: the rows of the full-text index. Fields of a document with the same
+    content are cut and counted once."""
+    own = docs.select("doc_id", F.array(*(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields)).alias("_v"))
+    each = own.select("doc_id", "_v", F.explode(F.array_distinct("_v")).alias("_t"))
+    named = F.filter(F.array(*map(F.lit, fields)), lambda f: F.get("_v", F.array_position(F.array(*map(F.lit, fields)), f).cast("int") - 1) == F.col("_t"))
+    words = each.select("doc_id", named.alias("_f"), split_words(F.col("_t")).alias("_w"))
+    rows = counted(words, ["doc_id", "_f"], F.col("_w")).select("token", "doc_id", F.explode("_f").alias("field"), "tf")
+    return _once(rows, docs)
 
 
 def bm25_ranked(rows: DataFrame, stats: DataFrame, asked: list[str], limit: int = 100, k1: float = 1.2, b: float = 0.75) -> DataFrame:

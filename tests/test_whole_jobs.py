@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from leafmill.operators import vectors
@@ -85,6 +86,24 @@ def test_postings_of_every_language(spark, tmp_path, languages):
     assert got == {("the", 1, 3, 2), ("than", 1, 3, 1), ("entre", 2, 4, 1), ("oren", 2, 4, 1), ("gr", 2, 4, 1), ("e", 2, 4, 1), ("reth", 3, 2, 2), ("oren", 4, 1, 1)}
 
 
+def test_postings_are_counted_where_they_lie(spark, tmp_path):
+    """Only where ids repeat do counts meet."""
+    rows = [(1, "b a b", "en", "s", 5), (2, "b  a\u00e9 7", "de", "s", 7), (3, "", "fr", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*rows, (1, "a c b", "en", "s", 5)], schema).write.parquet(f"{tmp_path}/again/documents.parquet")
+    for name in ("X07_postings", "X07_field_postings"):
+        own = entry.queries()[name](spark, str(tmp_path))
+        assert "hashpartitioning" not in own._jdf.queryExecution().executedPlan().toString()
+    count = lambda at, field: {(r["token"], r["doc_id"]): r["tf"] for r in entry.queries()["X07_field_postings"](spark, at).filter(F.col("field") == field).collect()}
+    want = {("a", 1): 1, ("b", 1): 2, ("b", 2): 1, ("a", 2): 1, ("7", 2): 1}
+    assert count(str(tmp_path), "text") == count(str(tmp_path), "clean_text") == want
+    assert count(str(tmp_path), "file_name") == {(w, i): 1 for i in (1, 2, 3) for w in ("s", str(i), "txt")}
+    again = entry.queries()["X07_postings"](spark, f"{tmp_path}/again").collect()
+    assert {(r["token"], r["doc_id"]): r["tf"] for r in again} == {**want, ("a", 1): 2, ("b", 1): 3, ("c", 1): 1}
+    assert len(again) == 6
+
+
 # --- search with every fiftieth row ---
 
 
