@@ -22,7 +22,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import search_text
 from ..sources import versions
 from . import fuzzy, search
 
@@ -30,6 +29,8 @@ from . import fuzzy, search
 FORMAT = 1
 POSTINGS = "token string, doc_id long, tf long, doc_len int, bucket int"
 FORMS = "form string, token string, bucket int"
+#: So many ids out of force may travel: some tens of megabytes.
+GONE = 2_000_000
 
 
 def _bucket(token: Column, buckets: int) -> Column:
@@ -53,27 +54,38 @@ class Index:
         self.segments = state.get("segments", [])
         self.docs, self.words, self.buckets, self.last = (state.get(k, d) for k, d in (("docs", 0), ("words", 0), ("buckets", 32), ("last", 0)))
 
-    def _in_force(self, rows: DataFrame, segments: list[dict] | None = None) -> DataFrame:
-        """Without the rows of documents that a later segment puts out of force."""
+    def _in_force(self, part: str, schema: str, some=lambda rows: rows) -> DataFrame:
+        """Rows (`some` of them) of a part of all segments, without those of documents that a later segment puts out of
+        force. Rows of segments that come after all of these are not looked at, and a few ids travel to the others."""
         gone = [s for s in self.segments if s["gone"]]
+        last = max((s["number"] for s in gone), default=0)
+        read = lambda segments: some(_joined(self.spark, self.path, segments, part, schema))
+        later = read([s for s in self.segments if s["number"] >= last])
         if not gone:
-            return rows
-        last = _joined(self.spark, self.path, gone, "gone", "doc_id long").groupBy("doc_id").agg(F.max("segment").alias("_last"))
-        return rows.join(last, "doc_id", "left").filter(F.col("_last").isNull() | (F.col("segment") >= F.col("_last"))).drop("_last")
+            return later
+        ids = _joined(self.spark, self.path, gone, "gone", "doc_id long").groupBy("doc_id").agg(F.max("segment").alias("_last"))
+        if sum(s.get("n_gone", GONE) for s in gone) < GONE:
+            ids = F.broadcast(ids)
+        rows = read([s for s in self.segments if s["number"] < last])
+        return rows.join(ids, "doc_id", "left").filter(F.col("_last").isNull() | (F.col("segment") >= F.col("_last"))).drop("_last").unionByName(later)
 
     def sizes(self) -> DataFrame:
         """doc_id, doc_len of every document."""
-        return self._in_force(_joined(self.spark, self.path, self.segments, "sizes", "doc_id long, doc_len int")).select("doc_id", "doc_len")
+        return self._in_force("sizes", "doc_id long, doc_len int").select("doc_id", "doc_len")
 
-    def _of(self, part: str, schema: str, key: str, keys: list[str]) -> DataFrame:
-        """Rows of all segments with one of the keys. Only the keys' buckets are read."""
+    def _with(self, key: str, keys: list[str]):
+        """Picks rows with one of the keys. Only the keys' buckets are read."""
         buckets = self.spark.range(1).select(F.array(*(_bucket(F.lit(k), self.buckets) for k in keys)).alias("b")).head()["b"] if keys else []
-        return _joined(self.spark, self.path, self.segments, part, schema).filter(F.col("bucket").isin(sorted(set(buckets))) & F.col(key).isin(keys))
+        return lambda rows: rows.filter(F.col("bucket").isin(sorted(set(buckets))) & F.col(key).isin(keys))
+
+    def _of(self, part: str, schema: str, key: str, keys: list[str]) -> DataFrame:
+        """Rows of all segments with one of the keys."""
+        return self._with(key, keys)(_joined(self.spark, self.path, self.segments, part, schema))
 
     def postings(self, tokens: list[str] | None = None) -> DataFrame:
         """token, doc_id, tf, doc_len of these tokens, or of all."""
-        rows = _joined(self.spark, self.path, self.segments, "postings", POSTINGS) if tokens is None else self._of("postings", POSTINGS, "token", tokens)
-        return self._in_force(rows).select("token", "doc_id", "tf", "doc_len")
+        some = (lambda rows: rows) if tokens is None else self._with("token", tokens)
+        return self._in_force("postings", POSTINGS, some).select("token", "doc_id", "tf", "doc_len")
 
     def close(self, token: str, recognised: bool = False) -> DataFrame:
         """token: the words in any segment that are nearly `token`, itself too; each is compared once."""
@@ -85,8 +97,8 @@ class Index:
         """doc_id: documents with a word that is nearly `token`."""
         words = [r["token"] for r in self.close(token, recognised).limit(search.NEAR + 1).collect()]
         if len(words) > search.NEAR:  # too many to name
-            rows = _joined(self.spark, self.path, self.segments, "postings", POSTINGS).join(self.close(token, recognised), "token", "left_semi")
-            return self._in_force(rows).select("doc_id").distinct()
+            rows = self._in_force("postings", POSTINGS, lambda rows: rows.join(self.close(token, recognised), "token", "left_semi"))
+            return rows.select("doc_id").distinct()
         return self.postings(words).select("doc_id").distinct()
 
     def bm25(self, query: str, limit: int = 100, k1: float = 1.2, b: float = 0.75, most: int = 8) -> DataFrame:
@@ -106,7 +118,7 @@ class Index:
         if not new.groupBy("doc_id").count().filter("count > 1").isEmpty():  # else texts need not move
             new = new.groupBy("doc_id").agg(F.max("text").alias("text"))
         old = spark.createDataFrame([], "doc_id long") if deletes is None else deletes.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
-        cut = new.select("doc_id", F.filter(F.split(search_text(F.col("text")), " "), lambda w: w != "").alias("w"))
+        cut = new.select("doc_id", search.split_words(F.col("text")).alias("w"))
         # ids that were there before, with their lengths: they go out of force
         sizes = cut.select("doc_id", F.size("w").alias("doc_len"))
         sizes.write.parquet(f"{at}/sizes")
@@ -119,9 +131,9 @@ class Index:
         if not came[0] and not left[0]:
             versions.dropped(spark, at)
             return self
-        rows = cut.select("doc_id", F.size("w").alias("doc_len"), F.explode("w").alias("token")).groupBy("token", "doc_id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+        rows = search.counted(cut.select("doc_id", F.size("w").alias("doc_len"), "w"), ["doc_id", "doc_len"], F.col("w")).select("token", "doc_id", "tf", "doc_len")
         self._written(rows, at)
-        state = {"segments": [*self.segments, {"name": name, "number": number, "gone": bool(left[0])}], "docs": self.docs + came[0] - left[0],
+        state = {"segments": [*self.segments, {"name": name, "number": number, "gone": bool(left[0]), "n_gone": left[0]}], "docs": self.docs + came[0] - left[0],
                  "words": self.words + (came[1] or 0) - (left[1] or 0), "buckets": self.buckets, "last": number}
         versions.put(spark, self.path, self.version + 1, state)
         return Index(spark, self.path, self.version + 1, state)

@@ -57,6 +57,18 @@ def test_changes_and_merges_give_the_index_made_anew(spark, path):
     same(spark, indexing.opened(spark, path), sorted(held.items()))
 
 
+def test_ids_out_of_force_travel_and_the_last_segments_are_not_joined(spark, path):
+    index = indexing.opened(spark, path, 2).changed(frame(spark, [(1, "alpha beta"), (2, "beta")])).changed(frame(spark, [(2, "gamma gamma")])).changed(frame(spark, [(3, "x")]))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = index.postings()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    same(spark, index, [(1, "alpha beta"), (2, "gamma gamma"), (3, "x")])
+
+
 def test_a_search_reads_the_buckets_of_its_words_only(spark, path):
     index = indexing.opened(spark, path, 16).changed(frame(spark, texts(random.Random(2), range(50))))
     files = index.postings(["alpha"])._jdf.queryExecution().executedPlan().toString()
