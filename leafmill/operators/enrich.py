@@ -13,22 +13,41 @@ from ..functions.labels import phrase_form, tag_form
 
 # Domain words that make no topic of a title.
 NO_TOPIC = "document file notes page paper question unit".split()
+#: Phrases looked at first, for each that is wanted.
+AHEAD = 6
 
 
 def _none(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+def _formed(phrases: Column) -> Column:
+    return F.filter(F.transform(phrases, phrase_form), lambda p: p != "")
+
+
+def _bound(value: Column, to) -> Column:
+    """to(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), to), 0)
+
+
+def _first_of(phrases: Column, limit: int, pick) -> Column:
+    """pick(phrases), where no phrase counts after `limit` are picked: all are looked at only where the first AHEAD times
+    `limit` don't give so many. Repeats pick nothing."""
+    n = AHEAD * limit
+    return _bound(phrases, lambda p: _bound(pick(F.slice(p, 1, n)), lambda some: F.when(
+        (F.size(p) <= n) | (F.size(some) >= limit), some).otherwise(pick(F.array_distinct(p)))))
+
+
 def different(phrases: Column, limit: int) -> Column:
     """The first `limit` different phrases in phrase_form(), none of them empty."""
-    return F.slice(F.array_distinct(F.filter(F.transform(phrases, phrase_form), lambda p: p != "")), 1, limit)
+    return _first_of(phrases, limit, lambda some: F.slice(F.array_distinct(_formed(some)), 1, limit))
 
 
 def apart(phrases: Column, limit: int = 20) -> Column:
     """As different(), and without phrases that contain an accepted one or lie within one; the earlier phrase stays."""
-    return F.aggregate(
-        F.filter(F.transform(phrases, phrase_form), lambda p: p != ""), _none("array<string>"),
-        lambda kept, p: F.when((F.size(kept) >= limit) | F.exists(kept, lambda k: k.contains(p) | p.contains(k)), kept).otherwise(F.array_append(kept, p)))
+    return _first_of(phrases, limit, lambda some: F.aggregate(
+        _formed(some), _none("array<string>"),
+        lambda kept, p: F.when((F.size(kept) >= limit) | F.exists(kept, lambda k: k.contains(p) | p.contains(k)), kept).otherwise(F.array_append(kept, p))))
 
 
 def with_enrichment(titles: Column, keywords: Column, keyphrases: Column, nouns: Column) -> tuple[Column, Column]:
@@ -68,9 +87,10 @@ def title_case(word: Column) -> Column:
 
 def useful_words(text: Column, stop=lx.STOP, noise=lx.OCR_NOISE, domain=lx.DOMAIN, common=lx.COMMON) -> Column:
     """Words of 3 to 24 of a-z, digits and hyphens that look like words or identifiers."""
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s-]", " "), r"\s+")
+    words = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s-]++", " "), r"\s+")
+    bare = lambda w: F.replace(w, F.lit("-"), F.lit(""))
     return F.filter(words, lambda w: F.length(w).between(3, 24) & ~w.isin(*stop, *noise) & ~w.rlike("^[0-9]+$")
-                    & (w.isin(*domain, *common) | lx.is_identifier(w) | lx.is_plausible(w)))
+                    & (w.isin(*domain, *common) | lx.plain_plausible(bare(w)) | lx.plain_identifier(bare(w))))
 
 
 def keyphrases(docs: DataFrame, limit: int = 20, text: str = "text", known: str | None = None, stop=lx.STOP, noise=lx.OCR_NOISE,
@@ -80,26 +100,38 @@ def keyphrases(docs: DataFrame, limit: int = 20, text: str = "text", known: str
     identifier or one of the document's tags (`known`). Equal scores go by first place, which counts threes, then
     twos, then words.
 
-    Candidates are counted map-side before they meet; what a document's fold holds is its own different candidates.
+    Candidates are counted in the document's row, where equal ones lie together once they are sorted.
     """
     tags = F.col(known) if known else _none("array<string>")
-    base = docs.select("doc_id", useful_words(F.col(text), stop, noise, domain, common).alias("_w"), tags.alias("_k"))
-    marks = base.withColumn("_m", F.transform("_w", lambda w: w.isin(*domain) | lx.is_identifier(w) | F.array_contains(F.coalesce("_k", _none("array<string>")), w)))
+    base = docs.select("doc_id", useful_words(F.col(text), stop, noise, domain, common).alias("_w"), F.coalesce(tags, _none("array<string>")).alias("_k"))
+    bare = lambda w: F.replace(w, F.lit("-"), F.lit(""))
+    mark = lambda w: w.isin(*domain) | lx.plain_identifier(bare(w)) | (F.array_contains("_k", w) if known else F.lit(False))
+    marks = base.select("doc_id", "_w", F.transform("_w", mark).alias("_m"))
 
     def runs(n: int) -> Column:
         starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(_none("array<int>"))
-        all_ = F.transform(starts, lambda i: F.struct(F.array_join(F.slice("_w", i, n), " ").alias("phrase"),
-                                                      F.size(F.filter(F.slice("_m", i, n), lambda m: m)).alias("known")))
-        return F.filter(all_, lambda r: r["known"] > 0) if n > 1 else all_
-
-    each = marks.select("doc_id", F.posexplode(F.concat(runs(3), runs(2), runs(1))).alias("at", "r"))
-    seen = each.groupBy("doc_id", F.col("r.phrase").alias("phrase"), F.col("r.known").alias("known")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    n_words = F.size(F.split("phrase", " "))
-    score = F.col("n") * F.when(n_words > 1, n_words * 3).otherwise(1) + 2 / (1 + F.col("first") / 80) + 2 * F.col("known")
-    best = seen.filter(F.length("phrase") <= 60).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct((-score).alias("s"), "first", "phrase"))).alias("_c"))
-    found = best.select("doc_id", apart(F.transform("_c", lambda c: c["phrase"]), limit).alias("keyphrases"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("keyphrases", _none("array<string>")).alias("keyphrases"))
+        number = lambda i: sum((F.get("_m", i + (k - 1)).cast("int") for k in range(n)), F.lit(0))
+        some = starts if n == 1 else F.filter(starts, lambda i: number(i) > 0)
+        return F.transform(some, lambda i: F.struct(F.concat_ws(" ", *(F.get("_w", i + (k - 1)) for k in range(n))).alias("phrase"), number(i).alias("known"), F.lit(n).alias("n_words")))
+
+    # places count the phrases of three words that hold a known one first, then those of two, then words
+    placed = F.transform(F.concat(runs(3), runs(2), runs(1)), lambda r, i: F.struct(r["phrase"].alias("phrase"), i.alias("at"), r["known"].alias("known"), r["n_words"].alias("k")))
+    each = marks.select("doc_id", F.filter(placed, lambda r: F.length(r["phrase"]) <= 60).alias("_a"))
+    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():  # rows of one id count together
+        each = docs.select("doc_id").join(each.groupBy("doc_id").agg(F.flatten(F.collect_list("_a")).alias("_a")), "doc_id", "left")
+    each = each.select("doc_id", F.sort_array(F.coalesce("_a", _none("array<struct<phrase:string,at:int,known:int,k:int>>"))).alias("_a"))
+    new = F.filter(F.when(F.size("_a") > 0, F.sequence(F.lit(1), F.size("_a"))).otherwise(_none("array<int>")),
+                   lambda i: (i == 1) | (F.get("_a", i - 1)["phrase"] != F.get("_a", i - 2)["phrase"]))
+    each = each.select("doc_id", "_a", new.alias("_s"))
+    ends = F.concat(F.slice(F.col("_s"), F.lit(2), F.size("_s")), F.array(F.size("_a") + 1))
+
+    def scored(r: Column, n: Column) -> Column:
+        score = n * F.when(r["k"] > 1, r["k"] * 3).otherwise(1) + 2 / (1 + r["at"] / 80) + 2 * r["known"]
+        return F.struct((-score).alias("s"), r["at"].alias("first"), r["phrase"].alias("phrase"))
+
+    best = F.sort_array(F.zip_with("_s", F.slice(ends, 1, F.size("_s")), lambda a, b: scored(F.get("_a", a - 1), b - a)))
+    best = each.select("doc_id", best.alias("_c")).select("doc_id", F.transform("_c", lambda c: c["phrase"]).alias("_c"))
+    return best.select("doc_id", apart(F.col("_c"), limit).alias("keyphrases"))
 
 
 def due(docs: DataFrame, enriched: DataFrame, text: str = "text") -> DataFrame:

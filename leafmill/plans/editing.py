@@ -104,7 +104,7 @@ def _phrases() -> Column:
 SELECT doc_id, md5(array_to_string(list_reduce(list_transform(p, lambda x: [x]), lambda a, x: CASE WHEN len(a) >= 20 OR len(list_filter(a, lambda y: contains(y, x[1]) OR contains(x[1], y))) > 0 THEN a ELSE list_concat(a, x) END, CAST([] AS VARCHAR[])), '|')) AS phrases_md5 FROM b""")
 def phrases_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the whole text of every document."""
-    return table(spark, sf_dir, "documents").select("doc_id", md5_of(enrich.apart(F.array_distinct(_phrases()), 20)).alias("phrases_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", md5_of(enrich.apart(_phrases(), 20)).alias("phrases_md5"))
 
 
 @query("T19_enriched_tags", f"""WITH a AS (SELECT doc_id, list_filter([source, lang, source], lambda x: x <> '') AS t, list_filter([lang, 'x'], lambda x: x <> '') AS k, {CLEAN_SQL.format(PHRASES_SQL)} AS p, {CLEAN_SQL.format("(" + PHRASES_SQL + ")[20:]")} AS n FROM documents),
@@ -113,8 +113,8 @@ SELECT doc_id, md5(array_to_string(({FIRST_SQL.format("t")})[1:14], '|')) AS tit
 def enriched_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the whole text of every document; the words from the 20th on stand for noun phrases."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", _phrases().alias("_w"))
-    later = F.array_distinct(F.slice("_w", 20, F.greatest(F.size("_w"), F.lit(1))))
-    titles, keywords = enrich.with_enrichment(F.array("source", "lang", "source"), F.array("lang", F.lit("x")), F.array_distinct("_w"), later)
+    later = F.slice("_w", 20, F.greatest(F.size("_w"), F.lit(1)))
+    titles, keywords = enrich.with_enrichment(F.array("source", "lang", "source"), F.array("lang", F.lit("x")), F.col("_w"), later)
     return docs.select("doc_id", md5_of(titles).alias("titles_md5"), md5_of(keywords).alias("keywords_md5"))
 
 

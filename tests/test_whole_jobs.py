@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from leafmill.operators import vectors
+from leafmill.operators import enrich, vectors
 
 
 def run(spark, tmp_path, name, **tables):
@@ -173,3 +173,21 @@ def test_titles_of_one_shown_score_keep_the_order_of_lines(spark, tmp_path):
     docs = spark.createDataFrame([(1, "\n".join(lines.get(i, "") for i in range(5)))], "doc_id long, text string")
     titles = run(spark, tmp_path, "P07_built_documents", documents=docs)[0]["title_tags"].split("|")
     assert titles[1:] == ["Enai Leletre Anque Enmenttion Eaution", "Oution Ouchan Ment Enan Mentou"]
+
+
+def test_phrases_beyond_the_first_count_where_these_are_too_few(spark, monkeypatch):
+    monkeypatch.setattr(enrich, "AHEAD", 1)
+    rnd = random.Random(5)
+    rows = [[rnd.choice(["ab", "abc", "Abc,", "x", "yy", "(zz)", "", "q" + str(i % 9)]) for i in range(n)] for n in (0, 1, 3, 4, 40, 200)]
+    given = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id long, p array<string>")
+    got = {r["id"]: (r["a"], r["d"]) for r in given.select("id", enrich.apart(F.col("p"), 3).alias("a"), enrich.different(F.col("p"), 3).alias("d")).collect()}
+    assert got == {i: (apart(r, 3), first(forms(r), 3)) for i, r in enumerate(rows)}
+
+
+def test_keyphrases_are_counted_where_they_lie(spark, tmp_path):
+    rows = [(1, "reth barok reth barok"), (2, "selim tavon"), (3, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "hashpartitioning" not in entry.queries()["T21_keyphrases"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    spark.createDataFrame([*rows, (2, "selim oren")], "doc_id long, text string").write.parquet(f"{tmp_path}/again/documents.parquet")
+    got = sorted((r["doc_id"], r["keyphrases"]) for r in entry.queries()["T21_keyphrases"](spark, f"{tmp_path}/again").collect())
+    assert got == [(1, "|".join(keyphrases(rows[0][1]))), (2, "selim oren|tavon"), (2, "selim oren|tavon"), (3, "")]
