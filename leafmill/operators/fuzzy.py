@@ -60,13 +60,14 @@ def close(words: DataFrame, forms: DataFrame, token: str, recognised: bool = Fal
 
 def among(rows: DataFrame, texts: list[str], cut, asked: list[tuple[str, bool]], most: int) -> dict[tuple[str, bool], list[str]] | None:
     """Of the words of the columns `texts`, those near to each of `asked` (token, recognised). What lies between blanks is
-    collected first, and only different ones are cut into words by cut(column) and compared. None if there are more near
+    collected first, and only different ones are cut into words by cut(column), which leaves those without digits whole or out, and compared. None if there are more near
     words than `most`; then they should stay where they are."""
     asked = [a for a in asked if allowed(*a)]
     if not asked:
         return {}
     sizes = [len(t) for t, _ in asked]
-    different = rows.select(F.explode(F.array_distinct(F.split(F.concat_ws(" ", *texts), " "))).alias("w")).distinct()
+    different = rows.select(F.explode(F.array_distinct(F.split(F.concat_ws(" ", F.array_distinct(F.array(*texts))), " "))).alias("w"))
+    different = different.filter(F.length("w").between(min(sizes) - 1, max(sizes) + 1) | F.col("w").rlike("[0-9]")).distinct()
     every = different.select(F.explode(cut(F.col("w"))).alias("w")).filter(F.length("w").between(min(sizes) - 1, max(sizes) + 1)).distinct()
     marks = [fits(F.col("w"), *a).alias(f"m{i}") for i, a in enumerate(asked)]
     some = F.greatest(*(m.cast("int") for m in marks), F.lit(0)) > 0

@@ -171,20 +171,44 @@ def field_score(signs: Column, idfs: list[Column], weight: float, recognised: bo
     return score
 
 
+def _asked_words(low: Column) -> Column:
+    """Of a plain form, words among which a token of a query, or one that tokens_of() gave, is found as it is among
+    tokens_of(): those as they stand, and the parts of words with digits. Others may be among them."""
+    words = F.split(low, " ")
+    return F.when(low.rlike("[0-9]"), F.concat(words, tokens_of(F.array_join(F.filter(words, lambda w: w.rlike("[0-9]")), " ")))).otherwise(words)
+
+
 def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
     """doc_id, score, matched: field-weighted scores over the candidates, 150 more for all tokens; with several tokens
-    only documents that match them all. Every field's plain form and words are columns, worked out once. Words nearly
-    the query's are looked for once among the different words of all fields; up to NEAR of them travel to the rows, and if
-    there are more each row compares its own words."""
+    only documents that match them all. Every field's plain form and words are columns, worked out once, and once for
+    fields of a document with the same content. Words nearly the query's are looked for once among the different words of
+    all fields; up to NEAR of them travel to the rows, and if there are more each row compares its own words."""
     asked, _, dense = asked_forms(query)
     if not dense:
         return candidates.select("doc_id", F.lit(0.0).alias("score"), F.lit(0).alias("matched")).limit(0)
     used = [f for f in fields if f[0] in candidates.columns]
-    low = search_text(F.concat_ws(" ", *(f for f, _, _ in used)))
-    sums = candidates.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(low.contains(t)).alias(f"_df{i}") for i, t in enumerate(asked)))
-    rows = candidates.select("doc_id", *(search_text(F.col(f)).alias(f"low_{i}") for i, (f, _, _) in enumerate(used)))
-    near = fuzzy.among(rows, [f"low_{i}" for i in range(len(used))], tokens_of, [(t, r) for t in asked for r in sorted({r for _, _, r in used})], NEAR)
-    rows = rows.select("*", *(tokens_of(F.col(f"low_{i}")).alias(f"words_{i}") for i in range(len(used)))).join(F.broadcast(sums))  # one row of sums
+    numbers = range(len(used))
+
+    def same(i: int, name: str, what: Column, of: str) -> Column:
+        """what(), or else the field's before if both have the same content and are judged alike."""
+        return F.when(F.col(f"{of}_{i}") == F.col(f"{of}_{i - 1}"), F.col(f"{name}_{i - 1}")).otherwise(what) if i and used[i][2] == used[i - 1][2] else what
+
+    def stepped(df: DataFrame, name: str, what, of: str) -> DataFrame:
+        """A column of each field; those that take the field's before come after it."""
+        df = df.select("*", *(what(i).alias(f"{name}_{i}") for i in numbers if not i or not used[i][2] or not used[i - 1][2]))
+        for i in numbers:
+            if i and used[i][2] and used[i - 1][2]:  # recognised texts are the long ones
+                df = df.select("*", same(i, name, what(i), of).alias(f"{name}_{i}"))
+        return df
+
+    own = candidates.select("doc_id", *(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"own_{i}") for i, (f, _, _) in enumerate(used)))
+    rows = stepped(own, "low", lambda i: search_text(F.col(f"own_{i}")), "own").select("doc_id", *(f"low_{i}" for i in numbers))
+    # a token has no blanks, so it lies within one field
+    has = lambda t: F.greatest(*(F.col(f"low_{i}").contains(t).cast("int") for i in numbers), F.lit(0)) > 0
+    sums = rows.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(has(t)).alias(f"_df{i}") for i, t in enumerate(asked)))
+    near = fuzzy.among(rows, [f"low_{i}" for i in numbers], tokens_of, [(t, r) for t in asked for r in sorted({r for _, _, r in used})], NEAR)
+    cut = tokens_of if near is None else _asked_words
+    rows = stepped(rows, "words", lambda i: cut(F.col(f"low_{i}")), "low").join(F.broadcast(sums))  # one row of sums
     if near is not None:
         named = {a: f"near_{i}" for i, a in enumerate(near)}
         if named:
@@ -193,7 +217,8 @@ def searched(candidates: DataFrame, query: str, fields=FIELDS) -> DataFrame:
         close = lambda words, t, r: F.arrays_overlap(words, F.col(named[t, r])) if (t, r) in named else F.lit(False)
     else:
         close = is_close
-    signs = F.array(*(field_signs(F.col(f"low_{i}"), F.col(f"words_{i}"), query, r, close) for i, (_, _, r) in enumerate(used)))
+    rows = stepped(rows, "signs", lambda i: field_signs(F.col(f"low_{i}"), F.col(f"words_{i}"), query, used[i][2], close), "low")
+    signs = F.array(*(f"signs_{i}" for i in numbers))
     # as a generated row, so that what is made of the signs doesn't work them out again
     rows = rows.select("doc_id", "_n", *(f"_df{i}" for i in range(len(asked))), F.explode(F.array(signs)).alias("signs"))
     idfs = [1 + F.log((F.col("_n") + 1) / (F.col(f"_df{i}") + 1)) for i in range(len(asked))]

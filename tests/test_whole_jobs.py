@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from leafmill.operators import enrich, vectors
+from leafmill.operators import enrich, search, vectors
 
 
 def run(spark, tmp_path, name, **tables):
@@ -191,3 +191,23 @@ def test_keyphrases_are_counted_where_they_lie(spark, tmp_path):
     spark.createDataFrame([*rows, (2, "selim oren")], "doc_id long, text string").write.parquet(f"{tmp_path}/again/documents.parquet")
     got = sorted((r["doc_id"], r["keyphrases"]) for r in entry.queries()["T21_keyphrases"](spark, f"{tmp_path}/again").collect())
     assert got == [(1, "|".join(keyphrases(rows[0][1]))), (2, "selim oren|tavon"), (2, "selim oren|tavon"), (3, "")]
+
+
+def test_words_asked_for_are_found_as_among_all_tokens(spark):
+    rnd = random.Random(6)
+    pool = "eran the of bcs303 12ab 007 00 0 x 00a11 thing and9 erand 3 a1b2".split()
+    rows = [(i, " ".join(rnd.choice(pool[: 4 + i]) for _ in range(rnd.randint(0, 9)))) for i in range(40)] + [(99, "eran the thing")]
+    given = spark.createDataFrame(rows, "doc_id long, t string")
+    for r in given.select("t", search.tokens_of(F.col("t")).alias("every"), search._asked_words(F.col("t")).alias("some")).collect():
+        assert set(r["every"]) <= set(r["some"])
+        assert all(w == "" or w in search.STOP or re.fullmatch("0[0-9]+", w) for w in set(r["some"]) - set(r["every"]))
+
+
+def test_fields_of_one_content_score_as_others_do(spark):
+    docs = [(1, "Eran things", "Eran things", "eran"), (2, "Eran things", "Eran  things!", "eran"), (3, "erna", "erna", ""), (4, "x", "y 7", None), (5, None, None, "eran")]
+    given = spark.createDataFrame(docs, "doc_id long, clean_text string, text string, file_name string")
+    for query in ("eran", "eran thing", "7"):
+        got = {r["doc_id"]: r["score"] for r in search.searched(given, query).collect()}
+        apart_ = given.withColumn("text", F.concat("text", F.lit(" .")))  # another content of the same plain form
+        assert got == {r["doc_id"]: r["score"] for r in search.searched(apart_, query).collect()} and got
+    assert got == {4: 161.2}  # 2 * (2 + 1.5 + 1 + ln(6 / 2)) + 150
