@@ -6,6 +6,8 @@ keyword overrides are a table; it becomes one array, which meets every document
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,28 +16,41 @@ from ..functions.text import rule_text
 from . import rules as R
 
 
-def has_term(text: Column, term: str) -> Column:
-    """Substring of rule_text(); a term of letters and digits also matches across blanks."""
-    import re
+def plain_term(term: str) -> str:
+    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9.<>\s]+", " ", re.sub(r"[#/\\_-]+", " ", term.lower()))).strip()
+
 
-    plain = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9.<>\s]+", " ", re.sub(r"[#/\\_-]+", " ", term.lower()))).strip()
-    found = text.contains(plain)
+def has_term(text: Column, term: str, dense: Column | None = None, words: Column | None = None) -> Column:
+    """Substring of rule_text(); a term of letters and digits also matches across blanks. Where they are given, `dense` is
+    the text without blanks, and `words` its different words between blanks: a term lies in the text only if each of its
+    words lies in one of these, and a term of one word if it does."""
+    plain = plain_term(term)
+    if words is None:
+        found = text.contains(plain)
+    else:
+        found = words.contains(max(plain.split(" "), key=len))
+        found = found & text.contains(plain) if " " in plain else found
     if re.fullmatch(r"[a-z]+\s*\d+", plain):
-        found = found | F.replace(text, F.lit(" "), F.lit("")).contains(plain.replace(" ", ""))
+        found = found | (F.replace(text, F.lit(" "), F.lit("")) if dense is None else dense).contains(plain.replace(" ", ""))
     return found
 
 
-def rule_score(name: Column, body: Column, terms: dict[str, float]) -> Column:
+def different_words(text: Column) -> Column:
+    """The different words of a text in one text, between blanks."""
+    return F.array_join(F.array_distinct(F.split(text, " ")), " ")
+
+
+def rule_score(name: Column, body: Column, terms: dict[str, float], dense: Column | None = None, words: Column | None = None) -> Column:
     """A term in the file name or path counts 1.8 times, and then not again in the body."""
     out = F.lit(0.0)
     for term, weight in terms.items():
-        out = out + F.when(has_term(name, term), weight * 1.8).when(has_term(body, term), float(weight)).otherwise(0.0)
+        out = out + F.when(has_term(name, term), weight * 1.8).when(has_term(body, term, dense, words), float(weight)).otherwise(0.0)
     return out
 
 
-def scores(name: Column, body: Column, table: dict) -> Column:
+def scores(name: Column, body: Column, table: dict, dense: Column | None = None, words: Column | None = None) -> Column:
     """One number for each rule, in the table's order."""
-    return F.array(*(rule_score(name, body, spec[1] if isinstance(spec, tuple) else spec) for spec in table.values()))
+    return F.array(*(rule_score(name, body, spec[1] if isinstance(spec, tuple) else spec, dense, words) for spec in table.values()))
 
 
 def ranked(scored: Column, table: dict, default_least: float = 1) -> Column:
@@ -80,14 +95,16 @@ def suggested(docs: DataFrame, types: dict = R.TYPES, subjects: dict = R.SUBJECT
     name = rule_text(F.concat_ws(" ", "file_name", "file_path"))
     body = rule_text(F.concat_ws("\n", "file_name", "file_path", "category", "clean_text"))
     step = docs.withColumns({"_name": name, "_body": body, "_ext": extension(F.col("file_name"))})
+    step = step.withColumns({"_words": different_words(F.col("_body")), "_dense": F.when(F.col("_body").rlike("[0-9]"), F.replace("_body", F.lit(" "), F.lit(""))).otherwise("")})
+    more = {"dense": F.col("_dense"), "words": F.col("_words")}
     records = F.lit(None).cast("string")
     for f, terms in reversed(R.RECORD_FOLDERS):
         some = F.lit(False)
         for term in terms:
-            some = some | has_term(F.col("_body"), term)
+            some = some | has_term(F.col("_body"), term, **more)
         records = F.when(some, f).otherwise(records)
     # every term is looked for once
-    step = step.withColumns({"_ts": scores(F.col("_name"), F.col("_body"), types), "_ss": scores(F.col("_name"), F.col("_body"), subjects), "_record": records})
+    step = step.withColumns({"_ts": scores(F.col("_name"), F.col("_body"), types, **more), "_ss": scores(F.col("_name"), F.col("_body"), subjects, **more), "_record": records})
     step = step.withColumns({"_types": ranked(F.col("_ts"), types), "_subjects": ranked(F.col("_ss"), subjects)})
     code = F.col("_ext").isin(*R.CODE_EXTENSIONS)
     kind = F.coalesce(F.get("_types", 0)["rule"], F.when(code, "code-project"), F.lit("unknown"))
@@ -118,7 +135,7 @@ def suggested(docs: DataFrame, types: dict = R.TYPES, subjects: dict = R.SUBJECT
     step = step.withColumn("_p", F.when((F.size("_p") == 0) & kind_folder.isNotNull(), F.array(pair(kind_folder, F.lit(1.5), F.concat("_ext", F.lit(" file type"))))).otherwise(F.col("_p")))
     if overrides is not None:
         step = step.join(F.broadcast(override_pairs(overrides)))
-        joined = F.replace("_body", F.lit(" "), F.lit(""))
+        joined = F.replace("_body", F.lit(" "), F.lit(""))  # of texts without digits too: a keyword is any letters and digits
         fits = F.filter("_o", lambda o: F.col("_body").contains(o["keyword"]) | F.coalesce(joined.contains(o["dense"]), F.lit(False)))
         step = step.withColumn("_p", F.concat("_p", F.transform(fits, lambda o: F.struct(
             o["folder_id"].alias("folder"), o["score"].alias("score"), F.concat(F.when(o["score"] > 0, "user positive keyword: ").otherwise("user negative keyword: "), o["keyword"]).alias("why")))))

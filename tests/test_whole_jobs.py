@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from leafmill.operators import enrich, search, vectors
+from leafmill.functions import text as tx
+from leafmill.operators import enrich, organise, search, vectors
 
 
 def run(spark, tmp_path, name, **tables):
@@ -211,3 +212,17 @@ def test_fields_of_one_content_score_as_others_do(spark):
         apart_ = given.withColumn("text", F.concat("text", F.lit(" .")))  # another content of the same plain form
         assert got == {r["doc_id"]: r["score"] for r in search.searched(apart_, query).collect()} and got
     assert got == {4: 161.2}  # 2 * (2 + 1.5 + 1 + ln(6 / 2)) + 150
+
+
+def test_terms_are_found_in_different_words_as_in_the_text(spark):
+    rnd = random.Random(7)
+    pool = "bookmark sheets sheet mark sheetmark bcs 303 bcs303 bc s3 03 b <html> .c # / _ - \t   é".split(" ")
+    rows = [(i, "".join(rnd.choice(pool) + rnd.choice(["", " ", " ", "\n "]) for _ in range(rnd.randint(0, 12)))) for i in range(120)]
+    plain = lambda t: re.sub(r"\s+", " ", re.sub(r"[^a-z0-9.<>\s]+", " ", re.sub(r"[#/\\_-]+", " ", t.lower()))).strip()
+    low = spark.createDataFrame(rows, "doc_id long, t string").select("t", tx.rule_text(F.col("t")).alias("b"), tx.search_text(F.col("t")).alias("s"))
+    low = low.withColumns({"w": organise.different_words(F.col("b")), "d": F.replace("b", F.lit(" "), F.lit(""))})
+    terms = ["mark sheet", "sheet", "bcs303", "bcs 303", "#Mark_sheet"]
+    for r in low.select("*", *(organise.has_term(F.col("b"), t, F.col("d"), F.col("w")).alias(f"k{i}") for i, t in enumerate(terms))).collect():
+        assert r["b"] == plain(r["t"]) and r["s"] == re.sub("[^a-z0-9]+", " ", r["t"].lower()).strip()
+        for i, t in enumerate(terms):
+            assert r[f"k{i}"] == (plain(t) in r["b"] or (i in (2, 3) and "bcs303" in r["b"].replace(" ", "")))
