@@ -184,15 +184,19 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shared runs of 8 words between documents and reference passages; the passages' side is grouped first, and a
     document's grams are different ones, so a frequent gram meets one row for each passage."""
 
+    def runs(df: DataFrame, key: str) -> DataFrame:
+        t = df.select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "").alias("_t"))
+        at = t.select(key, "_t", F.explode(F.when(F.size("_t") >= 8, F.sequence(F.lit(0), F.size("_t") - 8))).alias("_i"))
+        return at.withColumn("h", F.xxhash64(*(F.get("_t", F.col("_i") + k) for k in range(8))))
+
     def grams(df: DataFrame, key: str) -> DataFrame:
-        t = df.select(key, F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "").alias("_t")).filter(F.size("_t") >= 8)
-        runs = F.transform(F.sequence(F.lit(1), F.size("_t") - 7), lambda i: F.array_join(F.slice("_t", i, 8), " "))
-        return t.select(key, F.explode(F.array_distinct(runs)).alias("g"))
-
-    left, right = grams(table(spark, sf_dir, "documents"), "doc_id"), grams(table(spark, sf_dir, "benchmark"), "item_id")
-    # hashes of the passages' grams travel if they are few, so that hardly any gram of the documents moves
-    name = F.xxhash64("g").alias("h")
-    known = right.select(name).distinct()
+        # never null, so that no join puts a test of it, and with it its making, ahead of the look-up of hashes
+        return df.select(key, F.coalesce(F.array_join(F.slice("_t", F.col("_i") + 1, 8), " "), F.lit("")).alias("g")).distinct()
+
+    left, right = runs(table(spark, sf_dir, "documents"), "doc_id"), runs(table(spark, sf_dir, "benchmark"), "item_id")
+    # hashes of the passages' runs travel if they are few, so that hardly any gram of the documents is made or moves
+    known = right.select("h").distinct()
     if known.count() <= HASHES:
-        left = left.select("*", name).join(F.broadcast(known), "h", "left_semi").drop("h")
+        left = left.join(F.broadcast(known), "h", "left_semi")
+    left, right = grams(left, "doc_id"), grams(right, "item_id")
     return left.join(right, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))

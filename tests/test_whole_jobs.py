@@ -226,3 +226,17 @@ def test_terms_are_found_in_different_words_as_in_the_text(spark):
         assert r["b"] == plain(r["t"]) and r["s"] == re.sub("[^a-z0-9]+", " ", r["t"].lower()).strip()
         for i, t in enumerate(terms):
             assert r[f"k{i}"] == (plain(t) in r["b"] or (i in (2, 3) and "bcs303" in r["b"].replace(" ", "")))
+
+
+def test_shared_runs_are_made_where_a_hash_is_known(spark, tmp_path):
+    rnd = random.Random(3)
+    text = lambda: rnd.choice(["", " ", "\n"]) + "".join(rnd.choice(["Ab", "c", "É"]) + rnd.choice([" ", "  ", "\t\n"]) for _ in range(rnd.choice([0, 7, 8, 9, 40, 60])))
+    docs, items = [(i, text() if i else None) for i in range(25)], [(i, text() if i else None) for i in range(25)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = entry.queries()["W08_containment"](spark, str(tmp_path))
+    runs = lambda t: {tuple(w[i:i + 8]) for w in [(t or "").lower().split()] for i in range(len(w) - 7)}
+    want = {(d, i): len(runs(t) & runs(u)) for d, t in docs for i, u in items if runs(t) & runs(u)}
+    assert want and {(r["doc_id"], r["item_id"]): r["shared"] for r in rows.collect()} == want
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("LeftSemi")[1].split("Relation")[0]
+    assert "xxhash64" in below and "array_join" not in below  # a gram is made after the look-up
