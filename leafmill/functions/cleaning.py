@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from .text import SPACE, lines_normalised, trimmed
 
 #: White space within a line of a compatible() text, which has no other.
 INLINE = r"[ \t\x{0b}\x{0c}\r\x{1680}\x{2028}\x{2029}\x{feff}]"
+#: Those of it beyond ASCII.
+RARE = "\u1680\u2028\u2029\ufeff"
 #: Signs beyond ASCII that NFKC leaves as they are, and joins with no other one of these: most of Latin-1, accented Latin
 #: letters, quotes and dashes.
 STABLE = r"[\x{bf}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{a1}-\x{a7}\x{a9}\x{ab}-\x{ae}\x{b0}\x{b1}\x{b6}\x{b7}\x{bb}\x{2013}\x{2014}\x{2018}\x{2019}\x{201c}\x{201d}]"
@@ -25,15 +29,23 @@ def _nfkc(text: pd.Series) -> pd.Series:
 
 def compatible(text: Column) -> Column:
     """NFKC; texts of nothing but signs that stay as they are never leave the JVM."""
-    return F.coalesce(_nfkc(F.when(text.rlike(rf"[^\x00-\x7f](?<!{STABLE})"), text)), text)
+    return F.coalesce(_nfkc(F.when(beyond_ascii(text) & text.rlike(rf"[^\x00-\x7f](?<!{STABLE})"), text)), text)
+
+
+def beyond_ascii(text: Column) -> Column:
+    """Told without a look at each sign."""
+    return F.octet_length(text) != F.length(text)
 
 
 def spaces_normalised(text: Column) -> Column:
     """Straight quotes, plain dashes, single blanks, no blank before closing signs or after opening ones; line by line, of
-    a whole compatible() text at once."""
-    x = F.when(text.rlike("[–-”]"), F.translate(text, "“”‘’–—", "\"\"''--")).otherwise(text)
-    x = F.regexp_replace(x, rf"{INLINE}++(?=[,.;:!?)\]}}])|(?<=[(\[{{]){INLINE}++", "")
-    return F.regexp_replace(x, r"[ \t]{2,}+", " ")
+    a whole compatible() text at once. Patterns that few texts need are left out for the others by plain looks at the text,
+    which has rare blanks or doubled ones only where it had them before each step."""
+    rare, doubled = (reduce(or_, (F.contains(text, F.lit(s)) for s in signs)) for signs in (RARE, ("  ", "\t")))
+    x = F.when(beyond_ascii(text) & text.rlike("[–-”]"), F.translate(text, "“”‘’–—", "\"\"''--")).otherwise(text)
+    closed = lambda blank: F.regexp_replace(x, rf"{blank}+(?=[,.;:!?)\]}}])|([(\[{{]){blank}+", "$1")
+    x = F.when(rare, closed(INLINE)).otherwise(closed(r"[ \t\x{0b}\x{0c}\r]"))
+    return F.when(doubled, F.regexp_replace(x, r"[ \t]{2,}+", " ")).otherwise(x)
 
 
 def only_signs(line: Column) -> Column:

@@ -85,10 +85,12 @@ def parsed(texts: DataFrame, now: Column | None = None) -> dict[str, DataFrame]:
     first = F.substring(F.ltrim("value"), 1, 1)
 
     def rows(name: str, columns: str) -> DataFrame:
-        own = texts.filter(first == "{").select(F.explode(F.from_json("value", f"struct<{name}:array<struct<{_ddl(columns)}>>>")[name]).alias("r")).select("r.*")
-        if name != "documents":
-            return own
-        return own.unionByName(texts.filter(first == "[").select(F.explode(F.from_json("value", f"array<struct<{_ddl(columns)}>>")).alias("r")).select("r.*"))
+        # both forms in one pass: a filter for each would make and parse every text once more
+        several = f"array<struct<{_ddl(columns)}>>"
+        held = F.when(first == "{", F.from_json("value", f"struct<{name}:{several}>")[name])
+        if name == "documents":
+            held = held.when(first == "[", F.from_json("value", several))
+        return texts.select(F.explode(held).alias("r")).select("r.*")
 
     return _made(rows, now)
 

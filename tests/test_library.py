@@ -1,11 +1,13 @@
 """Trees of any depth, snapshots, tables, pages, transitions and refreshes, on small tables."""
 
+import hashlib
 import json
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from leafmill.functions import cleaning, lexicon, quality
 from leafmill.operators import enrich, models, organise, refresh, search, store, vectors, views
 from leafmill.operators import folders as fo
@@ -224,6 +226,18 @@ def test_snapshots_of_both_forms(spark, tmp_path):
     assert snapshots.loaded(spark.createDataFrame([], "document_id string"), got).count() == 3
 
 
+def test_both_forms_of_snapshots_are_read_in_one_pass(spark, tmp_path):
+    docs = [(n, None if n == 4 else f"Text  {n} .\ntext {n}." if n else "", "s") for n in range(45)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = entry.queries()["S29_snapshot_documents"](spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2  # documents, and ids of pages
+    got = {r["document_id"]: r for r in rows.collect()}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for n, text, _ in docs:
+        clean = "given" if n % 5 == 0 else f"Text {n}." if text else ""
+        assert tuple(got[f"d{n}"])[1:] == (f"h{n}" if n % 2 == 0 else ("legacy_" + f"s//{n}".encode().hex())[:55], f"s/{n}", md5(clean), "" if n % 3 == 0 else md5(text or ""))
+
+
 def test_tables_of_a_library(spark, tmp_path):
     path = str(tmp_path)
     assert schema.loaded(spark, path)["documents"].count() == 0
