@@ -51,7 +51,8 @@ def analysed(tokens: Column) -> list[Column]:
 def built(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with clean_text, quality and noise_ratio of the clean text, and how many words the raw and the clean text have."""
     step = cleaned(docs, text, "clean_lines").withColumn("clean_text", F.array_join("clean_lines", "\n")).drop("clean_lines")
-    raw, clean = words(F.col(text)), words(F.col("clean_text"))
-    step = step.withColumns({"raw_words": raw, "clean_words": clean})
+    step = step.withColumn("clean_words", words(F.col("clean_text")))
     count, ratio, score_ = analysed(F.col("clean_words"))
-    return step.withColumns({"quality": score_, "raw_word_count": F.size("raw_words").cast("long"), "clean_word_count": count, "noise_ratio": ratio}).drop("raw_words", "clean_words")
+    # a text that cleaning leaves as it is has the same words
+    raw = F.when(F.col(text) == F.col("clean_text"), F.size("clean_words")).otherwise(F.size(words(F.col(text)))).cast("long")
+    return step.withColumns({"quality": score_, "raw_word_count": raw, "clean_word_count": count, "noise_ratio": ratio}).drop("clean_words")

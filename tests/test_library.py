@@ -70,6 +70,14 @@ def test_built_quality(spark):
     assert (got[2]["clean_text"], got[2]["quality"], got[2]["noise_ratio"], got[3]["clean_text"]) == ("", 0, 1.0, "")
 
 
+def test_words_of_a_text_that_stays_as_it_is_are_counted_once(spark):
+    texts = ["Same words, twice", "same\nSAME", " edge", None, "", "Größe 12\nx"]
+    rows = quality.built(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    want = [3, 2, 1, 0, 0, 3]
+    assert [(r["raw_word_count"], r["clean_word_count"]) for r in sorted(rows.collect(), key=lambda r: r["id"])] == list(zip(want, [3, 1, 1, 0, 0, 3], strict=True))
+    assert re.search(r"CASE WHEN \(\S*text\S* = \S*clean_text\S*\) THEN", rows._jdf.queryExecution().analyzed().toString())
+
+
 # --- pages ---
 
 
